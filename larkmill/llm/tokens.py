@@ -5,17 +5,22 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries a cache holds before it starts anew; this bounds memory and changes no result.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 100_000
 #: Letters that NFC leaves alone and that lower-casing maps one to one, then ASCII or other signs without apostrophes.
 _PLAIN = re.compile(r"([a-zà-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Python splits text here, and the tokenizers' \s doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
 
+#: How byte-level models spell bytes: printable Latin-1 as it is, the others from U+0100 on.
+_SPELLED = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 _loaded: dict[str, "Encoder"] = {}
+assert array("I").itemsize == 4 and sys.byteorder == "little"
 
 
 def encoder(path: str) -> "Encoder":
@@ -25,6 +30,25 @@ def encoder(path: str) -> "Encoder":
     return _loaded[path]
 
 
+class _Recent(dict):
+    """The last CACHE_ENTRIES to twice as many results of a function: when full, the older half goes."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= CACHE_ENTRIES:
+                self.older = dict(self)
+                self.clear()
+            self[key] = got
+        return got
+
+
 class Encoder:
     """encode(text): the ids, without special tokens, as little-endian unsigned 32-bit bytes."""
 
@@ -34,14 +58,9 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.by_word = _drops_white_space(spec)
-        self.words = _Words(self)
-        self.runs: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.words, self.runs = _Recent(self._word), _Recent(self._run)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -50,31 +69,18 @@ class Encoder:
             return self.whole(text)
         return b"".join(map(self.words.__getitem__, text.split()))
 
-    def run(self, run: str) -> bytes:
-        got = self.runs.get(run)
-        if got is None:
-            if len(self.runs) >= CACHE_ENTRIES:
-                self.runs.clear()
-            got = self.runs[run] = self.whole(run)
-        return got
-
-
-class _Words(dict):
-    def __init__(self, owner: Encoder):
-        super().__init__()
-        self.owner = owner
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
+    def _word(self, word: str) -> bytes:
         plain = _PLAIN.fullmatch(word.lower()) if len(word) <= 64 else None
-        if plain:
-            got = self.owner.run(plain[1]) + (self.owner.run(plain[2]) if plain[2] else b"")
-        else:
-            got = self.owner.whole(word)
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = got
-        return got
+        if not plain:
+            return self.whole(word)
+        return self.runs[plain[1]] + (self.runs[plain[2]] if plain[2] else b"")
+
+    def _run(self, run: str) -> bytes:
+        """A run that normalising leaves alone and splitting leaves whole goes to the tokenizer's model as it is, in its spelling of bytes."""
+        return array("I", [t.id for t in self.model.tokenize(run.encode().decode("latin-1").translate(_SPELLED))]).tobytes()
 
 
 def _drops_white_space(spec: dict) -> bool:
@@ -84,6 +90,6 @@ def _drops_white_space(spec: dict) -> bool:
     blanks = any(s.get("type") == "Replace" and s.get("pattern") == {"Regex": r"\s+"} and s.get("content") == " " for s in steps)
     known = all(s.get("type") in ("NFC", "Lowercase", "Replace") for s in steps)
     first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-    drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and r"[^\s\p{L}\p{N}]+" in str(first.get("pattern"))
+    drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and r"[^\s\p{L}\p{N}]+" in first.get("pattern", {}).get("Regex", "")
     added = all(not (a.get("lstrip") or a.get("rstrip") or a.get("single_word") or re.search(r"\s", a["content"])) for a in spec.get("added_tokens", []))
     return bool(blanks and known and drops and added and not spec.get("post_processor"))
