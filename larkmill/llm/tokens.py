@@ -11,7 +11,7 @@ from array import array
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries a cache holds before it starts anew; this bounds memory and changes no result.
-CACHE_ENTRIES = 100_000
+CACHE_ENTRIES = 220_000
 #: Letters that NFC leaves alone and that lower-casing maps one to one, then ASCII or other signs without apostrophes.
 _PLAIN = re.compile(r"([a-zà-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Python splits text here, and the tokenizers' \s doesn't.
