@@ -75,68 +75,47 @@ def parse_file(content: bytes) -> tuple[list, np.ndarray, np.ndarray, np.ndarray
     return [None if z else i for i, z in zip(ids.tolist(), nulls.tolist(), strict=True)], starts, counts, unpack_values(control, data, values)
 
 
-def _frequencies(docs: DataFrame, tokenizer: str) -> dict[int, int]:
-    """How often each id occurs: one row for each id and task at most; the result has no more rows than the vocabulary."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, dtype=np.int64)
-        encode = encoder(tokenizer).encode
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                got = np.bincount(np.frombuffer(encode(text), dtype="<u4"), minlength=len(total))
-                got[: len(total)] += total
-                total = got
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(total[ids])], names=["id", "n"])
-
-    found = map_batches(docs.select(text_of().alias("text")), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    return {r["id"]: r["n"] for r in found.collect()}
-
-
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, shard_tokens: int = 2_000_000) -> DataFrame:
     """Write all documents' ids, each followed by end_id, in ascending doc_id order (nulls first, equal ids by text); returns the
     manifest: part, file, docs, values. Files are named by range and number, so that their names sort as their documents.
 
-    Ids are ranked by their frequency over all documents. Documents are dealt into ranges of doc_id, sorted there, and each range is
-    streamed into files of about shard_tokens values. A file is written beside its place and moved there, so a repeated task leaves
-    whole files only. Positions in the whole corpus come from a first count of each range."""
+    Documents are dealt into ranges of doc_id, sorted there, and each range is streamed into draft files of about shard_tokens values
+    with the plain ids, while every task counts its ids. When all counts are in, each draft is coded anew by the ids' ranks over all
+    documents and removed. A file is written beside its place and moved there, so that a task run again finds or makes whole files
+    only. Texts are encoded once."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    freq = _frequencies(docs, tokenizer)
-    freq[end_id] = freq.get(end_id, 0) + 1
-    ranked = np.array(sorted(freq, key=lambda i: (-freq[i], i)), dtype="<u4")
-    rank_of = np.zeros(int(ranked.max()) + 1, dtype="<u4")
-    rank_of[ranked] = np.arange(len(ranked), dtype="<u4")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = range_bounds(docs, "doc_id", 4 * n)
     dealt = docs.withColumn("part", range_number(F.col("doc_id"), bounds)).repartition(n, "part").sortWithinPartitions("part", "doc_id", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def draft(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = pafs.FileSystem.from_uri(path)
         encode, end = encoder(tokenizer).encode, int(end_id).to_bytes(4, "little")
         part, seq, held, ids, blobs, begun = None, 0, 0, [], [], 0
+        total = np.zeros(0, dtype=np.int64)
 
-        def flush() -> tuple | None:
-            nonlocal seq, held, ids, blobs, begun
+        def flush() -> list[tuple]:
+            nonlocal seq, held, ids, blobs, begun, total
             if not ids:
-                return None
+                return []
             counts = np.array([len(b) // 4 for b in blobs], dtype=np.int64)
-            starts = begun + np.cumsum(counts) - counts
-            name = f"{part:08d}-{seq:06d}.tok"
-            temp = f"{base}/_{name}.{uuid.uuid4().hex}"
-            with store.open_output_stream(temp) as f:
-                f.write(file_bytes(ids, starts, counts, rank_of[np.frombuffer(b"".join(blobs), dtype="<u4")]))
-            store.move(temp, f"{base}/{name}")
+            values = np.frombuffer(b"".join(blobs), dtype="<u4")
+            name = f"{part:08d}-{seq:06d}"
+            _put(store, base, f"{name}.draft", file_bytes(ids, begun + np.cumsum(counts) - counts, counts, values))
+            got = np.bincount(values, minlength=len(total))
+            got[: len(total)] += total
+            total = got
             row = (part, name, len(ids), int(counts.sum()))
             begun += row[3]
             seq, held, ids, blobs = seq + 1, 0, [], []
-            return row
+            return [row]
 
         for batch in batches:
             rows = []
             for doc_id, text, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if own != part or held >= shard_tokens:
-                    rows.append(flush())
+                    rows += flush()
                     if own != part:
                         part, seq, begun = own, 0, 0
                 blob = encode(text) + end
@@ -144,17 +123,44 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 blobs.append(blob)
                 held += len(blob) // 4
             yield _manifest(rows)
-        yield _manifest([flush()])
+        yield _manifest(flush())
+        yield _manifest([(-1 - int(i), None, 0, int(total[i])) for i in np.flatnonzero(total)])
 
     store, base = pafs.FileSystem.from_uri(path)
     store.create_dir(base, recursive=True)
-    with store.open_output_stream(f"{base}/ranks.u32") as f:
-        f.write(ranked.tobytes())
-    return written(map_batches(dealt.select("doc_id", "text", "part"), run, "part int, file string, docs long, values long"), "manifest")
+    made = written(map_batches(dealt.select("doc_id", "text", "part"), draft, "part int, file string, docs long, values long"), "manifest")
+    freq = made.where("part < 0").groupBy((-1 - F.col("part")).alias("id")).agg(F.sum("values").alias("n")).collect()  # the vocabulary at most
+    ranked = np.array([r["id"] for r in sorted(freq, key=lambda r: (-r["n"], r["id"]))] or [end_id], dtype="<u4")
+    rank_of = np.zeros(int(ranked.max()) + 1, dtype="<u4")
+    rank_of[ranked] = np.arange(len(ranked), dtype="<u4")
+    _put(store, base, "ranks.u32", ranked.tobytes())
+    manifest = made.where("part >= 0")
+
+    def recode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pafs.FileSystem.from_uri(path)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                if store.get_file_info(f"{base}/{name}.tok").type == pafs.FileType.NotFound:
+                    with store.open_input_stream(f"{base}/{name}.draft") as f:
+                        ids, starts, counts, values = parse_file(f.read())
+                    _put(store, base, f"{name}.tok", file_bytes(ids, starts, counts, rank_of[values]))
+                if store.get_file_info(f"{base}/{name}.draft").type != pafs.FileType.NotFound:
+                    store.delete_file(f"{base}/{name}.draft")
+            yield batch
+
+    written(map_batches(manifest.select("file").repartition(4 * n), recode, "file string"), "recoded")
+    return manifest
+
+
+def _put(store: pafs.FileSystem, base: str, name: str, content: bytes) -> None:
+    temp = f"{base}/_{name}.{uuid.uuid4().hex}"
+    with store.open_output_stream(temp) as f:
+        f.write(content)
+    store.move(temp, f"{base}/{name}")
 
 
 def _manifest(rows: list) -> pa.RecordBatch:
-    cols = list(zip(*[r for r in rows if r], strict=True)) or [[], [], [], []]
+    cols = list(zip(*rows, strict=True)) or [[], [], [], []]
     kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64())
     return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)], names=["part", "file", "docs", "values"])
 
