@@ -63,7 +63,28 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[i
             if not left[n]:
                 del left[n]
                 lengths.pop(bisect.bisect_left(lengths, n))
-    return out
+    return _tail_again(out, capacity)
+
+
+def _tail_again(plan: list, capacity: int, most: int = 256) -> list:
+    """The last bins get what the others left over; where best fit decreasing needs fewer bins for their pieces, its bins are taken."""
+    tail, bins = len(plan), 0
+    while tail and bins + plan[tail - 1][1] <= most:
+        tail -= 1
+        bins += plan[tail][1]
+    pieces = sorted((n for combo, k in plan[tail:] for n, t in combo for _ in range(t * k)), reverse=True)
+    room: list[tuple[int, int]] = []  # (free, bin), ascending
+    made: list[dict[int, int]] = []
+    for n in pieces:
+        at = bisect.bisect_left(room, (n, -1))
+        free, own = room.pop(at) if at < len(room) else (capacity, len(made))
+        if own == len(made):
+            made.append({})
+        made[own][n] = made[own].get(n, 0) + 1
+        bisect.insort(room, (free - n, own))
+    if len(made) >= bins:
+        return plan
+    return plan[:tail] + [(tuple(sorted(m.items(), reverse=True)), 1) for m in made]
 
 
 def slots(plan: list) -> dict[str, np.ndarray]:
