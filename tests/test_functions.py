@@ -1,0 +1,90 @@
+"""Literal cases of the extraction rules and edge rows."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from larkmill.functions import chat, extract, metrics, text, vectors
+
+A = "Item Name: Bear Creek Hearty Soup Bowl, Creamy Chicken with Rice, 1.9 Ounce (Pack of 6)\nValue: 11.4\nUnit: Ounce"
+B = "Item Name: Organic Green Tea Bags, 20 Count\nValue: 20.0\nUnit: Count"
+
+
+@pytest.fixture(scope="module")
+def of(spark):
+    def run(column, value, kind="string"):
+        return spark.createDataFrame([(value,)], f"x {kind}").select(column(F.col("x")).alias("y")).first()["y"]
+
+    return run
+
+
+@pytest.mark.parametrize("fn, value, want", [
+    (extract.title, A, "Bear Creek Hearty Soup Bowl"),
+    (extract.rule_brand, A, "Bear Creek"), (extract.rule_brand, B, None), (extract.rule_brand, None, None), (extract.rule_brand, "", None),
+    (extract.pack_count, A, 6.0), (extract.pack_count, B, 20.0), (extract.pack_count, "two pack", 2.0), (extract.pack_count, None, None),
+    (extract.category, A, "Canned & Packaged Goods"), (extract.category, B, "Beverages"), (extract.category, "Dark Chocolate Bar", "Beverages"), (extract.category, None, "Uncategorized"),
+    (extract.keywords, A, []), (extract.keywords, B, ["organic"]), (extract.keywords, "gluten-free snack", ["gluten free"]),
+    (text.brand_canonical, "L’Oréal", "loreal"), (text.brand_canonical, "Member's Mark", "members mark"), (text.brand_canonical, "Ben & Jerry's", "ben and jerrys"), (text.brand_canonical, "  ", None),
+    (text.trim_brand_tail, "bear creek country kitchens", "bear creek"), (text.trim_brand_tail, "foods company", "foods company"),
+    (text.split_camel, "BearCreek", "Bear Creek"), (text.brand_letters, "Brand#13", "brand"), (text.squeeze, None, ""), (text.squeeze, " a \n b ", "a b"), (text.strip_tags, "<p>a</p><b>c</b>", "a c"),
+    (extract.valid_brand, "Pack of 6", False), (extract.valid_brand, "12", False), (extract.valid_brand, "Bear Creek", True), (extract.valid_brand, "", False), (extract.valid_brand, None, False),
+    (extract.suspicious_brand, "12 oz Tea", True), (extract.suspicious_brand, None, True), (extract.suspicious_brand, "Acme", False),
+    (extract.url_filename, "https://x.example/images/I/51a.jpg?s=1", "51a.jpg"),
+    (metrics.parse_number, "19.99", 19.99), (metrics.parse_number, "n/a", 0.0), (metrics.parse_number, "1d", 0.0), (metrics.parse_number, None, 0.0), (metrics.parse_number, " 1e3 ", 1000.0),
+    (extract.canonical_category, "baby food", "Baby Food"), (extract.canonical_keywords, "Vegan,x,vegan", ["vegan"]), (extract.canonical_keywords, None, []),
+])
+def test_literal(of, fn, value, want):
+    assert of(fn, value) == want
+
+
+@pytest.mark.parametrize("value, want", [("16 fl oz x 12", (0, 5678.112, 12)), ("1.6 oz, 90 ct (pack of 2)", (90.72, 0, 90)), ("plain text", (0, 0, 1)), (None, (0, 0, 1)), (A, (323.19, 0, 6))])
+def test_totals(of, value, want):
+    got = of(extract.totals, value)
+    assert (round(got["mass_g"], 3), round(got["volume_ml"], 3), got["count"]) == want
+
+
+@pytest.mark.parametrize("value, unit, want", [(11.4, "ounce", (323.19, 0)), (20.0, "count", (0, 0)), (2.0, "Fluid Ounce", (0, 0)), (2.0, "fl oz", (0, 59.14)), (2.0, None, (0, 0))])
+def test_units(spark, value, unit, want):
+    got = spark.createDataFrame([(value, unit)], "v double, u string").select(extract.to_mass_volume(F.col("v"), F.col("u")).alias("x")).first()["x"]
+    assert (round(got["mass_g"], 4), round(got["volume_ml"], 4)) == want
+
+
+def test_response(of):
+    got = of(extract.response_record, "brand: Bear Creek\npack_count: 6\nmass_g: 53.9\nvolume_ml: 0\nkeywords: none\ncategory: canned & packaged goods")
+    assert got.asDict() == {"brand": "Bear Creek", "pack_count": 6.0, "mass_g": 53.9, "volume_ml": 0.0, "keywords": [], "category": "Canned & Packaged Goods"}
+    empty = of(extract.response_record, None)
+    assert (empty["brand"], empty["pack_count"], empty["category"]) == ("Unknown", 1.0, "Uncategorized")
+
+
+def test_fallbacks(spark):
+    df = spark.createDataFrame([("brand: Bear\nkeywords: vegan", A), ("", B), ("brand: Acme", None)], "r string, t string")
+    a, b, c = (r["x"] for r in df.select(extract.with_fallbacks(extract.response_record(F.col("r")), F.col("t")).alias("x")).collect())
+    assert (a["brand"], a["pack_count"], round(a["mass_g"], 2), a["keywords"], a["category"]) == ("Bear Creek", 6.0, 323.19, ["vegan"], "Canned & Packaged Goods")
+    assert (b["brand"], b["pack_count"], b["keywords"], b["category"]) == ("Unknown", 20.0, ["organic"], "Beverages")
+    assert (c["brand"], c["category"]) == ("Acme", "Uncategorized")
+
+
+@pytest.mark.parametrize("value, want", [(1.0, 1.0), (0.05, 1.0), (20000.0, 1.0), (None, 1.0)])
+def test_range(of, value, want):
+    assert of(lambda c: extract.in_range(c, 0.1, 10000, 1.0), value, "double") == want
+
+
+def test_smape(spark):
+    df = spark.createDataFrame([(0.0, 0.0), (10.0, 10.0), (100.0, 50.0)], "y double, p double")
+    y, p = F.col("y"), F.col("p")
+    got = df.agg(metrics.smape_ratio(y, p), metrics.smape_epsilon(y, p), metrics.smape_strict(y, p.cast("string"))).first()
+    assert all(abs(x - 22.2222) < 1e-4 for x in got)
+    bad = spark.createDataFrame([(10.0, "?")], "y double, t string").agg(metrics.smape_strict(y, F.col("t")), metrics.smape_zeroed(y, F.col("t"))).first()
+    assert tuple(bad) == (100.0, 200.0)
+
+
+def test_chat(spark):
+    df = spark.createDataFrame([("tea", "a.jpg", 2.5), ("soup", None, 1.0)], "t string, i string, p double")
+    rows = df.select(chat.messages(F.col("t"), F.col("i"), F.col("p"), True).alias("m")).select(chat.as_union_json(F.col("m")).alias("j"), chat.images(F.col("m")).alias("i"), chat.target(F.col("m")).alias("p"), chat.messages_with_image(F.col("m")).alias("n")).collect()
+    assert [(r["i"], r["p"], r["n"]) for r in rows] == [(["a.jpg"], "2.50", 1), ([], "1.00", 0)]
+    assert '"content":"soup"' in rows[1]["j"] and '"type":"image"' in rows[0]["j"]
+
+
+def test_vectors(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>")
+    got = [r["n"] for r in df.select(vectors.normalised(vectors.or_zero(F.col("v"), 2)).alias("n")).collect()]
+    assert got == [[0.6, 0.8], [0.0, 0.0], [0.0, 0.0]]
