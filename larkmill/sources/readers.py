@@ -97,14 +97,24 @@ def read_npy(spark: SparkSession, path: str, dims: int = 2) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, shape array<long>, values array<double>, error string")
 
 
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """path, length of all files below a folder, empty ones too (Spark's file sources leave those out). The driver asks the file system
+    for names and sizes, as it does for any read; contents aren't touched."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found, rows = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True), []
+    while found.hasNext():
+        f = found.next()
+        rows.append((f.getPath().toString(), f.getLen()))
+    return spark.createDataFrame(rows, "path string, length long")
+
+
 def list_files(spark: SparkSession, folder: str, endings: tuple[str, ...] = (".jpg", ".jpeg", ".png")) -> DataFrame:
-    """path, length of files with these endings, in any case. Contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
-    return files.where(F.lower("path").rlike("(?:" + "|".join(e.replace(".", r"\.") for e in endings) + ")$"))
+    """path, length of files with these endings, in any case."""
+    return listing(spark, folder).where(F.lower("path").rlike("(?:" + "|".join(e.replace(".", r"\.") for e in endings) + ")$"))
 
 
 def empty_files(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where("length = 0").select("path").orderBy("path")
+    return listing(spark, folder).where("length = 0").select("path").orderBy("path")
 
 
 def fetchable(link: Column) -> Column:
