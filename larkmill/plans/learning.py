@@ -270,3 +270,40 @@ def stream(s, d):
     checkpoint.append_stream(rows, lambda b: b.select("event_id", "user_id", F.get_json_object("props", "$.k").cast("long").alias("k")), out, state)
     last = relate.keep_last(s.read.option("basePath", out).parquet(f"{out}/batch=*"), "user_id", [F.col("event_id")])
     return last.select("user_id", "event_id", "k")
+
+
+@query("t04_fit_on_train", "SELECT p_partkey, round((p_retailprice - (SELECT avg(p_retailprice) FROM part WHERE p_partkey % 2 = 0)) / (SELECT stddev_samp(p_retailprice) FROM part WHERE p_partkey % 2 = 0), 6) AS z FROM part")
+def t04(s, d):
+    """A scaler fitted on the training half, applied to all."""
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = VectorAssembler(inputCols=["p_retailprice"], outputCol="v").transform(table(s, d, "part").select("p_partkey", "p_retailprice"))
+    model = StandardScaler(withMean=True, inputCol="v", outputCol="z").fit(rows.where("p_partkey % 2 = 0"))
+    return model.transform(rows).select("p_partkey", _r(vector_to_array("z")[0]).alias("z"))
+
+
+@query("u04_feature_concat", "SELECT p_partkey, 3 AS size, p_size::DOUBLE + p_retailprice + 1 AS total FROM part")
+def u04(s, d):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = table(s, d, "part").select("p_partkey", "p_size", "p_retailprice", F.lit(1.0).alias("one"))
+    made = VectorAssembler(inputCols=["p_size", "p_retailprice", "one"], outputCol="v").transform(rows).withColumn("a", vector_to_array("v"))
+    return made.select("p_partkey", F.size("a").alias("size"), (F.col("a")[0] + F.col("a")[1] + F.col("a")[2]).alias("total"))
+
+
+@query("s19_saved_model", "SELECT p_partkey, (p_size > 25)::INT AS bucket FROM part")
+def s19(s, d):
+    """A model saved, loaded and applied."""
+    from pyspark.ml.feature import Binarizer
+
+    path = scratch(s, "model")
+    rows = table(s, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"))
+    Binarizer(threshold=25, inputCol="x", outputCol="y").write().overwrite().save(path)
+    return Binarizer.load(path).transform(rows).select("p_partkey", F.col("y").cast("int").alias("bucket"))
+
+
+@query("b05_batch_inference", f"WITH {PRED} SELECT p_partkey, round(greatest(a - 950, 0), 6) AS price FROM p")
+def b05(s, d):
+    return _pred(s, d).select("p_partkey", _r(F.greatest(models.linear(["a"], [1.0], -950.0), F.lit(0.0))).alias("price"))

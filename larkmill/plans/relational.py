@@ -433,3 +433,78 @@ def x03(s, d):
 def x04(s, d):
     a, b = splits.disjoint_samples(table(s, d, "part").select("p_partkey"), "p_partkey", 100, 50)
     return a.withColumn("part", F.lit("train")).unionByName(b.withColumn("part", F.lit("valid")))
+
+
+@query("s02_required", "SELECT n_name FROM nation")
+def s02(s, d):
+    return readers.read_required(s, f"{d}/nation.parquet").select("n_name")
+
+
+@query("s04_by_ending", "SELECT r_name, 'csv' AS kind FROM region UNION ALL SELECT r_name, 'parquet' FROM region UNION ALL SELECT r_name, 'jsonl' FROM region")
+def s04(s, d):
+    base, r = scratch(s, "kinds"), table(s, d, "region").select("r_name")
+    sinks.write_csv(r, f"{base}/r.csv")
+    r.write.parquet(f"{base}/r.parquet")
+    r.write.json(f"{base}/r.jsonl")
+    parts = [readers.read_any(s, f"{base}/r.{k}", "r_name string").select("r_name", F.lit(k).alias("kind")) for k in ("csv", "parquet", "jsonl")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("s08_record_array", "SELECT n_nationkey, n_name FROM nation")
+def s08(s, d):
+    """A file that is one JSON array of records."""
+    path = f"{scratch(s, 'array')}/nation.json"
+    one = table(s, d, "nation").agg(F.to_json(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))).alias("value"))
+    one.coalesce(1).write.text(path)
+    return s.read.schema("n_nationkey int, n_name string").json(path, multiLine=True)
+
+
+@query("s17_listing", "SELECT 5::BIGINT AS n_files, 0::BIGINT AS n_empty")
+def s17(s, d):
+    base = scratch(s, "listing")
+    table(s, d, "region").select("r_name").repartition(5, "r_name").write.option("maxRecordsPerFile", 1).csv(base)
+    own = readers.list_files(s, base, (".csv",))
+    return own.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum((F.col("length") == 0).cast("long")), F.lit(0)).alias("n_empty"))
+
+
+@query("k05_skip_if_there", "SELECT count(*) AS n FROM nation")
+def k05(s, d):
+    """A second save without overwrite leaves the first as it is."""
+    path = scratch(s, "once")
+    sinks.write_any(table(s, d, "nation"), path)
+    sinks.write_any(table(s, d, "nation").limit(1), path, overwrite=False)
+    return s.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("k10_importances", "SELECT p_type AS feature, round(avg(p_retailprice), 4) AS importance FROM part GROUP BY 1 ORDER BY importance DESC, feature")
+def k10(s, d):
+    path = scratch(s, "importance")
+    made = table(s, d, "part").groupBy(F.col("p_type").alias("feature")).agg(F.round(F.avg("p_retailprice"), 4).alias("importance"))
+    sinks.write_csv(made.orderBy(F.desc("importance"), "feature"), path)
+    return readers.read_csv(s, path, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
+@query("k13_rebuild", "SELECT r_regionkey FROM region WHERE r_regionkey > 2")
+def k13(s, d):
+    """A rebuild leaves nothing of the output before it."""
+    path = scratch(s, "rebuild")
+    r = table(s, d, "region").select("r_regionkey")
+    sinks.write_any(r, path)
+    sinks.write_any(r.where("r_regionkey > 2"), path)
+    return s.read.parquet(path)
+
+
+@query("a16_counters", "SELECT (SELECT count(*) FROM events WHERE value > 50)::BIGINT AS written, (SELECT count(*) FROM events WHERE NOT value > 50)::BIGINT AS skipped")
+def a16(s, d):
+    rows = table(s, d, "events").select(F.to_json(F.struct("event_id", "value")).alias("line"), (F.col("value") > 50).alias("keep"))
+    n = sinks.write_chat_lines(rows, scratch(s, "counted"))
+    return s.range(1).select(F.lit(n["written"]).cast("long").alias("written"), F.lit(n["skipped"]).cast("long").alias("skipped"))
+
+
+@query("j08_term_features", """WITH t AS (SELECT doc_id, count(*) AS n_terms FROM (SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS w FROM documents WHERE lang = 'de') WHERE w <> '' GROUP BY 1)
+SELECT d.doc_id, lang, n_terms FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id""")
+def j08(s, d):
+    """Text features onto the structured table."""
+    docs = table(s, d, "documents")
+    terms = docs.where("lang = 'de'").select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("w")).where("w <> ''").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"))
+    return relate.join_left(docs.select("doc_id", "lang"), terms, "doc_id")
