@@ -184,12 +184,12 @@ def _linked(rows: tuple, cuts: np.ndarray, radius: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], type=pa.int64()), pa.array([y for _, y in out], type=pa.int64())], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, parts: int = 4, radius: int = 46, keys: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, parts: int = 4, radius: int = 52, keys: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp array<long>, component_id: the least doc_id reachable over fingerprints within the radius, itself included.
 
-    By default 256 bits on five-word shingles, radius 46: a similarity (Jaccard) of 0.8 makes 38.5 bits differ on average, and
-    unrelated texts 128, with a standard deviation of 8. Candidates share one of 20 bands of 12 bits, which pairs of similarity 0.8
-    miss with a probability of about 0.05, and of 0.9 with 0.005. With keys=pigeonhole_keys(radius, segments) nothing is missed.
+    By default 256 bits on five-word shingles, radius 52: a similarity (Jaccard) of 0.8 makes 38.5 bits differ on average with a
+    standard deviation of 5.7, unrelated texts 128 with one of 8. Candidates share one of 20 bands of 12 bits, which pairs of
+    similarity 0.8 miss with a probability of about 0.05, and of 0.9 with 0.005. With keys=pigeonhole_keys(radius, segments) nothing is missed.
 
     Null and wordless texts have zero fingerprints and link like any other; equal fingerprints are one node, so copies cost nothing;
     repeated rows come back as often as they came; a null id is never a component_id where its group has another. Empty: empty."""
