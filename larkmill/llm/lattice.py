@@ -81,18 +81,24 @@ class Lattice:
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         lengths: dict[int, list[int]] = {}
         for i, s in enumerate(pieces.strings):
             lengths.setdefault(len(s), []).append(i)
-        self.seen = np.zeros(1 << 20, dtype=bool)
+        self.lengths = sorted(lengths)
+        self.keys = np.zeros(len(pieces.strings), dtype=np.uint64)  # each piece's hash with its length mixed in
         for n, idx in lengths.items():
-            h = _hash(np.array([list(pieces.strings[i]) for i in idx], dtype=np.uint8))
-            order = np.argsort(h)
-            self.by_length[n] = h[order], np.array(idx)[order]
-            self.seen[(_mixed(h, n) >> np.uint64(44)).astype(np.int64)] = True
+            self.keys[idx] = _mixed(_hash(np.array([list(pieces.strings[i]) for i in idx], dtype=np.uint8)), n)
+        #: Tables from a hash's upper bits to a piece; pieces that meet in a slot go to the next table.
+        self.tables: list[np.ndarray] = []
+        rest = np.arange(len(pieces.strings), dtype=np.int32)
+        while len(rest):
+            made = np.full(1 << 20, -1, dtype=np.int32)
+            at = (self.keys[rest] >> np.uint64(44)).astype(np.int64)
+            made[at] = rest
+            self.tables.append(made)
+            rest = rest[made[at] != rest]
+        self.seen = self.tables[0] >= 0
         self.number = {s: i for i, s in enumerate(pieces.strings)}
-        self.longest = max(lengths)
 
     def _arcs(self, a: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
         """(from, to, rows, pieces) of words in the columns of a, ordered by `to`."""
@@ -102,22 +108,28 @@ class Lattice:
             for i in range(length):
                 pre[i + 1] = pre[i] * _B + (a[i].astype(np.uint64) + np.uint64(1))
         out = []
-        power = {m: np.uint64(pow(int(_B), m, 1 << 64)) for m in self.by_length}
+        power = {m: np.uint64(pow(int(_B), m, 1 << 64)) for m in self.lengths}
         for j in range(1, length + 1):
-            for m, (keys, ids) in self.by_length.items():
+            for m in self.lengths:
                 i = j - m
                 if i < 0:
-                    continue
+                    break
                 with np.errstate(over="ignore"):
-                    h = pre[j] - pre[i] * power[m]
-                rows = np.flatnonzero(self.seen[(_mixed(h, m) >> np.uint64(44)).astype(np.int64)])
+                    h = _mixed(pre[j] - pre[i] * power[m], m)
+                slot = (h >> np.uint64(44)).astype(np.int32)
+                rows = np.flatnonzero(self.seen[slot])
                 if not len(rows):
                     continue
-                h = h[rows]
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                ok = keys[at] == h
+                h, slot = h[rows], slot[rows]
+                ids = self.tables[0][slot]
+                ok = self.keys[ids] == h
+                for t in self.tables[1:]:
+                    more = t[slot]
+                    hit = ~ok & (more >= 0) & (self.keys[more] == h)
+                    ids[hit] = more[hit]
+                    ok |= hit
                 if ok.any():
-                    out.append((i, j, rows[ok], ids[at[ok]]))
+                    out.append((i, j, rows[ok], ids[ok]))
         return out
 
     def _forward(self, a: np.ndarray, arcs: list, logp: np.ndarray) -> np.ndarray:
@@ -128,6 +140,16 @@ class Lattice:
                 alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + logp[ids])
         return alpha
 
+    def _forward_many(self, a: np.ndarray, arcs: list, weights: np.ndarray) -> np.ndarray:
+        """The last row of _forward for several sets of weights at once: sets x words."""
+        alpha = np.full((a.shape[0] + 1, len(weights), a.shape[1]), -np.inf)
+        alpha[0] = 0
+        with np.errstate(invalid="ignore"):
+            for i, j, rows, ids in arcs:
+                to = alpha[j]
+                to[:, rows] = np.logaddexp(to[:, rows], alpha[i][:, rows] + weights[:, ids])
+        return alpha[-1]
+
     def _groups(self, words: list[bytes]) -> Iterator[tuple[list[int], np.ndarray | None]]:
         by: dict[int, list[int]] = {}
         for i, w in enumerate(words):
@@ -145,11 +167,10 @@ class Lattice:
     def log_probs(self, words: list[bytes], weights: list[np.ndarray] | None = None) -> np.ndarray:
         """Natural log of each word's marginal probability, a row for each set of piece weights."""
         weights = [self.pieces.logp] if weights is None else weights
+        table = np.stack(weights)
         out = np.zeros((len(weights), len(words)))
         for idx, a in self._groups(words):
-            arcs = None if a is None else self._arcs(a)
-            for k, logp in enumerate(weights):
-                out[k, idx] = self._one(words[idx[0]], logp)[0][-1] if a is None else self._forward(a, arcs, logp)[-1]
+            out[:, idx] = np.array([[self._one(words[idx[0]], logp)[0][-1]] for logp in weights]) if a is None else self._forward_many(a, self._arcs(a), table)
         return out
 
     def _one(self, word: bytes, logp: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -160,7 +181,7 @@ class Lattice:
         arcs = []
         for j in range(1, len(s) + 1):
             parts = []
-            for m in self.by_length:
+            for m in self.lengths:
                 if m <= j and (k := self.number.get(s[j - m : j])) is not None:
                     arcs.append((j - m, j, k))
                     parts.append(alpha[j - m] + logp[k])
