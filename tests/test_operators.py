@@ -158,3 +158,15 @@ def test_stream_equals_batch(spark, sf, tmp_path):
 def test_metric_bounds(spark):
     df = spark.range(100).select((F.col("id") - 50).cast("double").alias("y"), F.col("id").cast("double").alias("p"))
     assert 0 <= df.agg(metrics.smape_ratio(F.col("y"), F.col("p"))).first()[0] <= 200
+
+
+def test_tar_round_trip(spark, tmp_path):
+    from larkmill.sources.tarshards import TarShards
+
+    spark.dataSource.register(TarShards)
+    rows = [(f"{i:04d}", {"txt": f"t{i}".encode(), "json": b"{}"} if i % 5 else {"txt": b"x"}) for i in range(50)]
+    df = spark.createDataFrame(rows, "key string, parts map<string,binary>")
+    df.repartition(2).write.format("tarshards").option("path", str(tmp_path / "out")).option("per_shard", "8").option("needs", "txt,json").mode("append").save()
+    back = spark.read.format("tarshards").option("path", f"{tmp_path}/out/*.tar").load().collect()
+    assert {(r["key"], bytes(r["parts"]["txt"])) for r in back} == {(k, p["txt"]) for k, p in rows if len(p) == 2}
+    assert len(os.listdir(tmp_path / "out")) >= 5 and not [n for n in os.listdir(tmp_path / "out") if n.startswith(".")]
