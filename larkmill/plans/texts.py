@@ -213,12 +213,13 @@ def f22(s, d):
     return table(s, d, "pages").select("page_id", extract.id_filename(F.col("page_id"), F.col("url")).alias("name"))
 
 
-ANSWER = F.concat(F.lit("brand: Bear Creek\npack_count: "), F.col("p_size"), F.lit("\nweight_g: 53.9\nvolume_ml: 60000\nkeywords: organic, nonsense, Vegan\ncategory: canned & packaged goods"))
+def _answer():
+    return F.concat(F.lit("brand: Bear Creek\npack_count: "), F.col("p_size"), F.lit("\nweight_g: 53.9\nvolume_ml: 60000\nkeywords: organic, nonsense, Vegan\ncategory: canned & packaged goods"))
 
 
 @query("f23_response", "SELECT p_partkey, 'Bear Creek' AS brand, p_size::DOUBLE AS pack_count, 53.9::DOUBLE AS mass_g, 0.0::DOUBLE AS volume_ml, 'organic|vegan' AS keywords, 'Canned & Packaged Goods' AS category FROM part")
 def f23(s, d):
-    made = table(s, d, "part").select("p_partkey", extract.response_record(ANSWER).alias("r"))
+    made = table(s, d, "part").select("p_partkey", extract.response_record(_answer()).alias("r"))
     return made.select("p_partkey", "r.brand", "r.pack_count", "r.mass_g", "r.volume_ml", F.array_join("r.keywords", "|").alias("keywords"), "r.category")
 
 

@@ -42,6 +42,16 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
+def test_import_needs_no_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; print(len(e.queries()) > 100, set(e.oracle_sql()) <= set(e.queries()))"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.stdout.strip().endswith("True True"), out.stderr[-500:]
+
+
 def test_submission(spark, sf):
     out = workload.QUERIES["e04_submission"](spark, sf)
     n = spark.read.parquet(f"{sf}/part.parquet").count()
