@@ -1,7 +1,7 @@
 """Substring deduplication by content-defined chunking.
 
 A gear rolling hash over the last 32 bytes marks chunk ends by content, so an insertion moves only the chunks it touches. Chunks are
-deduplicated by digest; a chunk that more than one document holds, or one document twice, is a repeat."""
+deduplicated by digest; a chunk that more than one document holds is a repeat, on demand also one that a document holds twice."""
 
 from __future__ import annotations
 
@@ -74,19 +74,21 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")), run, "doc_id long, at long, size int, digest binary")
 
 
-def repeats(docs: DataFrame, min_bytes: int = MIN_REPEAT) -> DataFrame:
+def repeats(docs: DataFrame, min_bytes: int = MIN_REPEAT, within: bool = False) -> DataFrame:
     """One row for each document that holds repeated text: doc_id, other_ids (where its repeats come first, ascending, without its own
     id), n_repeated_bytes, and spans: {at, size, first_doc_id, n_places} in the document's UTF-8 bytes, ascending.
 
     Neighbouring repeated chunks make one span; a span counts from min_bytes on. The first occurrence (in the least id) is reported
     like the others; n_places tells how many the commonest chunk of a span has, first_doc_id the least id that holds any of it. Null
-    and empty texts, and texts without repeats, give no row; rows repeated under one id are repeats and give one row; a null id gives
-    none but counts as a place; an empty table gives an empty table.
+    and empty texts, and texts without repeats, give no row; rows repeated under one id are one document and give one row; a null id gives
+    none and doesn't count as another document; an empty table gives an empty table. Text that only one id holds, however often, counts
+    with within=True only.
 
     Counts are added up by digest after a partial sum in each task, then joined back by digest; that join is an equi-join which
     adaptive execution may split where a passage is very common. A document's spans are put together from its own chunks."""
     chunks = chunk_documents(docs)
-    seen = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+    seen = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    seen = seen.where("n > 1" if within else "first < last").drop("last")
     hit = chunks.where(F.col("doc_id").isNotNull()).join(seen, "digest")
     own = hit.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("at", "size", "first", "n"))).alias("chunks"))
 
