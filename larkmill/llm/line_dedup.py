@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, text_of
+from .common import ascii_lower, text_of, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -31,8 +31,9 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     one = one.select("id", "th", "pos", ascii_lower(F.col("key")).alias("key"))
     one = one.select("id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(min_chars), "key").alias("h2"))
     held = one.groupBy("h1", "h2", "id").agg(F.collect_set(F.struct("th", "pos")).alias("at"))
-    common = held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"), F.count(F.when(F.col("id").isNull(), 1)).alias("nulls"))
-    common = common.where(F.col("n") >= min_docs).select("h1", "h2", "last")
+    common = held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
+    # written, so that both sides of the join below are plain exchanges, which adaptive execution can split at a hot line
+    common = written(common.where(F.col("n") >= min_docs).select("h1", "h2", "last"), "common-lines")
     gone = held.join(common, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("last")))
     gone = gone.groupBy(F.col("id").alias("_lm_id")).agg(F.flatten(F.collect_list("at")).alias("_lm_drop"))
     out = base.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_lm_id")), "left")
