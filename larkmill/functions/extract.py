@@ -23,6 +23,11 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value evaluated once: where it occurs several times, plans would else hold as many copies of its tree."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def title(text: Column) -> Column:
     """What follows Item Name: (or everything), up to the first strong delimiter."""
     whole = F.coalesce(text, F.lit(""))
@@ -70,13 +75,27 @@ def least_brand_words(tokens: Column) -> Column:
 
 
 def rule_brand(text: Column) -> Column:
-    """Words of the item name up to the first that can't be a brand's; a fold over the words with the state (kept, done)."""
+    """Words of the item name up to the first that can't be a brand's."""
     whole = F.coalesce(text, F.lit(""))
     named = F.regexp_extract(whole, r"(?i)Item\s*Name:\s*([^\n]+)", 1)
     lines = F.filter(F.transform(F.split(whole, "\n"), lambda s: F.trim(s)), lambda s: s != "")
     line = F.when(F.trim(named) != "", F.trim(named)).otherwise(F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit("")))
     name = F.trim(F.element_at(F.split(line, r"\s*,\s*|\s*[(/\[]\s*|\s+-\s+", 2), 1))
-    raw = words(name)
+    return let(words(name), lambda raw: let(_brand_words(raw), _shown_brand))
+
+
+def _shown_brand(kept: Column) -> Column:
+    def short(shown: Column) -> Column:
+        parts = words(shown)
+        return F.when(F.size(parts) > 4, F.array_join(F.slice(parts, 1, 3), " ")).otherwise(shown)
+
+    joined = F.regexp_replace(F.array_join(kept, " "), r"[ \-–—,:;|/\\]+$", "")
+    whole = let(let(brand_display(joined), short), lambda shown: F.when(F.length(shown) >= 2, shown))
+    return F.when(F.size(kept) > 0, whole)
+
+
+def _brand_words(raw: Column) -> Column:
+    """The fold: words kept until one ends the brand."""
     seq = F.zip_with(raw, F.transform(raw, lambda w, i: F.coalesce(F.try_element_at(raw, i + 2), F.lit(""))), lambda a, b: F.struct(a.alias("w"), b.alias("next")))
     zero = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(False).alias("done"))
 
@@ -102,11 +121,7 @@ def rule_brand(text: Column) -> Column:
             .when(sea_salt, stop)
             .otherwise(more))
 
-    kept = F.aggregate(seq, zero, step, lambda s: s["kept"])
-    shown = brand_display(F.regexp_replace(F.array_join(kept, " "), r"[ \-–—,:;|/\\]+$", ""))
-    parts = words(shown)
-    shown = F.when(F.size(parts) > 4, F.array_join(F.slice(parts, 1, 3), " ")).otherwise(shown)
-    return F.when((F.size(kept) > 0) & (F.length(shown) >= 2), shown)
+    return F.aggregate(seq, zero, step, lambda s: s["kept"])
 
 
 def valid_brand(c: Column) -> Column:
@@ -238,32 +253,33 @@ def response_record(answer: Column) -> Column:
     words_ = _found(text, rf"(?im)^\s*keywords\s*[:|-]\s*(.+?)(?=\n\s*{label}\s*[:|-]|$)")
     kind = _found(text, rf"(?im)^\s*category\s*[:|-]\s*(.+?)(?=\n\s*{label}\s*[:|-]|$)")
     return F.struct(
-        F.when(valid_brand(brand), brand).otherwise(F.lit("Unknown")).alias("brand"),
+        let(brand, lambda b: F.when(valid_brand(b), b).otherwise(F.lit("Unknown"))).alias("brand"),
         in_range(pack, 0.1, 10000, 1.0).alias("pack_count"), in_range(mass, 0, 100000, 0.0).alias("mass_g"), in_range(volume, 0, 50000, 0.0).alias("volume_ml"),
         canonical_keywords(words_).alias("keywords"), canonical_category(kind).alias("category"))
 
 
 def with_fallbacks(record: Column, text: Column) -> Column:
     """The record with what the catalog text knows better. Without text it stays. Keywords come sorted."""
-    found = rule_brand(text)
-    old = record["brand"]
-    unknown = old == "Unknown"
-    look = unknown | ((F.size(words(old)) <= 2) & ~F.lower(old).rlike("^(?:mc|dr|st)"))
-    longer = F.size(words(found)) > F.size(words(old))
-    better = found.isNotNull() & (found != "Unknown") & look & (unknown | (longer & F.startswith(F.lower(found), F.lower(old))))
-    pack = pack_count(text)
-    pair = value_unit(text)
-    amount = to_mass_volume(pair["value"], pair["unit"])
-    empty = (record["mass_g"] == 0) & (record["volume_ml"] == 0)
-    kind = category(text)
-    made = F.struct(
-        F.when(better, found).otherwise(old).alias("brand"),
-        F.when((record["pack_count"] == 1) & (pack > 1), pack).otherwise(record["pack_count"]).alias("pack_count"),
-        F.when(empty & (amount["mass_g"] > 0), amount["mass_g"]).otherwise(record["mass_g"]).alias("mass_g"),
-        F.when(empty & (amount["volume_ml"] > 0), amount["volume_ml"]).otherwise(record["volume_ml"]).alias("volume_ml"),
-        F.sort_array(F.array_union(record["keywords"], keywords(text))).alias("keywords"),
-        F.when(kind != T.FALLBACK, kind).otherwise(record["category"]).alias("category"))
-    return F.when(F.coalesce(text, F.lit("")) == "", record).otherwise(made)
+    pair = let(value_unit(text), lambda p: to_mass_volume(p["value"], p["unit"]))
+    facts = F.struct(record.alias("old"), rule_brand(text).alias("found"), pack_count(text).alias("pack"), pair.alias("amount"), keywords(text).alias("keywords"), category(text).alias("kind"))
+    return let(facts, lambda x: F.when(F.coalesce(text, F.lit("")) == "", x["old"]).otherwise(_merged(x)))
+
+
+def _merged(x: Column) -> Column:
+    old, found, pack, amount, kind = x["old"], x["found"], x["pack"], x["amount"], x["kind"]
+    brand = old["brand"]
+    unknown = brand == "Unknown"
+    look = unknown | ((F.size(words(brand)) <= 2) & ~F.lower(brand).rlike("^(?:mc|dr|st)"))
+    longer = F.size(words(found)) > F.size(words(brand))
+    better = found.isNotNull() & (found != "Unknown") & look & (unknown | (longer & F.startswith(F.lower(found), F.lower(brand))))
+    empty = (old["mass_g"] == 0) & (old["volume_ml"] == 0)
+    return F.struct(
+        F.when(better, found).otherwise(brand).alias("brand"),
+        F.when((old["pack_count"] == 1) & (pack > 1), pack).otherwise(old["pack_count"]).alias("pack_count"),
+        F.when(empty & (amount["mass_g"] > 0), amount["mass_g"]).otherwise(old["mass_g"]).alias("mass_g"),
+        F.when(empty & (amount["volume_ml"] > 0), amount["volume_ml"]).otherwise(old["volume_ml"]).alias("volume_ml"),
+        F.sort_array(F.array_union(old["keywords"], x["keywords"])).alias("keywords"),
+        F.when(kind != T.FALLBACK, kind).otherwise(old["category"]).alias("category"))
 
 
 def sentence(brand: Column, kind: Column, pack: Column, mass: Column, volume: Column, found: Column) -> Column:
