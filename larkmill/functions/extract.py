@@ -30,9 +30,9 @@ def let(value: Column, use) -> Column:
 
 def title(text: Column) -> Column:
     """What follows Item Name: (or everything), up to the first strong delimiter."""
-    whole = F.coalesce(text, F.lit(""))
-    named = F.when(whole.rlike(r"(?i)Item Name:"), F.regexp_extract(whole, r"(?i)Item Name:\s*(.*)", 1)).otherwise(whole)
-    return F.trim(F.element_at(F.split(named, r"(?i)\s*(?:[-–—|,;/\n]|\(|\[|Pack of|Count|CT\b)\s*", 2), 1))
+    named = lambda x: F.when(x.rlike(r"(?i)Item Name:"), F.regexp_extract(x, r"(?i)Item Name:\s*(.*)", 1)).otherwise(x)
+    head = lambda x: F.trim(F.element_at(F.split(named(x), r"(?i)\s*(?:[-–—|,;/\n]|\(|\[|Pack of|Count|CT\b)\s*", 2), 1))
+    return let(F.coalesce(text, F.lit("")), head)
 
 
 def words(text: Column) -> Column:
@@ -196,8 +196,8 @@ def totals(text: Column) -> Column:
 
 def keywords(text: Column) -> Column:
     """Keywords of the record profile, in list order, by substring."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_compact(F.array(*[F.when(_any(low, T.SYNONYMS.get(k, [k])), F.lit(k)) for k in T.KEYWORDS]))
+    found = lambda low: F.array_compact(F.array(*[F.when(_any(low, T.SYNONYMS.get(k, [k])), F.lit(k)) for k in T.KEYWORDS]))
+    return let(F.lower(F.coalesce(text, F.lit(""))), found)
 
 
 def flag_name(keyword: str) -> str:
@@ -217,11 +217,14 @@ def keyword_flags(found: Column) -> list[Column]:
 
 def category(text: Column) -> Column:
     """The first rule with a term in the text; order is the contract."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    out = F.lit(T.FALLBACK)
-    for name, terms in reversed(T.CATEGORY_RULES):
-        out = F.when(_any(low, terms), F.lit(name)).otherwise(out)
-    return out
+
+    def rules(low: Column) -> Column:
+        out = F.lit(T.FALLBACK)
+        for name, terms in reversed(T.CATEGORY_RULES):
+            out = F.when(_any(low, terms), F.lit(name)).otherwise(out)
+        return out
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), rules)
 
 
 def canonical_keywords(raw: Column) -> Column:
@@ -301,6 +304,5 @@ def id_filename(key: Column, url: Column) -> Column:
 
 def brand_candidates(text: Column) -> Column:
     """Canonical prefixes of the title's proper run before its product noun."""
-    return F.transform(prefixes(proper_run(before_noun(words(title(text))))), lambda p: brand_canonical(p, ascii_only=True))
-
-
+    made = lambda run: F.transform(prefixes(run), lambda p: brand_canonical(p, ascii_only=True))
+    return let(words(title(text)), lambda t: let(before_noun(t), lambda b: let(proper_run(b), made)))
