@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkmill.functions.metrics import huber_gradient, huber_hessian, iqr_delta, smape_epsilon
+from larkmill.sources import scratch
 
 
 class Scorer(Protocol):
@@ -106,6 +107,7 @@ class Booster:
         self.features, self.rate, self.rounds, self.depth, self.patience = features, rate, rounds, depth, patience
 
     def fit(self, df: DataFrame, target: str, held: DataFrame | None = None) -> "Booster":
+        scratch.root(df.sparkSession)  # checkpoints need a folder
         self.start = float(df.agg(F.median(target)).first()[0])
         self.delta = float(df.agg(iqr_delta(F.col(target))).first()[0])
         pack = VectorAssembler(inputCols=self.features, outputCol="features", handleInvalid="keep")

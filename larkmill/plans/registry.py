@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from larkmill.sources.scratch import path as scratch
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+__all__ = ["CATALOG_SQL", "ORACLES", "QUERIES", "catalog", "query", "scratch", "table"]
 
 #: Runs unchanged in Spark and in DuckDB.
 CATALOG = """concat('Item Name: ', p_type, ' ', upper(substr(p_name,1,1)), substr(p_name,2), ', ',
@@ -40,14 +41,3 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def catalog(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").selectExpr("*", f"{CATALOG} AS text")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared checkpoint folder (a temporary one only where the session names none)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = found.get() if found.isDefined() else f"file://{tempfile.mkdtemp(prefix='larkmill-')}"
-        if not found.isDefined():
-            spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/larkmill-{name}-{uuid.uuid4().hex}"
