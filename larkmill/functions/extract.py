@@ -179,19 +179,24 @@ def to_mass_volume(value: Column, unit: Column) -> Column:
 
 def totals(text: Column) -> Column:
     """struct(mass_g, volume_ml, count): all stated quantities, times the pack where it is more than one."""
-    low = F.lower(F.coalesce(text, F.lit("")))
     pattern = r"(\d+(?:\.\d+)?)\s*(fl oz|oz|ounce|lb|pound|g|gram|kg|ml|l|liter|ct|count|pcs|pack)\b"
-    pairs = F.arrays_zip(F.regexp_extract_all(low, F.lit(pattern), 1).alias("v"), F.regexp_extract_all(low, F.lit(pattern), 2).alias("u"))
-    fluid = low.contains("fl oz")
-    table = lambda units: F.create_map(*[F.lit(x) for kv in units.items() for x in kv])
-    add = lambda rate: F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x["v"].cast("double") * F.coalesce(rate(x["u"]), F.lit(0.0)))
-    mass = add(lambda u: F.when(~((u == "oz") & fluid), F.try_element_at(table(T.TOTAL_MASS), u)))
+
+    def facts(low: Column) -> Column:
+        pairs = F.arrays_zip(F.regexp_extract_all(low, F.lit(pattern), 1).alias("v"), F.regexp_extract_all(low, F.lit(pattern), 2).alias("u"))
+        times = F.coalesce(_found(low, r"(?:pack of|case of|x|×)\s*(\d+)").cast("double"), F.lit(1.0))
+        return F.struct(pairs.alias("pairs"), low.contains("fl oz").alias("fluid"), F.greatest(times, F.lit(1.0)).alias("many"))
+
+    return let(let(F.lower(F.coalesce(text, F.lit(""))), facts), _summed)
+
+
+def _summed(x: Column) -> Column:
+    table = lambda units: F.create_map(*[F.lit(v) for kv in units.items() for v in kv])
+    add = lambda rate: F.aggregate(x["pairs"], F.lit(0.0), lambda s, p: s + p["v"].cast("double") * F.coalesce(rate(p["u"]), F.lit(0.0)))
+    mass = add(lambda u: F.when(~((u == "oz") & x["fluid"]), F.try_element_at(table(T.TOTAL_MASS), u)))
     volume = add(lambda u: F.try_element_at(table(T.TOTAL_VOLUME), u))
     count = add(lambda u: F.when(u.isin(T.TOTAL_COUNT), 1.0))
-    times = F.coalesce(_found(low, r"(?:pack of|case of|x|×)\s*(\d+)").cast("double"), F.lit(1.0))
-    many = F.when(times > 1, times).otherwise(F.lit(1.0))
-    counted = F.when(count != 0, count).otherwise(many)
-    return F.struct((mass * many).alias("mass_g"), (volume * many).alias("volume_ml"), counted.alias("count"))
+    counted = let(count, lambda n: F.when(n != 0, n).otherwise(x["many"]))
+    return F.struct((mass * x["many"]).alias("mass_g"), (volume * x["many"]).alias("volume_ml"), counted.alias("count"))
 
 
 def keywords(text: Column) -> Column:
