@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkmill.llm import decontaminate, line_dedup, packing, simhash, toxicity
+from larkmill.llm import decontaminate, line_dedup, packing, similar, toxicity
 from larkmill.llm.common import written
 
 
@@ -27,9 +27,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (256-bit SimHash of five-word shingles, similarity 0.8) the document with the least id stays.
-    Rows without an id stay."""
-    found = simhash.near_duplicates(docs)
+    """Of each group of near duplicates (linked by an exact Jaccard similarity of 0.8 or more of distinct five-word shingles) the document
+    with the least id stays. Rows without an id stay."""
+    found = similar.similar_groups(docs)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
@@ -52,7 +52,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: The trained machine, 256-bit fingerprints and the packing search have no SQL; tests hold the stages against brute force.
+#: The trained machine, the groups of near duplicates and the packing search have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -26,3 +26,11 @@ def test_run(spark, sf):
     assert [n for n, _ in cp.STAGES] == ["toxicity", "line_dedup", "near_duplicates", "decontamination", "packing"]
     rows = out.select("doc_id", "piece", "length", "sequence_id", "offset").collect()
     assert rows and all(r["offset"] + r["length"] <= 2048 for r in rows)
+
+
+def test_repeated_words_do_not_merge_texts(spark, sf):
+    """Half of each text's shingle places is one junk shingle; as a set it is one of many, so the texts stay."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join([*(f"w{x}" for x in rng.integers(0, 10**6, 150)), *["junk"] * 300]), "en", "s", 1) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert cp.near_duplicate_stage(spark, docs, sf).count() == 20
