@@ -1,8 +1,11 @@
 """The corpus pipeline: each stage's decisions on planted cases."""
 
+import itertools
+
 import numpy as np
 
 import corpus_pipeline as cp
+from larkmill.llm import similar
 
 
 def test_stages_on_planted_rows(spark, sf, tmp_path):
@@ -28,6 +31,37 @@ def test_run(spark, sf):
     assert rows and all(r["offset"] + r["length"] <= 2048 for r in rows)
 
 
+def _groups(rows):
+    """By all pairs: least id reachable over a Jaccard similarity of 0.8 or more of distinct five-word shingles."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    label = {i: i for i, _ in rows}
+    links = [(a[0], b[0]) for (a, x), (b, y) in itertools.combinations(zip(rows, sets, strict=True), 2) if 5 * len(x & y) >= 4 * len(x | y)]
+    while any(label[a] != label[b] for a, b in links):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+def test_near_duplicates_are_exactly_those(spark):
+    """Edited copies around 0.8, texts that share a passage or a line repeated many times, and short ones, against all pairs."""
+    rng = np.random.default_rng(3)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    passage, junk = fresh(60), ["click"] * 5 + ["here"]
+    rows = [(1, None), (2, ""), (3, "one two"), (4, "One  two"), (5, "one two three")]
+    for g in range(60):
+        base = fresh(int(rng.choice([12, 40, 60, 200, 600])))
+        for _ in range(6):
+            own = list(base)
+            for at in rng.choice(len(own), int(len(own) * rng.choice([0, 0.01, 0.02, 0.025, 0.03, 0.05])) + int(rng.integers(2)), replace=False):
+                own[at] = f"c{rng.integers(10**6)}"
+            rows.append((len(rows) + 1, " ".join(own + (passage if g % 4 == 0 else []) + (junk * 60 if g % 5 == 0 else []))))
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _groups(rows)
+
+
 def test_repeated_words_do_not_merge_texts(spark, sf):
     """Half of each text's shingle places is one junk shingle; as a set it is one of many, so the texts stay."""
     rng = np.random.default_rng(4)
