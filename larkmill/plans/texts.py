@@ -447,6 +447,15 @@ def t01(s, d):
     return made.withColumn("weight", F.round("weight", 6))
 
 
+@query("t01_word_tfidf_all")
+def t01_all(s, d):
+    """All documents and whole texts: lower case, no accents, three documents at least, 98 % at most, the 200,000 commonest terms."""
+    docs = table(s, d, "documents")
+    plain = docs.select("doc_id", text.without_accents(F.lower("text")).alias("text"))
+    tf = tfidf.counts(plain, "doc_id", tfidf.word_terms(F.col("text")))
+    return tfidf.transform(tf, tfidf.fit(tf, docs.count(), 3, 0.98, 200_000), "doc_id").withColumn("weight", F.round("weight", 6))
+
+
 @query("t02_char_tfidf", r"""WITH docs AS (SELECT p_partkey AS doc_id, lower(p_name || ' ' || p_type) AS t FROM part),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_concat(list_concat(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)), list_transform(range(1, length(t) - 2), lambda i: substr(t, i, 4))), list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5)))) AS term FROM docs) GROUP BY 1, 2), """ + TFIDF_SQL.format(share=1.0))
 def t02(s, d):

@@ -2,8 +2,12 @@
 
 import io
 import json
+import math
 import os
+import re
 import tarfile
+import unicodedata
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,6 +15,7 @@ from pyspark.sql import functions as F
 
 from larkmill.functions import metrics
 from larkmill.operators import cluster, fuzzy, models, relate, splits, tfidf
+from larkmill.plans import workload
 from larkmill.sources import readers, sinks
 from larkmill.streaming import checkpoint
 
@@ -170,3 +175,22 @@ def test_tar_round_trip(spark, tmp_path):
     back = spark.read.format("tarshards").option("path", f"{tmp_path}/out/*.tar").load().collect()
     assert {(r["key"], bytes(r["parts"]["txt"])) for r in back} == {(k, p["txt"]) for k, p in rows if len(p) == 2}
     assert len(os.listdir(tmp_path / "out")) >= 5 and not [n for n in os.listdir(tmp_path / "out") if n.startswith(".")]
+
+
+def test_word_tfidf_of_all_documents(spark, tmp_path):
+    """Every language, accents and ids of any remainder, against the formula."""
+    texts = ["Café crème brûlée le soir", "cafe creme au lait", "CAFÉ noir le soir", "über straße le soir", "uber Straße im Regen", "Über strasse", None, "", "le soir cafe cafe"]
+    spark.createDataFrame([(i, t, "fr" if i % 2 else "de") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    tf = {}
+    for i, t in enumerate(texts):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", (t or "").lower()) if not unicodedata.combining(c))
+        w = re.findall(r"\b\w\w+\b", plain)
+        tf[i] = Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)])
+    df = Counter(t for own in tf.values() for t in own)
+    want = {}
+    for i, own in tf.items():
+        w = {t: (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + df[t])) + 1) for t, n in own.items() if 3 <= df[t] <= 0.98 * len(texts)}
+        want |= {(i, t): x / math.sqrt(sum(y * y for y in w.values())) for t, x in w.items()}
+    got = {(r["doc_id"], r["term"]): r["weight"] for r in workload.QUERIES["t01_word_tfidf_all"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and {t for _, t in want} >= {"cafe", "uber", "le soir"}
+    assert all(abs(got[k] - want[k]) < 1e-5 for k in want)
