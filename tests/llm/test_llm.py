@@ -189,6 +189,25 @@ def test_op3_differences(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_op3_notices_inside_prose(spark, docs):
+    """A notice at a text's head, with prose of any length after it or around it, and two notices in one line."""
+    prose = [" ".join(t.split()) for _, t in docs if len(t.split()) > 150 and not licenses.Scanner(licenses.TEMPLATES).hint.search(t)][:20]
+    want, rows = [], []
+    for k, p in enumerate(prose):
+        w = p.split()
+        for name in ("MIT-notice", "CC-BY-NC-4.0", "Apache-2.0-notice", "GPL-3.0"):
+            for n in (5, 40, 100, 150):
+                rows.append((len(rows), " ".join(w[: n * (k % 2)] + [licenses.TEMPLATES[name]] + w[:n])))
+                want.append((len(rows) - 1, name))
+    both = f"{prose[0]} {licenses.TEMPLATES['CC-BY-4.0']} {licenses.TEMPLATES['MIT-notice']} {prose[1]}"
+    rows.append((len(rows), both))
+    want += [(len(rows) - 1, "CC-BY-4.0"), (len(rows) - 1, "MIT-notice")]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["license"]) for r in got) == sorted(want) and all(r["n_changed"] == 0 for r in got)
+    text = dict(rows)
+    assert all(text[r["doc_id"]][r["at"] :].startswith(licenses.TEMPLATES[r["license"]]) for r in got)
+
+
 # op4
 
 
