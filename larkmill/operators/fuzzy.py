@@ -1,7 +1,8 @@
-"""Fuzzy brand resolution against a gazetteer, without a cross join.
+"""Fuzzy brand resolution against a gazetteer.
 
-Candidates share a word beginning with the brand (a block), so only likely pairs are compared; the gazetteer's own exact names are
-tried first. Similarities follow the public definitions of the indel ratio and the token-set ratio."""
+The gazetteer's own exact names are tried first; every other distinct candidate is compared with every name (by edits: with those whose
+length allows the match), so an error in any place is found. Similarities follow the public definitions of the indel ratio, the
+token-set ratio and the weighted ratio."""
 
 from __future__ import annotations
 
@@ -40,9 +41,37 @@ def token_sort_ratio(a: str, b: str) -> float:
     return indel_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
 
 
+def partial_ratio(a: str, b: str) -> float:
+    """The best ratio of the shorter text with any stretch of the longer that is as long, or cut off by its ends."""
+    s, t = sorted((a, b), key=len)
+    if not s:
+        return 100.0 if not t else 0.0
+    if s in t:
+        return 100.0
+    n = len(s)
+    windows = [(s, t)] if len(t) > n else [(s, t), (t, s)]
+    return max(indel_ratio(u, v[max(0, i) : i + n]) for u, v in windows for i in range(1 - n, len(v)))
+
+
+def partial_token_ratio(a: str, b: str) -> float:
+    """100 where a word is common, else the partial ratio of the sorted words, with and without repeats."""
+    x, y = set(a.split()), set(b.split())
+    if x & y:
+        return 100.0
+    return max(partial_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))), partial_ratio(" ".join(sorted(x)), " ".join(sorted(y))))
+
+
 def weighted_ratio(a: str, b: str) -> float:
-    """The ratio of the whole texts, or of their words at 0.95; the partial forms for very unequal lengths are left out."""
-    return max(indel_ratio(a, b), 0.95 * max(token_sort_ratio(a, b), token_set_ratio(a, b)))
+    """The ratio of the whole texts, or of their words at 0.95; where one is half as long again, the partial forms instead, at 0.9 (0.6
+    beyond eight times the length)."""
+    whole = indel_ratio(a, b)
+    if not a or not b:
+        return whole
+    unequal = max(len(a), len(b)) / min(len(a), len(b))
+    if unequal < 1.5:
+        return max(whole, 0.95 * max(token_sort_ratio(a, b), token_set_ratio(a, b)))
+    scale = 0.9 if unequal <= 8 else 0.6
+    return max(whole, scale * partial_ratio(a, b), 0.95 * scale * partial_token_ratio(a, b))
 
 
 @F.pandas_udf(T.StructType([T.StructField("whole", T.DoubleType()), T.StructField("words", T.DoubleType())]))
@@ -57,19 +86,13 @@ def gazetteer(brands: DataFrame, column: str, least: int = 2, short: int = 12) -
     return n.where((F.col("n") >= least) | (F.length("name") <= short)).select("name")
 
 
-def _keys(c):
-    words = F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, 3)))
-
-
 def resolve(df: DataFrame, key: str, candidate: str, names: DataFrame, whole: float = 90, words: float = 92) -> DataFrame:
     """key, candidate, resolved: the exact name (case aside), else the best above `whole` by the weighted ratio, else above `words` by
     the token-set ratio, else null. Ties go to the name that sorts first. Distinct candidates are compared once."""
     low = names.select("name", F.lower("name").alias("low"))
     own = df.where(F.col(candidate).isNotNull()).select(F.lower(candidate).alias("_q")).distinct()
     exact = own.join(low, F.col("_q") == F.col("low")).groupBy("_q").agg(F.min("name").alias("exact"))
-    blocks = low.select("name", "low", F.explode(_keys(F.col("low"))).alias("k"))
-    pairs = own.join(exact, "_q", "left_anti").select("_q", F.explode(_keys(F.col("_q"))).alias("k")).join(blocks, "k").select("_q", "name", "low").distinct()
+    pairs = own.join(exact, "_q", "left_anti").crossJoin(low.distinct())
     near = pairs.withColumn("s", similarities("_q", "low"))
     best = near.groupBy("_q").agg(
         F.min_by("name", F.struct((-F.col("s.whole")).alias("d"), F.col("name"))).alias("by_whole"), F.max("s.whole").alias("top_whole"),
@@ -81,9 +104,9 @@ def resolve(df: DataFrame, key: str, candidate: str, names: DataFrame, whole: fl
 
 def by_edits(df: DataFrame, key: str, candidate: str, names: DataFrame, most: int = 2) -> DataFrame:
     """The same with at most `most` edits, in built-in functions only: least edits, then the name that sorts first."""
-    blocks = names.select("name", F.explode(_keys(F.col("name"))).alias("k"))
+    sized = names.distinct().select("name", F.explode(F.sequence(F.greatest(F.lit(0), F.length(F.lower("name")) - most), F.length(F.lower("name")) + most)).alias("k"))
     own = df.where(F.col(candidate).isNotNull()).select(F.lower(candidate).alias("_q")).distinct()
-    pairs = own.select("_q", F.explode(_keys(F.col("_q"))).alias("k")).join(blocks, "k").select("_q", "name").distinct()
+    pairs = own.select("_q", F.length("_q").alias("k")).join(sized, "k").select("_q", "name")
     near = pairs.withColumn("d", F.levenshtein("_q", F.lower("name"), most)).where(F.col("d") >= 0)
     best = near.groupBy("_q").agg(F.min_by("name", F.struct("d", "name")).alias("resolved"))
     return df.select(key, candidate).join(best, F.lower(candidate) == F.col("_q"), "left").select(key, candidate, "resolved")

@@ -113,6 +113,20 @@ def test_fuzzy_blocking_recall(spark, sf):
     assert all(got[q] == w for q, w in want.items() if w)
 
 
+def test_fuzzy_errors_in_every_place(spark):
+    """One letter changed, dropped or put in anywhere in a one-word brand; and a name inside a longer text."""
+    names = spark.createDataFrame([("NestleBrands",), ("Acme Foods",), ("Bear Creek",)], "name string")
+    name = "nestlebrands"
+    asked = [f(i) for i in range(len(name)) for f in (lambda i: name[:i] + "#" + name[i + 1 :], lambda i: name[:i] + name[i + 1 :], lambda i: name[:i] + "#" + name[i:])]
+    df = spark.createDataFrame(list(enumerate(asked)), "k long, q string")
+    for found in (fuzzy.resolve(df, "k", "q", names), fuzzy.by_edits(df, "k", "q", names)):
+        assert {r["resolved"] for r in found.collect()} == {"NestleBrands"}
+    inside = spark.createDataFrame([(1, "xxnestlebrandsxxxx"), (2, "acme"), (3, "zzz")], "k long, q string")
+    assert {r["k"]: r["resolved"] for r in fuzzy.resolve(inside, "k", "q", names).collect()} == {1: "NestleBrands", 2: "Acme Foods", 3: None}
+    assert fuzzy.partial_ratio("abcd", "xxabcdxx") == 100 and abs(fuzzy.partial_ratio("abcd", "xxabxdxx") - 75) < 1e-9
+    assert fuzzy.weighted_ratio("abcd", "xxabcdxx") == 90 and fuzzy.partial_token_ratio("a b", "b c d e f") == 100
+
+
 def test_tar_and_arrays(spark, tmp_path):
     spark.dataSource.register(readers.TarSource)
     for i in range(2):
