@@ -87,6 +87,14 @@ def test_clusters(spark):
     assert cluster.calinski_harabasz(df.withColumn("label", F.lit(0)), "v", "label").first()["ch"] == float("-inf")
 
 
+def test_choose_k_takes_the_whole_table(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(cluster, "choose_k", lambda train, held, *rest: seen.append((train.count(), held.count())) or 5)
+    assert workload.QUERIES["c02_choose_k"](spark, sf).first()["k"] == 5
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    assert seen == [(n, n)]
+
+
 def test_singular_values(spark):
     x = np.random.default_rng(2).normal(size=(50, 6))
     df = spark.createDataFrame([([float(a) for a in r],) for r in x], "v array<double>")
