@@ -20,20 +20,26 @@ LOWER = UPPER.lower()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one is set only where the session names none."""
+    """The shared folder of spark.checkpoint.dir. Where the session names none, a temporary one is set in local mode, where all tasks
+    run on one machine; on a cluster that raises, as executors wouldn't see each other's files."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             return found.get()
-        root = tempfile.mkdtemp(prefix="larkmill-")
-        spark.sparkContext.setCheckpointDir(f"file://{root}")
-        return f"file://{root}"
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        root = f"file://{tempfile.mkdtemp(prefix='larkmill-')}"
+        spark.sparkContext.setCheckpointDir(root)
     return root
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/larkmill-{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark).rstrip('/')}/{_own(spark)}{name}-{uuid.uuid4().hex}"
+
+
+def _own(spark: SparkSession) -> str:
+    return f"larkmill-{spark.sparkContext.applicationId}-"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -45,27 +51,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table under the shared folder. Call it when no lazily read result is needed any more."""
+    """Delete this application's scratch tables. Call it when no lazily read result is needed any more."""
     jvm = spark.sparkContext._jvm
     base = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
     fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(base):
         for entry in fs.listStatus(base):
-            if entry.getPath().getName().startswith("larkmill-"):
+            if entry.getPath().getName().startswith(_own(spark)):
                 fs.delete(entry.getPath(), True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to BATCH_ROWS rows, so that long texts don't meet by ten thousands in a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow over batches of BATCH_ROWS rows at most. Spark bounds a batch's bytes (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB
+    unless the session says otherwise); rows are cut here, so that no session setting changes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(b.slice(at, BATCH_ROWS) for b in batches for at in range(0, max(1, b.num_rows), BATCH_ROWS))
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
 
 
 def gathered(batches: Iterator[pa.RecordBatch], rows: int = 65_536) -> Iterator[pa.RecordBatch]:

@@ -21,26 +21,27 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     Null or empty text is one empty line and stays as an empty text; an empty table gives an empty table; rows repeated under one id
     count as one document and are treated alike; a null id counts as one document below all others. Columns named like the added ones
     are replaced. The key is a pair of 64-bit hashes; a hash held by a third of all rows is counted after partial aggregation, and
-    the join that marks its lines is an equi-join which adaptive execution may split.
+    the join that marks its lines is an equi-join which adaptive execution may split. Positions are gathered by id and text, so that rows
+    without an id don't meet. Each text is split into lines once to mark them and once to put the others together.
     """
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "_lm_th", "_lm_drop", "_lm_id")]
+    keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "_lm_th", "_lm_drop", "_lm_id", "_lm_gone")]
     lines = F.split(text_of(text_col), "\n", -1)
-    base = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64(text_of(text_col)).alias("_lm_th"))
-    one = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("th"), F.posexplode(lines).alias("pos", "line"))
+    th = F.xxhash64(text_of(text_col))
+    whole = docs.select(F.col(id_col).alias("id"), th.alias("th"), lines.alias("lines"))  # below the explode, so that a text is hashed once
+    one = whole.select("id", "th", F.posexplode("lines").alias("pos", "line"))
     one = one.select("id", "th", "pos", F.btrim("line", F.lit(BLANKS)).alias("key")).where(F.char_length("key") >= min_chars)
     one = one.select("id", "th", "pos", ascii_lower(F.col("key")).alias("key"))
-    one = one.select("id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(min_chars), "key").alias("h2"))
-    held = one.groupBy("h1", "h2", "id").agg(F.collect_set(F.struct("th", "pos")).alias("at"))
-    common = held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
+    one = written(one.select("id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(min_chars), "key").alias("h2")), "lines")
+    common = one.select("h1", "h2", "id").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
     # written, so that both sides of the join below are plain exchanges, which adaptive execution can split at a hot line
     common = written(common.where(F.col("n") >= min_docs).select("h1", "h2", "last"), "common-lines")
-    gone = held.join(common, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("last")))
-    gone = gone.groupBy(F.col("id").alias("_lm_id")).agg(F.flatten(F.collect_list("at")).alias("_lm_drop"))
-    out = base.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_lm_id")), "left")
-    n_lines = F.size(lines)
-    # rows of one id may hold different texts: only the positions noted for this text count
-    marks = F.coalesce(F.transform(F.filter("_lm_drop", lambda x: x["th"] == F.col("_lm_th")), lambda x: x["pos"]), F.array().cast("array<int>"))
-    marks = F.array_distinct(marks)
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), n_lines - 1), marks), lambda i: F.element_at(lines, i + 1)), "\n")
-    text = F.when(F.size(marks) == 0, text_of(text_col)).otherwise(kept)
-    return out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in keep], n_lines.cast("long").alias("n_lines"), F.size(marks).cast("long").alias("n_dropped"))
+    gone = one.join(common, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("last")))
+    gone = gone.groupBy(F.col("id").alias("_lm_id"), F.col("th").alias("_lm_gone")).agg(F.collect_set("pos").alias("_lm_drop"))
+    base = docs.select(*[F.col(f"`{c}`") for c in keep], th.alias("_lm_th"))
+    out = base.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_lm_id")) & (F.col("_lm_th") == F.col("_lm_gone")), "left")
+    # a lambda's variable holds the lines, so that they are split once and not for each line that stays
+    rest = lambda own: F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("_lm_drop"))
+    kept = F.transform(F.array(lines), lambda own: F.array_join(F.transform(rest(own), lambda i: F.element_at(own, i + 1)), "\n"))
+    text = F.when(F.col("_lm_drop").isNull(), text_of(text_col)).otherwise(F.element_at(kept, 1))
+    dropped = F.when(F.col("_lm_drop").isNull(), 0).otherwise(F.size("_lm_drop"))
+    return out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in keep], F.size(lines).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
