@@ -85,33 +85,29 @@ def pigeonhole_keys(radius: int, segments: int) -> Column:
     return F.array(*keys)
 
 
-def band_keys(parts: int, bits: int) -> Column:
-    """Keys of a fingerprint of several words: bands of `bits` neighbouring bits, none across two words."""
-    keys = []
-    for p in range(parts):
-        for at in range(0, 64 - bits + 1, bits):
-            v = F.shiftrightunsigned(F.element_at("fp", p + 1), at).bitwiseAND(F.lit((1 << bits) - 1))
-            keys.append(F.struct(F.lit(64 * p + at).alias("i"), v.alias("v")))
-    return F.array(*keys)
-
-
-def _forest(fps: np.ndarray, reps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Star links (rep, least rep) of the groups that the rows of one block form. fps: rows x words, uint64."""
+def near_matrix(fps: np.ndarray, radius: int) -> np.ndarray:
+    """Which rows (rows x words, uint64) differ in `radius` bits at most. Rows are sorted by their number of one bits and cut into tiles;
+    pairs of tiles whose numbers differ by more than the radius everywhere are skipped."""
     ones = np.bitwise_count(fps).sum(axis=1, dtype=np.int64)
     order = np.argsort(ones, kind="stable")
-    fps, reps, ones = fps[order], reps[order], ones[order]
-    n = len(reps)
+    sorted_fps, ones, n = fps[order], ones[order], len(fps)
     near = np.zeros((n, n), dtype=bool)
     for a in range(0, n, TILE):
         for b in range(a, n, TILE):
             if ones[b] - ones[min(a + TILE, n) - 1] > radius:
                 break  # sorted: all later tiles differ by more
-            x, y = fps[a : a + TILE], fps[b : b + TILE]
+            x, y = sorted_fps[a : a + TILE], sorted_fps[b : b + TILE]
             apart = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0]).astype(np.uint16)
             for w in range(1, fps.shape[1]):
                 apart += np.bitwise_count(x[:, None, w] ^ y[None, :, w])
-            near[a : a + TILE, b : b + TILE] = apart <= radius
-            near[b : b + TILE, a : a + TILE] |= near[a : a + TILE, b : b + TILE].T
+            near[np.ix_(order[a : a + TILE], order[b : b + TILE])] = apart <= radius
+            near[np.ix_(order[b : b + TILE], order[a : a + TILE])] = (apart <= radius).T
+    return near
+
+
+def _forest(fps: np.ndarray, reps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Star links (rep, least rep) of the groups that the rows of one block form. fps: rows x words, uint64."""
+    near, n = near_matrix(fps, radius), len(reps)
     if np.count_nonzero(near) <= n:
         return []
     free, out = np.ones(n, dtype=bool), []
@@ -184,18 +180,15 @@ def _linked(rows: tuple, cuts: np.ndarray, radius: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], type=pa.int64()), pa.array([y for _, y in out], type=pa.int64())], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, parts: int = 4, radius: int = 52, keys: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp array<long>, component_id: the least doc_id reachable over fingerprints within the radius, itself included.
-
-    By default 256 bits on five-word shingles, radius 52: a similarity (Jaccard) of 0.8 makes 38.5 bits differ on average with a
-    standard deviation of 5.7, unrelated texts 128 with one of 8. Candidates share one of 20 bands of 12 bits, which pairs of
-    similarity 0.8 miss with a probability of about 0.05, and of 0.9 with 0.005. With keys=pigeonhole_keys(radius, segments) nothing is missed.
+def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, segments: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp array<long>, component_id: the least doc_id reachable over 64-bit fingerprints within the radius, itself included.
+    Candidates share segments - radius of the segments, so that nothing within the radius is missed.
 
     Null and wordless texts have zero fingerprints and link like any other; equal fingerprints are one node, so copies cost nothing;
     repeated rows come back as often as they came; a null id is never a component_id where its group has another. Empty: empty."""
-    fps = written(fingerprints(docs, k, parts, id_col, text_col), "fingerprints")
+    fps = written(fingerprints(docs, k, 1, id_col, text_col), "fingerprints")
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    found = links(distinct.where(F.col("rep").isNotNull()), band_keys(parts, 12) if keys is None else keys, radius, parts)
+    found = links(distinct.where(F.col("rep").isNotNull()), pigeonhole_keys(radius, segments), radius, 1)
     roots = components(found)
     labelled = distinct.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return fps.join(labelled, "fp").select("doc_id", "fp", "component_id")

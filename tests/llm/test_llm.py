@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from larkmill.llm import chunks, decontaminate, graph, lattice, licenses, line_dedup, packing, queries, simhash, sketches, token_files, tokens, toxicity
+from larkmill.llm import chunks, decontaminate, graph, lattice, licenses, line_dedup, packing, queries, similar, simhash, sketches, token_files, tokens, toxicity
 
 BPE = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, n_lines int, fp string, part int"
@@ -344,7 +344,7 @@ def test_op7(spark, sf, docs):
 
 
 def test_op7_edges(spark, edge, empty):
-    rows = simhash.near_duplicates(edge, 3, 1, 3, simhash.pigeonhole_keys(3, 5)).collect()
+    rows = simhash.near_duplicates(edge).collect()
     assert len(rows) == edge.count() and {r["component_id"] for r in rows if r["doc_id"] in (1, 2, 7)} == {1}
     assert {r["component_id"] for r in rows if r["doc_id"] in (4, 5, 9)} == {4}
     assert simhash.near_duplicates(empty).count() == 0
@@ -392,7 +392,7 @@ def test_wide_fingerprints_find_similar_texts(spark):
         for at in np.linspace(20, 380, n).astype(int):
             own[at] = f"c{i}{at}"
         rows.append((i, " ".join(own)))
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {got[i] for i in (1, 2, 3, 4)} == {1} and all(got[i] == i for i in range(100, 140))
 
 

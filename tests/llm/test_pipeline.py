@@ -68,3 +68,34 @@ def test_repeated_words_do_not_merge_texts(spark, sf):
     rows = [(i, " ".join([*(f"w{x}" for x in rng.integers(0, 10**6, 150)), *["junk"] * 300]), "en", "s", 1) for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert cp.near_duplicate_stage(spark, docs, sf).count() == 20
+
+
+def test_near_duplicates_by_row(spark, sf):
+    """Ids that repeat: each text stays or goes with its own group, and of equal rows one stays."""
+    rng = np.random.default_rng(5)
+    fresh = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    a, b, c = fresh(120), fresh(120), fresh(120)
+    rows = [(1, a), (5, a + " word"), (5, b), (7, c), (9, b + " word"), (11, a), (11, a), (12, fresh(50)), (12, rows_text := fresh(50)), (12, rows_text), (None, c), (None, d := fresh(30)), (None, d)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.near_duplicate_stage(spark, docs, sf)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in got.collect()) == sorted([(1, a), (5, b), (7, c), (12, rows[7][1]), (12, rows_text), (-1, d)])
+    assert cp.near_duplicate_stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_long_lists_are_cut(spark, monkeypatch):
+    """Lists longer than a block, with several groups in them, against all pairs."""
+    monkeypatch.setattr(similar, "BLOCK", 8)
+    rng = np.random.default_rng(6)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    short, rows = fresh(9), []
+    for g in range(3):
+        base = short + fresh(14)
+        for _ in range(30):
+            own = list(base)
+            for at in rng.choice(14, int(rng.integers(0, 2)), replace=False):
+                own[9 + at] = f"c{rng.integers(10**6)}"
+            rows.append((len(rows) + 1, " ".join(own)))
+    rows += [(1000 + i, " ".join(short + fresh(6))) for i in range(40)]
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _groups(rows)
