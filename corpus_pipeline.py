@@ -27,11 +27,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (linked by an exact Jaccard similarity of 0.8 or more of distinct five-word shingles) the document
-    with the least id stays. Rows without an id stay."""
-    found = similar.similar_groups(docs)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates (SimHash tiles, each link confirmed by an exact Jaccard similarity of 0.8 or more of distinct
+    five-word shingles) one row stays, that with the least id (nulls last). Rows are judged, not ids; all null and wordless texts are
+    copies of each other."""
+    return similar.one_of_each(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
