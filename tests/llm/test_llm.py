@@ -475,6 +475,85 @@ def test_op9_finds_shifted_passages(spark, edge, empty):
     assert {r["doc_id"] for r in chunks.repeats(edge, min_bytes=30).collect()} == {4, 5, 6, 9}
 
 
+def test_op9_recall(spark, docs):
+    """Passages of 51 to 100 words of prose, each put into two texts at different places: all are to be found, and texts that share
+    40 words at most are to be left alone."""
+    rng = np.random.default_rng(11)
+    prose = [t.split() for _, t in docs if len(t.split()) > 400]
+    rows, want = [], set()
+    fill = lambda n: " ".join(f"z{x}" for x in rng.integers(0, 10**9, n))
+    for k in range(400):
+        n = int(rng.choice([51, 55, 60, 75, 100])) if k % 4 else 36
+        own = prose[k % len(prose)]
+        at = int(rng.integers(0, len(own) - n))
+        passage = " ".join([f"q{k}", *own[at : at + n - 1]]) if k % 4 == 0 else " ".join(own[at : at + n])
+        for _ in range(2):
+            rows.append((len(rows), f"{fill(int(rng.integers(1, 60)))} {passage} {fill(int(rng.integers(1, 60)))}"))
+        if k % 4:
+            want |= {len(rows) - 2, len(rows) - 1}
+    by = collections.defaultdict(set)  # passages may overlap: what shares 45 words or more in a row is to be found too
+    for i, t in rows:
+        w = t.split()
+        for a in range(len(w) - 44):
+            by[tuple(w[a : a + 45])].add(i)
+    shared = {i for v in by.values() if len(v) > 1 for i in v}
+    got = {r["doc_id"] for r in chunks.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want <= shared and len(want - got) <= 0.005 * len(want) and got <= shared
+
+
+def test_op9_brute_force(spark, docs):
+    """Chunks grouped by their bytes and stretches grown over the words themselves, in Python, for all documents."""
+    texts = [(i, t) for i, t in docs if t]
+    held = collections.defaultdict(set)
+    for i, t in texts:
+        data, at = t.encode(), 0
+        for end in chunks.cut_points(data):
+            held[data[at:end]].add(i)
+            at = end
+    text = dict(texts)
+
+    def around(i, piece):
+        data = text[i].encode()
+        at = 0
+        for end in chunks.cut_points(data):
+            if data[at:end] == piece:
+                yield data[:at].split()[::-1][: chunks.REACH], data[end:].split()[: chunks.REACH]
+            at = end
+
+    def same(a, b):
+        return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    want = {}
+    for i, t in texts:
+        data, at, spans, run = t.encode(), 0, [], []
+        for end in [*chunks.cut_points(data), None]:
+            piece = data[at:end] if end else None
+            if end and len(held[piece]) > 1:
+                run.append((at, end))
+            elif run:
+                a, b = run[0][0], run[-1][1]
+                words = len(data[a:b].split())
+                grown = []
+                for (x, y), k in ((run[0], 0), (run[-1], 1)):
+                    piece_ = data[x:y]
+                    mine = (data[:x].split()[::-1], data[y:].split())[k][: chunks.REACH]
+                    grown.append({same(mine, o[k]) for other in {min(held[piece_]), max(held[piece_])} - {i} for o in around(other, piece_)})
+                spans.append((a, b - a, words, grown))
+                run = []
+            at = end
+        want[i] = spans
+    got = {r["doc_id"]: r["spans"] for r in chunks.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, spans in want.items():
+        own = {(s["at"], s["size"]): s["n_words"] for s in got.get(i, [])}
+        for a, n, words, (left, right) in spans:
+            least, most = words + min(left) + min(right), words + max(left) + max(right)
+            if (a, n) in own:
+                assert chunks.MIN_WORDS <= own.pop((a, n)) and most >= chunks.MIN_WORDS
+            else:
+                assert least < chunks.MIN_WORDS
+        assert not own
+
+
 # op10
 
 
