@@ -1,12 +1,14 @@
 """Toxicity: a support vector machine over a subsequence string kernel with Nystroem landmarks.
 
-Words, with a mark at their start, are compared with landmark strings by the gap-weighted subsequence kernel: common subsequences of
-three characters count, each less the longer its spans, so gaps and inserted characters lower a match instead of hiding it. The mean of a
-power of it over a document's words (and its maximum) against the landmarks, the mean whitened by the landmarks' own kernel matrix,
-are the document's features. The machine and its landmarks are learned from labelled documents."""
+Strings are compared by the gap-weighted subsequence kernel: common subsequences of three characters count, each less the longer its
+spans, so gaps and inserted characters lower a match instead of hiding it. The kernel is normalised (1 of a string with itself) and taken
+to a power, which keeps it positive semidefinite. A word counts by the best of its beginnings and the whole, with a mark at its start.
+Kernel values against landmark strings, mapped by the inverse square root of the landmarks' own kernel matrix (Nystroem), give each
+word's vector; a text is the mean of its words' vectors and their maximum. Landmarks and machine are learned from labelled texts."""
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,13 +21,17 @@ from pyspark.sql import functions as F
 from .common import map_batches, text_of, written
 
 #: Kernel: subsequence length (the code below is for 3), the farthest that its neighbours may lie apart, decay of each spanned
-#: character, and the power that sharpens the mean.
-ORDER, GAP, DECAY, POWER = 3, 3, 0.7, 8
-#: Landmarks, and labelled documents that the fit takes at most (about; chosen by a hash of the id).
-LANDMARKS, SAMPLE = 32, 20_000
+#: character, the power, and the sizes (with the mark) of a word's beginnings that are compared.
+ORDER, GAP, DECAY, POWER, STARTS = 3, 3, 0.7, 8, (6, 7, 8, 9)
+#: Landmarks from toxic and from other texts, and labelled documents that the fit takes at most (about; chosen by a hash of the id).
+LANDMARKS, PLAIN, SAMPLE = 32, 16, 20_000
 MARK, WIDE = "^", 32
+#: From this value on, norms are exact; lower ones, 0.0003 at most after the power, are normalised by length alone.
+EXACT = 0.35
 _CHUNK = 2048
 _SIGNS = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
+_NO_SIGNS = str.maketrans("", "", _SIGNS)
+_SPELLED = re.compile(r"(?<!\S)(?:\S ){2,}\S(?!\S)")
 
 
 def _codes(strings: list[str]) -> np.ndarray:
@@ -54,55 +60,91 @@ def weights(s: str) -> dict[tuple[str, str, str], float]:
     return out
 
 
+def _triples(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of all subsequences of a string of this length."""
+    all_ = [(i, j, k) for i in range(length) for j in range(i + 1, min(i + GAP + 1, length)) for k in range(j + 1, min(j + GAP + 1, length))]
+    i, j, k = np.array(all_, dtype=np.int64).reshape(-1, 3).T
+    return i, j, k
+
+
+def _norms(c: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """Square roots of the kernel of beginnings of these sizes with themselves: strings (columns of c) x sizes."""
+    i, j, k = _triples(len(c))
+    code = (c[i].astype(np.int64) << 42) | (c[j].astype(np.int64) << 21) | c[k].astype(np.int64)
+    order = np.argsort(code, axis=0, kind="stable")
+    same = np.take_along_axis(code, order, axis=0)
+    first = np.concatenate((np.ones((1, code.shape[1]), dtype=bool), same[1:] != same[:-1])).T.reshape(-1)
+    at = np.flatnonzero(first)
+    out = np.empty((code.shape[1], len(sizes)))
+    for column, size in enumerate(sizes):
+        w = np.where(k < size, DECAY ** (k - i + 1), 0.0)
+        sums = np.add.reduceat(w[order].T.reshape(-1), at) ** 2
+        out[:, column] = np.sqrt(np.bincount(at // len(i), weights=sums, minlength=code.shape[1]))
+    return out
+
+
+def _plain_norm(size: int) -> float:
+    """The norm of a string in which no subsequence comes twice."""
+    i, _, k = _triples(size)
+    return float(np.sqrt((DECAY ** (2.0 * (k - i + 1))).sum()))
+
+
 class Kernel:
-    """Kernel of any strings with fixed landmarks, over each landmark's kernel with itself: 1 where a string holds all of the landmark,
-    whatever else it holds. Only subsequences that a landmark has can count, so a table of those
-    picks them out of all triples of a word's characters."""
+    """Normalised kernel of any strings, by the best of their beginnings and the whole, with fixed landmarks. Only subsequences that a
+    landmark has can count, so a table of those picks them out of all triples of a string's characters."""
 
     def __init__(self, landmarks: list[str]):
         maps = [weights(s) for s in landmarks]
+        self.count = len(landmarks)
         self.letters = np.array(sorted({ord(c) for m in maps for u in m for c in u}), dtype=np.int32)
         size = len(self.letters) + 1
         number = {chr(c): i + 1 for i, c in enumerate(self.letters.tolist())}
         used = sorted({u for m in maps for u in m})
         self.size = size
         self.table = np.zeros(size**3, dtype=np.int32)
-        self.coef = np.zeros((len(used) + 1, len(landmarks)), dtype=np.float32)
+        own: list[list[tuple[int, float]]] = [[]]  # of each triple: landmarks that have it, and its weight over their norm
         for r, u in enumerate(used, 1):
             a, b, c = (number[x] for x in u)
             self.table[(a * size + b) * size + c] = r
-            for m, own in enumerate(maps):
-                self.coef[r, m] = own.get(u, 0.0)
-        self.norm = np.array([sum(v * v for v in m.values()) ** 0.5 for m in maps], dtype=np.float32)
+            own.append([(m, x[u] / sum(v * v for v in x.values()) ** 0.5) for m, x in enumerate(maps) if u in x])
+        self.first = np.cumsum([0] + [len(o) for o in own])
+        self.mark = np.array([m for o in own for m, _ in o], dtype=np.int64)
+        self.weight = np.array([v for o in own for _, v in o])
 
     def __call__(self, strings: list[str]) -> np.ndarray:
-        """0 to 1 (more counts as 1); strings too short for a subsequence are like nothing."""
-        out = np.zeros((len(strings), len(self.norm)), dtype=np.float32)
-        if not len(self.norm):
+        """0 to 1; strings too short for a subsequence are like nothing."""
+        out = np.zeros((len(strings), self.count), dtype=np.float32)
+        if not len(self.letters):
             return out
-        decay = (DECAY ** np.arange(2 * WIDE)).astype(np.float32)
+        decay = DECAY ** np.arange(2 * WIDE)
         for length, idx in _by_length(strings):
             if length < ORDER:
                 continue
             c = _codes([strings[i] for i in idx])
             at = np.minimum(np.searchsorted(self.letters, c), len(self.letters) - 1)
             w = np.where(self.letters[at] == c, at + 1, 0).astype(np.int32)
-            rows, used, sizes = [], [], []
+            sizes = [s for s in STARTS if s < length] + [length]
+            begun = np.searchsorted(sizes, np.arange(length), side="right")  # the first beginning that holds a character
+            rows, used, values, kinds = [], [], [], []
             for i in range(length - 2):
                 for j in range(i + 1, min(i + GAP, length - 2) + 1):
                     found = self.table[(w[i] * self.size + w[j]) * self.size + w[j + 1 : j + GAP + 1]]
                     k, row = np.nonzero(found)
                     rows.append(row)
                     used.append(found[k, row])
-                    sizes.append(decay[k + (j + 2 - i)])
-            row = np.concatenate(rows).astype(np.uint16)
-            order = np.argsort(row, kind="stable")
-            row = row[order]
-            first = np.flatnonzero(np.diff(row, prepend=np.uint16(0xFFFF)))
-            if len(first):
-                parts = self.coef[np.concatenate(used)[order]] * np.concatenate(sizes)[order, None]
-                out[np.array(idx)[row[first]]] = np.add.reduceat(parts, first, axis=0)
-        np.minimum(out / self.norm[None] ** 2, 1, out=out)
+                    values.append(decay[k + (j + 2 - i)])
+                    kinds.append(begun[k + j + 1])
+            row, u, v, kind = (np.concatenate(x) for x in (rows, used, values, kinds))
+            many = self.first[u + 1] - self.first[u]
+            each = np.repeat(self.first[u] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            cell = (np.repeat(row, many) * len(sizes) + np.repeat(kind, many)) * self.count + self.mark[each]
+            sums = np.bincount(cell, weights=np.repeat(v, many) * self.weight[each], minlength=len(idx) * len(sizes) * self.count)
+            sums = sums.reshape(len(idx), len(sizes), self.count).cumsum(axis=1)
+            made = (sums / np.array([_plain_norm(s) for s in sizes])[:, None]).max(axis=1)
+            near = np.flatnonzero(made.max(axis=1) >= EXACT)
+            if len(near):
+                made[near] = (sums[near] / _norms(c[:, near], sizes)[:, :, None]).max(axis=1)
+            out[idx] = made
         return out
 
 
@@ -113,12 +155,14 @@ def _units(word: str) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
-    return text.lower().split()
+    """White-space words in lower case, and words spelled out with blanks ("b a d") as one more word each."""
+    low = text.lower()
+    return low.split() + [m.replace(" ", "") for m in _SPELLED.findall(low)]
 
 
 def bare(word: str) -> str:
-    """Signs around a word say nothing; those inside stay."""
-    return word.strip(_SIGNS) or word
+    """Signs around a word say nothing, nor do those within."""
+    return word.translate(_NO_SIGNS) or word
 
 
 @dataclass
@@ -140,7 +184,8 @@ class Model:
 
 
 class Pooler:
-    """Features of documents. Kernel rows of the words met so far are kept up to a limit."""
+    """Features of texts: mean and maximum of their words' kernel rows, Nystroem-mapped. Rows of the words met so far are kept up to a
+    limit."""
 
     def __init__(self, landmarks: list[str], whiten: np.ndarray, entries: int = 250_000):
         self.landmarks, self.whiten, self.entries = landmarks, whiten, entries
@@ -160,7 +205,7 @@ class Pooler:
         rows = np.zeros((len(of), len(self.landmarks)), dtype=np.float32)
         np.maximum.at(rows, owner, self.kernel(units))
         self.at.update(zip(words, (len(self.rows) + i for i in at), strict=True))
-        self.rows = np.concatenate((self.rows, rows))
+        self.rows = np.concatenate((self.rows, rows**POWER))
 
     def features(self, texts: list[str]) -> np.ndarray:
         m = len(self.landmarks)
@@ -177,12 +222,8 @@ class Pooler:
             for i, ws in enumerate(group):
                 if ws:
                     k = self.rows[np.fromiter(map(self.at.__getitem__, ws), dtype=np.int64, count=len(ws))]
-                    top = k.max(axis=0)
-                    k *= k
-                    k *= k
-                    k *= k
-                    out[a + i, :m] = np.log1p(1000 * np.maximum(self.whiten @ k.mean(axis=0), 0))
-                    out[a + i, m:] = top**4
+                    out[a + i, :m] = self.whiten @ k.mean(axis=0, dtype=np.float64)
+                    out[a + i, m:] = self.whiten @ k.max(axis=0)
         return out
 
 
@@ -236,7 +277,15 @@ def choose_landmarks(sample: DataFrame, count: int = LANDMARKS) -> list[str]:
     return chosen
 
 
+def plain_landmarks(sample: DataFrame, count: int = PLAIN) -> list[str]:
+    """Words (at most 8 characters of each) of texts that aren't toxic, chosen by a hash."""
+    words = sample.where("toxic = 0").select(F.explode(F.slice(F.split(F.lower("text"), r"\s+"), 1, 20)).alias("w")).where(F.char_length("w").between(4, 16)).distinct()
+    found = [r["w"] for r in words.orderBy(F.xxhash64("w"), "w").limit(4 * count).collect()]
+    return list(dict.fromkeys(MARK + bare(w)[:8] for w in found if len(bare(w)) > 3))[:count]
+
+
 def whitening(landmarks: list[str]) -> np.ndarray:
+    """The inverse square root of the landmarks' kernel matrix, by which kernel values become Nystroem coordinates."""
     k = Kernel(landmarks)(landmarks).astype(np.float64) ** POWER
     w, v = np.linalg.eigh((k + k.T) / 2)
     return v @ np.diag(1 / np.sqrt(np.maximum(w, 1e-2))) @ v.T
@@ -291,6 +340,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, landmarks: in
     sample = written(sample.select("text", F.col("toxic").cast("int").alias("toxic")), "labelled")
     spread = sample.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     marks = choose_landmarks(sample, landmarks)
+    marks += [m for m in plain_landmarks(sample) if m not in marks] if marks else []
     white = whitening(marks) if marks else np.zeros((0, 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -557,15 +557,42 @@ def test_op9_brute_force(spark, docs):
 # op10
 
 
+def kernel_brute(a, b):
+    p, q = toxicity.weights(a), toxicity.weights(b)
+    return sum(v * q.get(u, 0) for u, v in p.items()) / (sum(v * v for v in p.values()) * sum(v * v for v in q.values())) ** 0.5 if p and q else 0.0
+
+
+def word_brute(word, mark):
+    return max(kernel_brute(word[:n], mark) for n in (*(s for s in toxicity.STARTS if s < len(word)), len(word)))
+
+
 def test_string_kernel_is_the_feature_products():
-    marks = ["^idiot", "^réeux", "^ab"]
-    words = ["^idiot", "^id.iot", "^i-d-i-o-t", "^réeuxpa", "^other", "^", "^a"]
+    marks = ["^idiot", "^réeux", "^ab", "^banana"]
+    words = ["^idiot", "^idxiot", "^idiooot", "^réeuxpa", "^réeuxellement", "^other", "^", "^a", "^bananabanana", "^aaaaaaaa", "^ananas"]
     got = toxicity.Kernel(marks)(words)
     for a, w in enumerate(words):
         for b, m in enumerate(marks):
-            p, q = toxicity.weights(w), toxicity.weights(m)
-            want = min(1.0, sum(v * q.get(u, 0) for u, v in p.items()) / max(1e-9, sum(v * v for v in q.values()))) if q else 0
-            assert abs(got[a, b] - want) < 1e-5
+            want = word_brute(w, m)
+            assert abs(got[a, b] ** toxicity.POWER - want**toxicity.POWER) < 1e-3 and (want < toxicity.EXACT or abs(got[a, b] - want) < 1e-5)
+    assert got[0, 0] > 0.999 and got[3, 1] > 0.999 and got[1, 0] > 0.5
+
+
+def test_features_and_decision_by_hand():
+    """Nystroem coordinates, their mean and maximum, and the machine's score of texts, from the kernel's definition."""
+    marks = ["^idiot", "^clown", "^table"]
+    k = np.array([[word_brute(a, b) ** toxicity.POWER for b in marks] for a in marks])
+    w, v = np.linalg.eigh((k + k.T) / 2)
+    root = v @ np.diag(w**-0.5) @ v.T
+    assert np.allclose(toxicity.whitening(marks), root, atol=1e-4) and np.allclose(root @ k @ root, np.eye(3), atol=1e-6)
+    texts = ["You IDIOT, you", "a c l o w n of id-iot", "", "tables and clowns " * 3]
+    made = toxicity.Pooler(marks, root).features(texts)
+    words = [["you", "idiot", "you"], ["a", "c", "l", "o", "w", "n", "of", "idiot", "aclown"], [], ["tables", "and", "clowns"] * 3]
+    for row, ws in zip(made, words, strict=True):
+        rows = np.array([[word_brute("^" + x, m) ** toxicity.POWER for m in marks] for x in ws]) if ws else np.zeros((1, 3))
+        assert np.allclose(row, np.concatenate((root @ rows.mean(axis=0), root @ rows.max(axis=0))), atol=2e-3)
+    model = toxicity.Model(marks, root, np.arange(6.0), np.full(6, 2.0), np.linspace(-1, 1, 6), 0.3, (2.0, -0.1))
+    want = [1 / (1 + math.exp(-(2.0 * (sum((x - m) / 2.0 * g for x, m, g in zip(row, range(6), np.linspace(-1, 1, 6), strict=True)) + 0.3) - 0.1))) for row in made]
+    assert np.allclose(model.score(made), want)
 
 
 def test_op10_accuracy(spark):
