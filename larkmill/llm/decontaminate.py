@@ -1,11 +1,13 @@
 """Benchmark decontamination by the q-gram lemma.
 
-An occurrence of an item of m characters with at most e edits shares m + 1 - q - e * q character q-grams with the text, all within
-e + 1 diagonals. So shared q-grams are counted in overlapping bands of diagonals; bands that reach the bound are verified by a banded
-alignment that counts the edits."""
+An occurrence of an item of m characters with at most e edits keeps m + 1 - q - e * q of the item's character q-grams, all within
+e + 1 diagonals. So the distinct places of the item whose q-grams the text has are counted in overlapping bands of diagonals. Bands that
+reach the bound, neighbours put together, are searched for the least number of edits by bit vectors, and what is within the budget is
+verified by a banded alignment, which gives the place."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_of
+from .common import map_batches, text_of, written
 
 #: Gram length, edits allowed for each character of an item, and characters of benchmark that one pass sends to the tasks.
-Q, EDITS, PASS_CHARS = 10, 0.08, 8_000_000
-_GROUP = 1 << 20
+Q, EDITS, PASS_CHARS = 10, 0.08, 2_000_000
+_GROUP, _PAIRS = 1 << 20, 1 << 22
 _B = 0x9E3779B97F4A7C15
 _BITS = 22
 
@@ -89,7 +91,7 @@ def build_index(items: list[tuple[int, str | None]], q: int = Q, rate: float = E
     seen = np.zeros(1 << _BITS, dtype=bool)
     with np.errstate(over="ignore"):
         seen[_slot(keys)] = True
-    return Index([i for i, _ in kept], [t for _, t in kept], q, edits, need, keys, np.append(first, len(h)), it[order], pl[order], seen, np.flatnonzero(m < q).tolist())
+    return Index([i for i, _ in kept], [t for _, t in kept], q, edits, need, keys, np.append(first, len(h)), it[order].astype(np.int32), pl[order].astype(np.int32), seen, np.flatnonzero(m < q).tolist())
 
 
 def banded_edits(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int] | None:
@@ -124,6 +126,30 @@ def banded_edits(item: np.ndarray, text: np.ndarray, low: int, high: int, most:
     return (int(cost[k]), int(start[k])) if cost[k] <= most else None
 
 
+def least_edits(item: str, text: str) -> tuple[int, int]:
+    """(edits, end) of the best occurrence of item in text, by bit vectors as wide as the item; of ends that tie, the first."""
+    masks: dict[str, int] = {}
+    for i, c in enumerate(item):
+        masks[c] = masks.get(c, 0) | 1 << i
+    all_, top = (1 << len(item)) - 1, 1 << len(item) - 1
+    up, down, score = all_, 0, len(item)
+    best = (score, 0)
+    for end, c in enumerate(text, 1):
+        eq = masks.get(c, 0)
+        x = eq | down
+        d0 = (((x & up) + up) ^ up) | x
+        more, less = down | (all_ & ~(d0 | up)), up & d0
+        if more & top:
+            score += 1
+        elif less & top:
+            score -= 1
+            if score < best[0]:
+                best = (score, end)
+        more, less = more << 1, less << 1  # no one is carried in: an occurrence may start anywhere
+        up, down = (less | (all_ & ~(d0 | more))) & all_, more & d0 & all_
+    return best
+
+
 def find(index: Index, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
     """For each normalised text: (item id, edits, place, shared grams), the best place of each item found."""
     out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
@@ -156,80 +182,144 @@ def _find_group(index: Index, texts: list[str], a: int, b: int, out: list) -> No
     if not len(at):
         return
     many = index.first[key + 1] - index.first[key]
-    pairs = np.repeat(index.first[key] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-    pos, item = np.repeat(at, many), index.item[pairs]
-    doc = np.searchsorted(starts, pos, side="right") - 1
-    wide = index.edits[item] + 1
-    band = (pos - index.place[pairs] + (1 << 24)) // wide
-    whole = (doc * len(index.ids) + item) * (1 << 34) + band
-    keys, counts = np.unique(np.concatenate((whole, whole - 1)), return_counts=True)  # each band overlaps the next by half
-    item = (keys >> 34) % len(index.ids)
-    live = counts >= index.need[item]
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for k, n in zip(keys[live].tolist(), counts[live].tolist(), strict=True):
-        d, i = divmod(k >> 34, len(index.ids))
-        e = int(index.edits[i])
-        if (old := best.get((d, i))) and old[0] == 0:
-            continue
-        begin = int(starts[d])
-        low = (k & (1 << 34) - 1) * (e + 1) - (1 << 24) - begin
-        low = low if low > -(1 << 33) else low + (1 << 34)
-        high = low + 2 * (e + 1) - 1
-        own = c[begin : begin + len(texts[a + d])]
-        lo, hi = max(0, low - e), min(len(own), high + e + len(index.texts[i]))
-        text = texts[a + d][lo:hi]
-        exact = text.find(index.texts[i])
-        got = (0, exact) if exact >= 0 else banded_edits(codes(index.texts[i]), own[lo:hi], low - lo, high - lo, e)
-        if got and (old is None or got[0] < old[0]):
-            best[d, i] = (got[0], got[1] + lo, n)
-    for (d, i), (edits, place, n) in sorted(best.items()):
-        out[a + d].append((index.ids[i], edits, place, n))
-
-
-def _passes(benchmark: DataFrame, q: int, rate: float) -> list[Index]:
-    """The benchmark as indexes of at most PASS_CHARS characters each (or one item): its size is checked here, and a larger one takes
-    more passes over the documents instead of more memory."""
+    doc = np.searchsorted(starts, at, side="right") - 1
+    for lo, hi, items in _slices(many, doc, len(index.ids)):
+        _find_pairs(index, texts, a, starts, c, at[lo:hi], key[lo:hi], doc[lo:hi], many[lo:hi], items, out)
+    for own in out[a:b]:
+        own.sort()
+
+
+def _slices(many: np.ndarray, doc: np.ndarray, items: int) -> Iterator[tuple[int, int, tuple[int, int] | None]]:
+    """Runs of places, each of whole texts, with about _PAIRS (place, item place) pairs; a text with more is taken in parts of the items."""
+    edges = np.concatenate((np.flatnonzero(np.diff(doc, prepend=-1)), [len(doc)])).tolist()
+    lo, total = 0, np.concatenate(([0], np.cumsum(many)))
+    for k in range(1, len(edges)):
+        if k + 1 == len(edges) or total[edges[k + 1]] - total[lo] > _PAIRS:
+            size = int(total[edges[k]] - total[lo])
+            parts = -(-size // _PAIRS) if size > _PAIRS else 1
+            step = -(-items // parts)
+            for p in range(0, items, step):
+                yield lo, edges[k], (p, p + step) if parts > 1 else None
+            lo = edges[k]
+
+
+def _find_pairs(index: Index, texts: list[str], a: int, starts: np.ndarray, c: np.ndarray, at: np.ndarray, key: np.ndarray, doc: np.ndarray, many: np.ndarray, items: tuple[int, int] | None, out: list) -> None:
+    found = []
+    total = np.concatenate(([0], np.cumsum(many)))
+    lo = 0
+    while lo < len(at):  # at most about _PAIRS pairs at once
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + _PAIRS, side="right")) - 1)
+        m = many[lo:hi]
+        pairs = np.repeat(index.first[key[lo:hi]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        item, place, row = index.item[pairs].astype(np.int64), index.place[pairs].astype(np.int64), np.repeat(np.arange(lo, hi), m)
+        if items is not None:
+            own = (item >= items[0]) & (item < items[1])
+            item, place, row = item[own], place[own], row[own]
+        found.append((doc[row] * len(index.ids) + item, (at[row] - place + (1 << 24)) // (index.edits[item] + 1), place))
+        lo = hi
+    which, band, place = (np.concatenate(x) for x in zip(*found, strict=True))
+    which, where = np.concatenate((which, which)), np.concatenate((band, band - 1)) << 26 | np.concatenate((place, place))  # each band overlaps the next by half
+    order = np.lexsort((where, which))
+    which, where = which[order], where[order]
+    fresh = np.concatenate(([True], (which[1:] != which[:-1]) | (where[1:] != where[:-1])))  # a place of the item counts once in a band
+    which, band = which[fresh], where[fresh] >> 26
+    begin = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (band[1:] != band[:-1]))))
+    counts = np.diff(np.append(begin, len(which)))
+    which, band = which[begin], band[begin]
+    live = counts >= index.need[which % len(index.ids)]
+    rows = list(zip(which[live].tolist(), band[live].tolist(), counts[live].tolist(), strict=True))
+    k = 0
+    while k < len(rows):
+        own, first, n = rows[k]
+        last = first
+        while k < len(rows) and rows[k][0] == own and rows[k][1] <= last + 2:  # neighbouring bands
+            last, n = rows[k][1], max(n, rows[k][2])
+            k += 1
+        d, i = divmod(own, len(index.ids))
+        e, begun = int(index.edits[i]), int(starts[d])
+        low, high = first * (e + 1) - (1 << 24) - begun, (last + 2) * (e + 1) - 1 - (1 << 24) - begun
+        got = verified(index.texts[i], texts[a + d], low, high, e)
+        if got:
+            mine = out[a + d]
+            old = next((x for x, r in enumerate(mine) if r[0] == index.ids[i]), None)
+            row = (index.ids[i], *got, n)
+            if old is None:
+                mine.append(row)
+            elif row[1] < mine[old][1]:
+                mine[old] = row
+
+
+def verified(item: str, text: str, low: int, high: int, most: int) -> tuple[int, int] | None:
+    """(edits, place) of the best occurrence on the diagonals low to high, if it has at most so many edits."""
+    lo, hi = max(0, low - most), min(len(text), high + most + len(item))
+    part = text[lo:hi]
+    if (exact := part.find(item)) >= 0:
+        return 0, exact + lo
+    edits, end = least_edits(item, part)
+    if edits > most:
+        return None
+    got = banded_edits(codes(item), codes(part), end - len(item), end - len(item), most)
+    return (got[0], got[1] + lo) if got else None
+
+
+def _passes(benchmark: DataFrame, q: int, rate: float) -> Iterator[Index]:
+    """The benchmark as indexes of at most PASS_CHARS characters each (or one item), one after the other: its size is checked here, and a
+    larger one takes more passes over the documents instead of more memory."""
     rows = benchmark.select("item_id", text_of().alias("text")).orderBy("item_id", "text").toLocalIterator()
-    out, own, size = [], [], 0
+    own, size = [], 0
     for r in rows:
         if own and size + len(r["text"]) > PASS_CHARS:
-            out.append(build_index(own, q, rate))
+            yield build_index(own, q, rate)
             own, size = [], 0
         own.append((r["item_id"], r["text"]))
         size += len(r["text"])
-    return [*out, build_index(own, q, rate)]
+    yield build_index(own, q, rate)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDITS) -> DataFrame:
     """doc_id, item_id, edits, at (character of the normalised text), shared_grams: each benchmark item found in each document.
 
     Texts and items are compared in lower case with white space as single blanks. Null and empty texts and items match nothing; items
-    of fewer than q characters are found as they stand; repeated rows are reported as often as they come; empty tables give none."""
-    found = None
-    for index in _passes(benchmark, q, rate):
+    of fewer than q characters are found as they stand; repeated rows are reported as often as they come; empty tables give none. Where
+    the benchmark takes several passes, each one's rows are written before the next index is made."""
+    made: list[DataFrame] = []
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+    def one(index: Index) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 got = find(index, [normalise(t) for t in batch.column(1).to_pylist()])
                 rows = [(d, *r) for d, own in zip(batch.column(0).to_pylist(), got, strict=True) for r in own]
                 cols = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=["doc_id", "item_id", "edits", "at", "shared_grams"])
 
-        one = map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), run, "doc_id long, item_id long, edits int, at long, shared_grams int")
-        found = one if found is None else found.unionByName(one)
-    return found
+        return map_batches(given, run, "doc_id long, item_id long, edits int, at long, shared_grams int")
+
+    passes = _passes(benchmark, q, rate)
+    index = next(passes)
+    for after in passes:
+        made.append(written(one(index), "leaks"))
+        index = after
+    return functools.reduce(DataFrame.unionByName, [*made, one(index)])
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDITS, text_col: str = "text") -> DataFrame:
-    """docs without the rows that hold a benchmark item; all columns stay. Rows are judged where they lie: nothing is shuffled."""
+    """docs without the rows that hold a benchmark item; all columns stay. Rows are judged where they lie: nothing is shuffled. Null and
+    empty texts stay, repeated rows are treated alike; an empty table stays empty, an empty benchmark drops nothing."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     at = docs.columns.index(text_col)
-    for index in _passes(benchmark, q, rate):
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+    def one(docs: DataFrame, index: Index) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 got = find(index, [normalise(t) for t in batch.column(at).to_pylist()])
                 yield batch.filter(pa.array([not g for g in got], type=pa.bool_()))
 
-        docs = map_batches(docs, run, schema)
-    return docs
+        return map_batches(docs, run, schema)
+
+    passes = _passes(benchmark, q, rate)
+    index = next(passes)
+    for after in passes:
+        docs = written(one(docs, index), "clean")
+        index = after
+    return one(docs, index)

@@ -429,6 +429,38 @@ def test_op8_against_alignment(spark, sf, docs):
             assert found.get(i) == (best if best <= index.edits[k] else None)
 
 
+def test_op8_shared_prompts_and_passes(spark, docs, monkeypatch):
+    """Items that begin alike, against a text that repeats that beginning; small limits on pairs and passes change nothing."""
+    import time
+
+    rng = np.random.default_rng(8)
+    fresh = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    prompt = "answer the question below in one word and say nothing else please: "
+    bench = [(i, prompt + fresh(30)) for i in range(50)]
+    texts = [prompt * 60, prompt * 5 + bench[7][1] + prompt * 5, bench[3][1][:-4] + "x", fresh(300)]
+    index = decontaminate.build_index(bench)
+    begun = time.time()
+    got = decontaminate.find(index, texts)
+    assert time.time() - begun < 5
+    assert [[r[:2] for r in own] for own in got] == [[], [(7, 0)], [(3, 4)], []]
+    for t, own in zip(texts[1:3], got[1:3], strict=True):
+        assert all(decontaminate.least_edits(dict(bench)[r[0]], t)[0] == r[1] == edits_brute(dict(bench)[r[0]], t) for r in own)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    whole = sorted(map(tuple, decontaminate.find_leaks(df, items).collect()))
+    monkeypatch.setattr(decontaminate, "PASS_CHARS", 3000)
+    assert sorted(map(tuple, decontaminate.find_leaks(df, items).collect())) == whole and decontaminate.drop_leaks(df, items).count() == 2
+    monkeypatch.setattr(decontaminate, "_PAIRS", 50)
+    assert decontaminate.find(index, texts) == got
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("ab", min_size=1, max_size=12), st.text("ab", max_size=30))
+def test_least_edits(item, text):
+    edits, end = decontaminate.least_edits(item, text)
+    assert edits == edits_brute(item, text)
+
+
 def test_op8_edges(spark, edge, empty):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "short"), (4, "AND SO  is this other line here"), (5, "never there " * 9)], "item_id long, text string")
     assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(edge, bench).collect()) == [(4, 4), (5, 4), (5, 4), (6, 3), (6, 4), (9, 4)]
