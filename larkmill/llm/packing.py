@@ -19,15 +19,25 @@ from pyspark.sql import functions as F
 from .common import map_batches, text_of, written
 from .tokens import encoder
 
+#: Slacks that are tried, as parts of the capacity, besides none.
+SLACKS = (512, 128, 64, 32)
 PIECES = "doc_id long, piece int, start long, length long, ids binary, part int, rank long"
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """[(((length, times), ...), bins)] for {length: pieces}; every piece of 1 to capacity tokens is placed.
 
-    Each bin starts with the longest length left (else long pieces would be stranded), and the fullest sum of the rest is found by
-    bitsets: bit s of reach[i] says that s is a sum of the first i choices. The longest choices are tried last, so that they are
-    preferred when the sum is read back; ties go to the longer piece."""
+    Filling every bin to the brim spends the short pieces early, and the last bins stay half empty. So the search is done for several
+    allowed slacks, each bin taking the longest pieces that come so close to the fullest sum, and the plan of the fewest bins is kept;
+    of those that tie, the one with the least slack."""
+    plans = [_plan(counts, capacity, slack) for slack in sorted({0, *(capacity // k for k in SLACKS)})]
+    return min(plans, key=lambda plan: sum(bins for _, bins in plan))
+
+
+def _plan(counts: dict[int, int], capacity: int, slack: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """Each bin starts with the longest length left (else long pieces would be stranded), and the fullest sum of the rest is found by
+    bitsets: bit s of reach[i] says that s is a sum of the first i choices. The sum is read back from the longest choice on, each taken
+    if what is left can then still come within the slack of the fullest sum."""
     left = {n: c for n, c in counts.items() if c > 0 and 0 < n <= capacity}
     out: list[tuple[tuple[tuple[int, int], ...], int]] = []
     lengths = sorted(left)
@@ -48,14 +58,17 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[i
                     reach.append((reach[-1] | reach[-1] << (n * k)) & mask)
                     most -= k
                     k *= 2
-            s = reach[-1].bit_length() - 1
+            high = reach[-1].bit_length() - 1
+            low = max(0, high - slack)
             for i in range(len(items) - 1, -1, -1):
                 n, k = items[i]
-                if s >= n * k and reach[i] >> (s - n * k) & 1:
-                    used[n] = used.get(n, 0) + k
-                    s -= n * k
-                    if not s:
-                        break
+                if high >= n * k:
+                    least = max(0, low - n * k)
+                    if reach[i] >> least & (1 << high - n * k - least + 1) - 1:
+                        used[n] = used.get(n, 0) + k
+                        low, high = low - n * k, high - n * k
+                        if high <= 0:
+                            break
         bins = min(left[n] // t for n, t in used.items())
         out.append((tuple(sorted(used.items(), reverse=True)), bins))
         for n, t in used.items():
@@ -63,28 +76,7 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[i
             if not left[n]:
                 del left[n]
                 lengths.pop(bisect.bisect_left(lengths, n))
-    return _tail_again(out, capacity)
-
-
-def _tail_again(plan: list, capacity: int, most: int = 256) -> list:
-    """The last bins get what the others left over; where best fit decreasing needs fewer bins for their pieces, its bins are taken."""
-    tail, bins = len(plan), 0
-    while tail and bins + plan[tail - 1][1] <= most:
-        tail -= 1
-        bins += plan[tail][1]
-    pieces = sorted((n for combo, k in plan[tail:] for n, t in combo for _ in range(t * k)), reverse=True)
-    room: list[tuple[int, int]] = []  # (free, bin), ascending
-    made: list[dict[int, int]] = []
-    for n in pieces:
-        at = bisect.bisect_left(room, (n, -1))
-        free, own = room.pop(at) if at < len(room) else (capacity, len(made))
-        if own == len(made):
-            made.append({})
-        made[own][n] = made[own].get(n, 0) + 1
-        bisect.insort(room, (free - n, own))
-    if len(made) >= bins:
-        return plan
-    return plan[:tail] + [(tuple(sorted(m.items(), reverse=True)), 1) for m in made]
+    return out
 
 
 def slots(plan: list) -> dict[str, np.ndarray]:
