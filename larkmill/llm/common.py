@@ -6,8 +6,6 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,17 +106,3 @@ def range_bounds(ids: DataFrame, column: str, n: int) -> list[int]:
         return []
     got = ids.select(F.percentile_approx(column, [i / n for i in range(1, n)], 20 * n).alias("q")).first()
     return sorted(set(got["q"] or []))
-
-
-def range_number(column: Column, bounds: list[int]) -> Column:
-    """How many bounds are <= the id: its range, 0 to len(bounds). Null ids go to range 0. Only the id column visits Python."""
-    cuts = np.array(bounds, dtype=np.int64)
-
-    @F.pandas_udf("int")
-    def number(ids: pd.Series) -> pd.Series:
-        known = ids.notna()
-        out = np.zeros(len(ids), dtype=np.int32)
-        out[known] = np.searchsorted(cuts, ids[known].astype("int64").to_numpy(), side="right")
-        return pd.Series(out)
-
-    return number(column)

@@ -4,8 +4,9 @@ Candidates meet by a shingle that both have among their first ones in one random
 compared by SimHash: 256-bit fingerprints of the distinct shingles, tile by tile with exclusive-or and bit counts, tile pairs skipped
 whose bit numbers differ beyond the radius. What lies within the radius is confirmed by the exact sizes of intersection and union.
 
-A group of copies costs as many comparisons of sets as it has texts: first each text is confirmed against one leader of its list, then
-leaders among each other, then only pairs of different groups. Lists are cut into blocks, however long they are."""
+First each text is confirmed against one leader of its list, then leaders among each other; then the rows that have one of another
+group within the radius are compared with those of other groups, block by block, and links come out, never all pairs. Lists are cut
+into blocks, however long they are."""
 
 from __future__ import annotations
 
@@ -187,14 +188,12 @@ def _near(n: np.ndarray, fps: np.ndarray) -> np.ndarray:
     return near_matrix(fps, _radius(n)) & _sized(n[:, None], n[None])
 
 
-def _pairs_of_two(cols: list[np.ndarray], fps: np.ndarray, cuts: np.ndarray, crossing: bool) -> tuple[np.ndarray, np.ndarray]:
+def _pairs_of_two(cols: list[np.ndarray], fps: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of all blocks that have two rows, at once."""
     at = cuts[:-1][np.diff(cuts) == 2]
     n, m = cols[4][at], cols[4][at + 1]
     apart = np.bitwise_count(fps[at] ^ fps[at + 1]).sum(axis=1, dtype=np.int64)
     good = _sized(n, m) & (apart <= np.where(np.minimum(n, m) >= SMALL, RADIUS, RADIUS_SMALL))
-    if crossing:
-        good &= cols[5][at] != cols[5][at + 1]
     return cols[3][at[good] + 1], cols[3][at[good]]
 
 
@@ -203,7 +202,7 @@ def _led(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, fps, cuts in _whole(batches):
-            a, b = _pairs_of_two(cols, fps, cuts, False)
+            a, b = _pairs_of_two(cols, fps, cuts)
             out = [[a], [b]]
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if hi - lo > 2:
@@ -221,23 +220,103 @@ def _led(rows: DataFrame) -> DataFrame:
     return map_batches(_blocks(rows), run, "a long, b long").distinct()
 
 
-def _crossing(rows: DataFrame) -> DataFrame:
-    """a, b: all pairs of a block that lie within the radius and are not in one group yet. Rows of a block that was cut are compared
-    with those of its other side only."""
+def _touching(rows: DataFrame) -> DataFrame:
+    """The rows that have one of another group within the radius in their block; rows are given out, never pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, fps, cuts in _whole(batches):
-            a, b = _pairs_of_two(cols, fps, cuts, True)
-            out = [[np.maximum(a, b)], [np.minimum(a, b)]]
+            chosen = np.zeros(len(fps), dtype=bool)
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                root = cols[5][lo:hi]
+                if (root != root[0]).any():
+                    chosen[lo:hi] = (_near(cols[4][lo:hi], fps[lo:hi]) & (root[:, None] != root[None])).any(axis=1)
+            fixed = [pa.array(x[chosen]) for x in cols]
+            yield pa.RecordBatch.from_arrays([*fixed, _lists(list(fps[chosen].view(np.int64)))], names=["s", "u", "side", "d", "n", "root", "fp"])
+
+    return map_batches(_blocks(rows), run, "s long, u long, side long, d long, n long, root long, fp array<long>")
+
+
+def _linked(rows: DataFrame) -> DataFrame:
+    """a, b: links between the groups of each block, exact: of the pairs within the radius, those whose sets are similar and
+    whose groups earlier links haven't joined. rows: those of _touching with their sets, h."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols, fps, cuts, sets in _whole_sets(batches):
+            out: list[tuple[int, int]] = []
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 d, root = cols[3][lo:hi], cols[5][lo:hi]
-                if hi - lo > 2 and (root != root[0]).any():
-                    i, j = np.nonzero(np.triu(_near(cols[4][lo:hi], fps[lo:hi]), 1) & (root[:, None] != root[None]))
-                    out[0].append(np.maximum(d[i], d[j]))
-                    out[1].append(np.minimum(d[i], d[j]))
-            yield _batch([np.concatenate(x) for x in out], ["a", "b"])
+                i, j = np.nonzero(np.triu(_near(cols[4][lo:hi], fps[lo:hi]), 1) & (root[:, None] != root[None]))
+                if len(i):
+                    alike = _alike(sets[lo:hi], i, j)
+                    out += _joined(d, root, i[alike], j[alike])
+            yield _batch([np.array([max(x) for x in out], dtype=np.int64), np.array([min(x) for x in out], dtype=np.int64)], ["a", "b"])
 
-    return map_batches(_blocks(rows), run, "a long, b long").distinct()
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.select("s", "u", "side", "d", "n", "root", "fp", "h").repartition(n, "s", "u").sortWithinPartitions("s", "u", "d")
+    return map_batches(dealt, run, "a long, b long").distinct()
+
+
+def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """_whole with each row's set."""
+    held: list[np.ndarray] = []
+
+    def seen() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, at = _flat(batch.column(7))
+            held.extend(flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+            yield batch
+
+    for cols, fps, cuts in _whole(seen()):
+        n = len(fps)
+        yield cols, fps, cuts, held[:n]
+        del held[:n]
+
+
+def _alike(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the sets of rows i and j are similar. Shingles that two rows or more have become bits, so that a pair's intersection is
+    a count of bits; where that would take too much memory, the sets are intersected as they are."""
+    sizes = np.array([len(x) for x in sets])
+    _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1
+    words = int(place[-1]) // 64 + 1
+    common = np.empty(len(i), dtype=np.int64)
+    if len(sets) * words <= 1 << 23:
+        row = np.repeat(np.arange(len(sets)), sizes)
+        live = times[number] > 1
+        row, at = row[live], place[number[live]]
+        bits = np.zeros((len(sets), words * 64), dtype=bool) if len(sets) * words <= 1 << 18 else None
+        if bits is not None:
+            bits[row, at] = True
+            packed = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+        else:
+            packed = np.zeros((len(sets), words), dtype=np.uint64)
+            np.bitwise_or.at(packed, (row, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        step = max(1, (1 << 20) // words)
+        for k in range(0, len(i), step):
+            common[k : k + step] = np.bitwise_count(packed[i[k : k + step]] & packed[j[k : k + step]]).sum(axis=1, dtype=np.int64)
+    else:
+        for k in range(len(i)):
+            common[k] = len(np.intersect1d(sets[i[k]], sets[j[k]], assume_unique=True))
+    return DOWN * common >= UP * (sizes[i] + sizes[j] - common)
+
+
+def _joined(d: np.ndarray, root: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links (i, j) those that join two groups which earlier ones haven't joined."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (p := parent.get(x, x)) != x:
+            parent[x] = parent.get(p, p)
+            x = p
+        return x
+
+    out = []
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        x, y = top(int(root[a])), top(int(root[b]))
+        if x != y:
+            parent[x] = y
+            out.append((int(d[a]), int(d[b])))
+    return out
 
 
 def _grouped(met: DataFrame, roots: DataFrame) -> DataFrame:
@@ -273,11 +352,10 @@ def _sides(rows: DataFrame) -> DataFrame:
     return met.select("s", "d", "n", "fp", "root", "side", F.explode(u).alias("u"))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (written) with `alike`: whether the sets are, by the sizes of their intersection and union. Only sets asked for are moved."""
+def _asked(wanted_sets: DataFrame, sets: DataFrame) -> DataFrame:
+    """d, h of the sets whose d is asked for, once each; a bitmap of fixed size keeps most others from being moved."""
     slot = F.shiftrightunsigned("d", 64 - ASKED_BITS) + 1
-    asked = pairs.select(F.col("a").alias("d")).union(pairs.select(F.col("b").alias("d")))
-    asked = asked.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m")).collect()
+    asked = wanted_sets.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m")).collect()
     size = 1 << 15
     flags = np.zeros(1 << ASKED_BITS, dtype=bool)
     for r in asked:  # 128 rows of 4 kB at most
@@ -288,8 +366,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         wanted = np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).astype(bool)
         for batch in batches:
             d = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            chosen = pa.array(wanted[(d >> np.uint64(64 - ASKED_BITS)).astype(np.int64)])
-            yield batch.filter(chosen)
+            yield batch.filter(pa.array(wanted[(d >> np.uint64(64 - ASKED_BITS)).astype(np.int64)]))
+
+    some = map_batches(sets.select("d", "h"), keep, "d long, h array<long>")
+    return written(some.groupBy("d").agg(F.any_value("h").alias("h")), "asked")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: those of the pairs (written) whose sets are similar, by the sizes of their intersection and union."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,12 +383,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 u, v = x[p[i] : p[i + 1]], y[q[i] : q[i + 1]]
                 common = len(np.intersect1d(u, v, assume_unique=True))
                 good[i] = DOWN * common >= UP * (len(u) + len(v) - common)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good)], names=["a", "b", "alike"])
+            yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    some = map_batches(sets.select("d", "h"), keep, "d long, h array<long>")
-    some = written(some.groupBy("d").agg(F.any_value("h").alias("h")), "asked")
+    some = _asked(pairs.select(F.col("a").alias("d")).union(pairs.select(F.col("b").alias("d"))), sets)
     both = pairs.join(some.select(F.col("d").alias("a"), F.col("h").alias("x")), "a").join(some.select(F.col("d").alias("b"), F.col("h").alias("y")), "b")
-    return written(map_batches(both.select("a", "b", "x", "y"), compare, "a long, b long, alike boolean"), "compared")
+    return written(map_batches(both.select("a", "b", "x", "y"), compare, "a long, b long"), "links")
 
 
 def grouped_rows(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,15 +402,16 @@ def grouped_rows(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col:
     shown = written(postings(sets), "postings")
     common = shown.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("s")
     met = written(shown.join(common, "s").join(nodes, "d").select("s", "d", "n", "fp"), "met")
-    done, roots = None, None
-    for step in (_leaders, _leaders, _sides):
-        rows = met.withColumn("root", F.col("d")) if roots is None else _grouped(met, roots)
-        pairs = (_crossing if step is _sides else _led)(step(rows))
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        tried = _confirmed(written(pairs, "pairs"), sets)
-        done = tried if done is None else done.union(tried)
-        roots = written(components(done.where("alike").select("a", "b")), "roots")
+    found = _confirmed(written(_led(_leaders(met.withColumn("root", F.col("d")))), "pairs"), sets)
+    for last in (False, True):
+        rows = _grouped(met, written(components(found), "roots"))
+        if last:
+            touching = written(_touching(_sides(rows)), "touching")
+            more = written(_linked(touching.join(_asked(touching.select("d"), sets), "d")), "links")
+        else:
+            more = _confirmed(written(_led(_leaders(rows)), "pairs"), sets)
+        found = found.union(more)
+    roots = components(found)
     return sets.join(roots, F.col("d") == F.col("node"), "left").select("doc_id", "th", F.coalesce("root", "d").alias("g"))
 
 

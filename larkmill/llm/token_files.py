@@ -13,13 +13,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, range_bounds, range_number, scratch_path, text_of, written
+from .common import map_batches, scratch_path, text_of, written
 from .tokens import encoder
 
 MAGIC = b"LKTOKEN1"
+#: Bytes of text in a range of ids, and the most ranges (their bounds are held on the driver).
+RANGE_BYTES, MOST_RANGES = 16_000_000, 20_000
 #: Value lengths of each control byte, and their sum.
 LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], dtype=np.uint8)
 
@@ -57,6 +60,22 @@ def file_bytes(doc_ids: list, starts: np.ndarray, counts: np.ndarray, ranks: np.
     return b"".join((MAGIC, head.tobytes(), ids.tobytes(), starts.astype("<u8").tobytes(), counts.astype("<u8").tobytes(), nulls.tobytes(), control.tobytes(), data.tobytes()))
 
 
+def draft_bytes(doc_ids: list, starts: np.ndarray, counts: np.ndarray, values: np.ndarray) -> bytes:
+    """The same head with the plain ids, two bytes each where that is enough."""
+    wide = len(values) and int(values.max()) > 0xFFFF
+    head = np.array([len(doc_ids), 4 if wide else 2], dtype="<u8")
+    ids = np.array([0 if d is None else d for d in doc_ids], dtype="<i8")
+    nulls = np.array([d is None for d in doc_ids], dtype=np.uint8)
+    return b"".join((head.tobytes(), ids.tobytes(), starts.astype("<u8").tobytes(), counts.astype("<u8").tobytes(), nulls.tobytes(), values.astype("<u4" if wide else "<u2").tobytes()))
+
+
+def parse_draft(content: bytes) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    docs, size = np.frombuffer(content, "<u8", 2).tolist()
+    ids, starts, counts = np.frombuffer(content, "<i8", docs, 16), np.frombuffer(content, "<u8", docs, 16 + 8 * docs), np.frombuffer(content, "<u8", docs, 16 + 16 * docs)
+    nulls = np.frombuffer(content, np.uint8, docs, 16 + 24 * docs)
+    return [None if z else i for i, z in zip(ids.tolist(), nulls.tolist(), strict=True)], starts, counts, np.frombuffer(content, f"<u{size}", -1, 16 + 25 * docs)
+
+
 def parse_file(content: bytes) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
     """doc ids, starts, counts and ranks of a file; raises ValueError where it isn't whole."""
     if content[:8] != MAGIC or len(content) < 24:
@@ -79,20 +98,21 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """Write all documents' ids, each followed by end_id, in ascending doc_id order (nulls first, equal ids by text); returns the
     manifest: part, file, docs, values. Files are named by range and number, so that their names sort as their documents.
 
-    Documents are dealt into ranges of doc_id, sorted there, and each range is streamed into draft files of about shard_tokens values
-    with the plain ids, while every task counts its ids. When all counts are in, each draft is coded anew by the ids' ranks over all
-    documents and removed. A file is written beside its place and moved there, so that a task run again finds or makes whole files
-    only. Texts are encoded once."""
+    Documents are dealt into ranges of doc_id (and, for ids that repeat or are null, of their texts' beginnings), about RANGE_BYTES of text
+    each, and sorted there. Each range is streamed into draft files of about shard_tokens values with the plain ids, while every task
+    counts its ids. When all counts are in, each draft is coded by the ids' ranks over all documents and removed. A file is written
+    beside its place and moved there, so that a task run again finds or makes whole files only. Texts are encoded once."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = range_bounds(docs, "doc_id", 4 * n)
-    dealt = docs.withColumn("part", range_number(F.col("doc_id"), bounds)).repartition(n, "part").sortWithinPartitions("part", "doc_id", "text")
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    ranges = max(n, min(MOST_RANGES, size // RANGE_BYTES))
+    dealt = docs.repartitionByRange(ranges, F.asc_nulls_first("doc_id"), F.substring("text", 1, 64)).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
 
     def draft(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = pafs.FileSystem.from_uri(path)
         encode, end = encoder(tokenizer).encode, int(end_id).to_bytes(4, "little")
-        part, seq, held, ids, blobs, begun = None, 0, 0, [], [], 0
+        part, seq, held, ids, blobs, begun = TaskContext.get().partitionId(), 0, 0, [], [], 0
         total = np.zeros(0, dtype=np.int64)
 
         def flush() -> list[tuple]:
@@ -102,7 +122,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             counts = np.array([len(b) // 4 for b in blobs], dtype=np.int64)
             values = np.frombuffer(b"".join(blobs), dtype="<u4")
             name = f"{part:08d}-{seq:06d}"
-            _put(store, base, f"{name}.draft", file_bytes(ids, begun + np.cumsum(counts) - counts, counts, values))
+            _put(store, base, f"{name}.draft", draft_bytes(ids, begun + np.cumsum(counts) - counts, counts, values))
             got = np.bincount(values, minlength=len(total))
             got[: len(total)] += total
             total = got
@@ -113,11 +133,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
         for batch in batches:
             rows = []
-            for doc_id, text, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if own != part or held >= shard_tokens:
+            for doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                if held >= shard_tokens:
                     rows += flush()
-                    if own != part:
-                        part, seq, begun = own, 0, 0
                 blob = encode(text) + end
                 ids.append(doc_id)
                 blobs.append(blob)
@@ -128,7 +146,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     store, base = pafs.FileSystem.from_uri(path)
     store.create_dir(base, recursive=True)
-    made = written(map_batches(dealt.select("doc_id", "text", "part"), draft, "part int, file string, docs long, values long"), "manifest")
+    made = written(map_batches(dealt, draft, "part int, file string, docs long, values long"), "manifest")
     freq = made.where("part < 0").groupBy((-1 - F.col("part")).alias("id")).agg(F.sum("values").alias("n")).collect()  # the vocabulary at most
     ranked = np.array([r["id"] for r in sorted(freq, key=lambda r: (-r["n"], r["id"]))] or [end_id], dtype="<u4")
     rank_of = np.zeros(int(ranked.max()) + 1, dtype="<u4")
@@ -142,7 +160,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             for name in batch.column(0).to_pylist():
                 if store.get_file_info(f"{base}/{name}.tok").type == pafs.FileType.NotFound:
                     with store.open_input_stream(f"{base}/{name}.draft") as f:
-                        ids, starts, counts, values = parse_file(f.read())
+                        ids, starts, counts, values = parse_draft(f.read())
                     _put(store, base, f"{name}.tok", file_bytes(ids, starts, counts, rank_of[values]))
                 if store.get_file_info(f"{base}/{name}.draft").type != pafs.FileType.NotFound:
                     store.delete_file(f"{base}/{name}.draft")
