@@ -20,6 +20,8 @@ from .common import ascii_words, map_batches, range_bounds, text_of, utf8
 
 K, WORDS = 256, 5
 _SPAN = float(1 << 64)
+#: Bytes of text in a range of ids, and the most ranges (their bounds are held on the driver).
+RANGE_BYTES, MOST_RANGES = 16_000_000, 20_000
 
 
 class _Hashes(dict):
@@ -114,7 +116,8 @@ def sketch_documents(docs: DataFrame, k: int = K, n_words: int = WORDS, id_col:
 
 def merge_groups(sketched: DataFrame, group: str, k: int = K, fanout: int = 64) -> DataFrame:
     """group, fingerprint, n_distinct: the sketch of each group's union of `fingerprint` rows. Sketches are merged in `fanout` salted
-    parts first, so that a task holds one running sketch of k hashes and never a whole group."""
+    parts first, so that a task holds one running sketch of k hashes and never a whole group. A null group is a group of its own; repeated
+    sketches change nothing; a null fingerprint is that of no text; an empty table gives an empty table; other columns play no part."""
 
     kind = dict(sketched.dtypes)[group]
 
@@ -123,7 +126,7 @@ def merge_groups(sketched: DataFrame, group: str, k: int = K, fanout: int = 64)
         for f in frames:
             for g, s in zip(f[group], f["fingerprint"], strict=True):
                 key = None if pd.isna(g) else g
-                own = from_text(s)
+                own = from_text(s or "")
                 run[key] = merge((run[key], own), k) if key in run else own[:k]
                 if len(run) > 4096:
                     yield pd.DataFrame({group: pd.Series(list(run), dtype=f[group].dtype), "fingerprint": [to_text(v) for v in run.values()]})
@@ -151,7 +154,7 @@ def edited(text: str, after: str) -> str:
 def with_neighbours(docs: DataFrame, k: int = K, n_words: int = WORDS) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next over ascending doc_id.
 
-    Documents are dealt into ranges of doc_id and sorted within them; the first document of each range is also sent to the end of the
+    Documents are dealt into ranges of doc_id, about RANGE_BYTES of text each, and sorted within them; the first document of each range is also sent to the end of the
     range before it (that of the lowest to the end of the highest), so each text travels once and no task sees more than its range.
 
     Null text is empty; a null id comes first; rows repeated under one id follow each other by text; a lone document is its own next;
@@ -161,7 +164,8 @@ def with_neighbours(docs: DataFrame, k: int = K, n_words: int = WORDS) -> DataFr
     low = -(2**63)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("key"), text_of().alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = np.array(range_bounds(rows, "key", 4 * n), dtype=np.int64)
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    cuts = np.array(range_bounds(rows, "key", max(n, min(MOST_RANGES, size // RANGE_BYTES))), dtype=np.int64)
 
     @F.pandas_udf("int")
     def part_of(keys: pd.Series) -> pd.Series:
@@ -177,7 +181,7 @@ def with_neighbours(docs: DataFrame, k: int = K, n_words: int = WORDS) -> DataFr
         return pd.Series([[2 * p, 2 * before[p] + 1] if firsts[p] == key else [2 * p] for p, key in zip(at, keys.tolist(), strict=True)])
 
     dealt = rows.withColumn("place", F.explode(places("key")))
-    dealt = dealt.withColumn("part", F.shiftright("place", 1)).repartition(n, "part").sortWithinPartitions("place", "key", "text")
+    dealt = dealt.withColumn("part", F.shiftright("place", 1)).repartitionById(len(cuts) + 1, "part").sortWithinPartitions("place", "key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # id, text, sketch of the document that waits for its next
