@@ -8,7 +8,7 @@ classes (languages, as training documents name them; a scored document's own is
 The probabilities of all words and of the end sum to one at most.
 
 Words travel as (block, number) pairs: a block of documents numbers its own words, word counts meet by word, and come back to the
-block; no task holds the whole vocabulary."""
+block; no task holds the whole vocabulary, and each word is priced once."""
 
 from __future__ import annotations
 
@@ -21,16 +21,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import ascii_words, gathered, map_batches, text_of, written
 
-#: Tokens of a block; with them its dictionary is bounded. Words longer than LONG bytes are scored one at a
-#: time. ROUNDS of expectation-maximisation, and CLASSES (the last takes all names but the commonest).
+#: Tokens of a block; with them its dictionary is bounded. Words longer than LONG bytes are scored one at a time, and learned from in
+#: stretches of so many bytes. ROUNDS of expectation-maximisation, and CLASSES (the last takes all names but the commonest).
 BLOCK_TOKENS, LONG, ROUNDS, CLASSES = 4_000_000, 96, 3, 5
 _START, _STOP = b" ", b"\n"  # neither occurs in a word
 _B = np.uint64(0x9E3779B97F4A7C15)
+_STRETCH = 1 << 14
 
 
 @dataclass
@@ -98,7 +98,6 @@ class Lattice:
             self.tables.append(made)
             rest = rest[made[at] != rest]
         self.seen = self.tables[0] >= 0
-        self.number = {s: i for i, s in enumerate(pieces.strings)}
 
     def _arcs(self, a: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
         """(from, to, rows, pieces) of words in the columns of a, ordered by `to`."""
@@ -116,22 +115,25 @@ class Lattice:
                     break
                 with np.errstate(over="ignore"):
                     h = _mixed(pre[j] - pre[i] * power[m], m)
-                slot = (h >> np.uint64(44)).astype(np.int32)
-                rows = np.flatnonzero(self.seen[slot])
-                if not len(rows):
-                    continue
-                h, slot = h[rows], slot[rows]
-                ids = self.tables[0][slot]
-                ok = self.keys[ids] == h
-                for t in self.tables[1:]:
-                    more = t[slot]
-                    hit = ~ok & (more >= 0) & (self.keys[more] == h)
-                    ids[hit] = more[hit]
-                    ok |= hit
-                if ok.any():
-                    out.append((i, j, rows[ok], ids[ok]))
+                rows, ids = self._lookup(h)
+                if len(rows):
+                    out.append((i, j, rows, ids))
         return out
 
+    def _lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are pieces', and which pieces they are."""
+        slot = (h >> np.uint64(44)).astype(np.int32)
+        rows = np.flatnonzero(self.seen[slot])
+        h, slot = h[rows], slot[rows]
+        ids = self.tables[0][slot]
+        ok = self.keys[ids] == h
+        for t in self.tables[1:] if len(rows) else []:
+            more = t[slot]
+            hit = ~ok & (more >= 0) & (self.keys[more] == h)
+            ids[hit] = more[hit]
+            ok |= hit
+        return rows[ok], ids[ok]
+
     def _forward(self, a: np.ndarray, arcs: list, logp: np.ndarray) -> np.ndarray:
         alpha = np.full((a.shape[0] + 1, a.shape[1]), -np.inf)
         alpha[0] = 0
@@ -170,39 +172,55 @@ class Lattice:
         table = np.stack(weights)
         out = np.zeros((len(weights), len(words)))
         for idx, a in self._groups(words):
-            out[:, idx] = np.array([[self._one(words[idx[0]], logp)[0][-1]] for logp in weights]) if a is None else self._forward_many(a, self._arcs(a), table)
+            out[:, idx] = self._one(words[idx[0]], table)[:, None] if a is None else self._forward_many(a, self._arcs(a), table)
         return out
 
-    def _one(self, word: bytes, logp: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-        """The same for one long word."""
-        s = _START + word + _STOP
-        alpha = np.full(len(s) + 1, -np.inf)
+    def _one(self, word: bytes, table: np.ndarray) -> np.ndarray:
+        """The same for one long word: pieces are found for a stretch of places at once, and only the last few sums are kept."""
+        s = np.frombuffer(_START + word + _STOP, dtype=np.uint8)
+        most = self.lengths[-1]
+        alpha = np.full((len(s) + 1, len(table)), -np.inf)
         alpha[0] = 0
-        arcs = []
-        for j in range(1, len(s) + 1):
-            parts = []
-            for m in self.lengths:
-                if m <= j and (k := self.number.get(s[j - m : j])) is not None:
-                    arcs.append((j - m, j, k))
-                    parts.append(alpha[j - m] + logp[k])
-            top = max(parts)
-            alpha[j] = top + math.log(sum(math.exp(p - top) for p in parts)) if top > -math.inf else -math.inf
-        return alpha, arcs
+        for lo in range(0, len(s), _STRETCH):
+            part = s[max(0, lo - most) : lo + _STRETCH]
+            begun = max(0, lo - most)
+            ends, froms, ids = self._places(part)
+            own = ends + begun > lo
+            ends, froms, ids = ends[own] + begun, froms[own] + begun, ids[own]
+            cuts = np.flatnonzero(np.diff(ends, prepend=-1)).tolist()
+            add = table[:, ids].T
+            for a, b in zip(cuts, [*cuts[1:], len(ends)], strict=True):
+                x = alpha[froms[a:b]] + add[a:b]
+                top = x.max(axis=0)
+                alpha[ends[a]] = top + np.log(np.exp(x - top).sum(axis=0))
+        return alpha[-1]
+
+    def _places(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(end, begin, piece) of all pieces in s, ordered by end."""
+        pre = np.zeros(len(s) + 1, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            up = np.cumprod(np.append(np.uint64(1), np.full(len(s), _B, dtype=np.uint64)), dtype=np.uint64)
+            down = np.cumprod(np.append(np.uint64(1), np.full(len(s), pow(int(_B), -1, 1 << 64), dtype=np.uint64)), dtype=np.uint64)
+            pre[1:] = np.cumsum((s.astype(np.uint64) + np.uint64(1)) * down[1:], dtype=np.uint64)
+        found = []
+        for m in self.lengths:
+            if m > len(s):
+                break
+            begin = np.arange(len(s) - m + 1)
+            with np.errstate(over="ignore"):
+                h = _mixed((pre[begin + m] - pre[begin]) * up[begin + m], m)
+            rows, ids = self._lookup(h)
+            found.append((begin[rows] + m, begin[rows], ids))
+        ends, begins, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(ends, kind="stable")
+        return ends[order], begins[order], ids[order]
 
     def expected(self, words: list[bytes], logp: np.ndarray | None = None) -> np.ndarray:
-        """Expected number of each piece over all cuts of the words, each word once."""
+        """Expected number of each piece over all cuts of the words, each word once; words of more than LONG bytes in stretches."""
         out = np.zeros(len(self.pieces.strings))
         logp = self.pieces.logp if logp is None else logp
-        for idx, a in self._groups(words):
-            if a is None:
-                alpha, arcs = self._one(words[idx[0]], logp)
-                beta = np.full(len(alpha), -np.inf)
-                beta[-1] = 0
-                for i, j, k in reversed(arcs):
-                    beta[i] = np.logaddexp(beta[i], beta[j] + logp[k])
-                for i, j, k in arcs:
-                    out[k] += math.exp(min(0.0, alpha[i] + logp[k] + beta[j] - alpha[-1]))
-                continue
+        words = [w[at : at + LONG] for w in words for at in range(0, max(1, len(w)), LONG)]
+        for _, a in self._groups(words):
             arcs = self._arcs(a)
             alpha = self._forward(a, arcs, logp)
             beta = np.full(alpha.shape, -np.inf)
@@ -233,11 +251,13 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
-def _classes(docs: DataFrame, class_col: str | None) -> list:
-    """The commonest few names; all others share one more class."""
-    if class_col not in docs.columns:
+def _classes(docs: DataFrame, class_col: str | None, classes: int | None) -> list:
+    """The commonest few names among training documents (all, where `classes` is None); all others share one more class."""
+    if class_col not in docs.columns or classes == 1:
         return []
-    return [r[0] for r in docs.groupBy(class_col).count().orderBy(F.desc("count"), F.asc_nulls_first(class_col)).limit(CLASSES - 1).collect()]
+    out = F.crc32(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("None")).cast("binary")) % 7 == 2
+    found = docs.where(~out).groupBy(class_col).count().orderBy(F.desc("count"), F.asc_nulls_first(class_col))
+    return [r[0] for r in (found if classes is None else found.limit(classes - 1)).collect()]
 
 
 def _blocks(docs: DataFrame, classes: int) -> DataFrame:
@@ -296,6 +316,7 @@ class Class:
     ends: int
     types: int
     discount: float
+    arcs: bool = True  # whether seen words are arcs of their own
 
     def end(self) -> float:
         return (self.ends + 0.5) / (self.words + self.ends + 1)
@@ -303,6 +324,8 @@ class Class:
     def word_log10(self, count: np.ndarray, spelled: np.ndarray, overall: np.ndarray) -> np.ndarray:
         """Discounted counts, and for what they leave half the lattice, half the words' shares in all classes."""
         stop = math.log10(1 - self.end())
+        if not self.arcs:
+            return stop + spelled / math.log(10)
         with np.errstate(divide="ignore"):
             rest = np.logaddexp(spelled, np.log(overall)) - (math.log(2) if self.words else 0.0)
             if not self.words:
@@ -325,11 +348,10 @@ class Model:
         return np.log10((count + 1) / (self.words + self.ends + (self.distinct + 1)))
 
 
-def fit(counted: DataFrame, ends: list[int], pieces: Pieces, rounds: int = ROUNDS) -> Model:
+def fit(types: DataFrame, ends: list[int], pieces: Pieces, rounds: int = ROUNDS, arcs: bool = True) -> Model:
     """Totals over all training words, and piece weights by `rounds` of expectation-maximisation over each class's distinct words: each
     round every task adds up expected counts, one row for each piece and class at most."""
     n = len(ends)
-    types = counted.where("first")
     sums = [f(k) for k in range(n) for f in (
         lambda k: F.sum(f"c{k}").alias(f"w{k}"), lambda k: F.sum((F.col(f"c{k}") > 0).cast("long")).alias(f"t{k}"),
         lambda k: F.sum((F.col(f"c{k}") == 1).cast("long")).alias(f"a{k}"), lambda k: F.sum((F.col(f"c{k}") == 2).cast("long")).alias(f"b{k}"))]
@@ -357,48 +379,44 @@ def fit(counted: DataFrame, ends: list[int], pieces: Pieces, rounds: int = ROUND
         weights = [normalised(pieces.strings, w).logp for w in weight]
     papers = sum(ends)
     model = Model(pieces, [
-        Class(math.log10((ends[k] + 0.5) / (papers + 0.5 * n)), weights[k], t[f"w{k}"], ends[k], t[f"t{k}"], min(0.95, max(0.05, t[f"a{k}"] / (t[f"a{k}"] + 2 * t[f"b{k}"]) if t[f"a{k}"] else 0.5)))
+        Class(math.log10((ends[k] + 0.5) / (papers + 0.5 * n)), weights[k], t[f"w{k}"], ends[k], t[f"t{k}"], min(0.95, max(0.05, t[f"a{k}"] / (t[f"a{k}"] + 2 * t[f"b{k}"]) if t[f"a{k}"] else 0.5)), arcs)
         for k in range(n)])
     model.distinct = t["distinct"] + (papers > 0)
     return model
 
 
-def score_documents(docs: DataFrame, model_file: str, class_col: str | None = "lang") -> DataFrame:
+def score_documents(docs: DataFrame, model_file: str, class_col: str | None = "lang", classes: int | None = CLASSES, arcs: bool = True) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score over all whole texts.
 
-    Learned from documents whose crc32(doc_id as text) mod 7 is not 2. Null and empty texts hold the end alone; a null id counts as the
-    text "None" would; repeated rows count as often as they come; an empty table gives an empty table; without class_col there is one
-    class. Scores are finite for any text."""
-    names = _classes(docs, class_col)
+    Learned from documents whose crc32(doc_id as text) mod 7 is not 2, their class names included. Null and empty texts hold the end
+    alone; a null id counts as the text "None" would; repeated rows count as often as they come; an empty table gives an empty table;
+    without class_col there is one class, and with classes=None each name has its own. arcs=False leaves the lattice of pieces alone.
+    Scores are finite for any text."""
+    names = _classes(docs, class_col, classes)
     n = len(names) + 1
     number = F.lit(len(names))
     for k in range(len(names) - 1, -1, -1):
         number = F.when(F.col(class_col).eqNullSafe(F.lit(names[k])), k).otherwise(number)
     blocks = _blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), number.cast("int").alias("class_no")), n)
     got = {r["class_no"]: r["n"] for r in blocks.where("kind = 0 AND NOT held_out").groupBy("class_no").agg(F.count(F.lit(1)).alias("n")).collect()}
-    by = W.partitionBy("word")
-    counted = blocks.where("kind = 1").select("block", "idx", "word", *[F.sum(f"n{k}").over(by).alias(f"c{k}") for k in range(n)], (F.row_number().over(by.orderBy("block")) == 1).alias("first"))
-    counted = written(counted, "words")
-    model = fit(counted, [got.get(k, 0) for k in range(n)], read_pieces(model_file))
+    words = blocks.where("kind = 1")
+    types = written(words.groupBy("word").agg(*[F.sum(f"n{k}").alias(f"c{k}") for k in range(n)]), "words")
+    model = fit(types, [got.get(k, 0) for k in range(n)], read_pieces(model_file), arcs=arcs)
     weights = [c.logp for c in model.classes]
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, last = Lattice(model.pieces), (None, np.zeros(n))
+        lattice = Lattice(model.pieces)
         for batch in gathered(batches):
-            ws = batch.column(2).to_pylist()
-            c = np.stack([batch.column(3 + k).to_numpy(zero_copy_only=False) for k in range(n)])
-            new = np.array([w != (ws[i - 1] if i else last[0]) for i, w in enumerate(ws)], dtype=bool)  # rows come sorted by word
-            first = np.flatnonzero(new)
-            found = np.concatenate((last[1][:, None], lattice.log_probs([ws[i] for i in first], weights)), axis=1)
-            spelled = found[:, np.cumsum(new)]
+            c = np.stack([batch.column(1 + k).to_numpy(zero_copy_only=False) for k in range(n)])
+            spelled = lattice.log_probs(batch.column(0).to_pylist(), weights)
             all_c = c.sum(axis=0)
             overall = all_c / max(1, model.words)
             lp = np.stack([own.word_log10(c[k], spelled[k], overall) for k, own in enumerate(model.classes)], axis=1).astype("<f4")
-            if len(ws):
-                last = (ws[-1], spelled[:, -1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(all_c), pa.array([r.tobytes() for r in lp], type=pa.binary())], names=["block", "idx", "c", "lp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(all_c), pa.array([r.tobytes() for r in lp], type=pa.binary())], names=["word", "c", "lp"])
 
-    priced = map_batches(counted.select("block", "idx", "word", *[f"c{k}" for k in range(n)]), price, "block long, idx int, c long, lp binary")
+    # written, so that both sides of the join below are plain exchanges: a word that all blocks hold can be split
+    priced = written(map_batches(types.select("word", *[f"c{k}" for k in range(n)]), price, "word binary, c long, lp binary"), "priced")
+    priced = words.select(F.col("block").alias("of"), "idx", "word").join(priced, "word").select(F.col("of").alias("block"), "idx", "c", "lp")
     end_score = np.array([math.log10(c.end()) + c.share for c in model.classes])
     end_base, end_known, total = float(model.base_log10(np.array([model.ends]))[0]), int(model.ends > 0), model.words + model.ends
 

@@ -222,8 +222,17 @@ def test_lattice_is_the_sum_over_all_cuts():
     words = [b"a", b"ab", b"abab", b"babba", "é".encode(), b"b" * 12]
     got = lattice.Lattice(p).log_probs(words)[0]
     assert np.allclose(np.exp(got), [brute(b" " + w + b"\n") for w in words], rtol=1e-9)
-    long = [b"ab" * 60]  # one at a time
-    assert np.allclose(lattice.Lattice(p).log_probs(long)[0], lattice.Lattice(p)._one(long[0], p.logp)[0][-1])
+    rng = np.random.default_rng(2)
+    long = [b"ab" * 60, bytes(rng.choice(list(b"ab"), 40_000).tolist())]  # one at a time, over several stretches
+
+    def forward(s):
+        alpha = [0.0]
+        for j in range(1, len(s) + 1):
+            own = [alpha[i] + math.log(prob[s[i:j]]) for i in range(max(0, j - 4), j) if s[i:j] in prob]
+            alpha.append(max(own) + math.log(sum(math.exp(x - max(own)) for x in own)))
+        return alpha[-1]
+
+    assert np.allclose(lattice.Lattice(p).log_probs(long, [p.logp, p.logp]), [[forward(b" " + w + b"\n") for w in long]] * 2)
     e = lattice.Lattice(p).expected(words)
     assert abs(sum(x * len(s) for x, s in zip(e, p.strings, strict=True)) - sum(len(w) + 2 for w in words)) < 1e-6
 
@@ -239,6 +248,46 @@ def test_op4(spark, sf, docs):
         assert abs(r["base_score"] - sum(math.log10((train[w] + 1) / (n + v + 1)) for w in ws)) < 1e-6 and -1e9 < r["score"] < 0
 
 
+def test_op4_score_by_hand(spark, docs, monkeypatch):
+    """Document scores from the model's definition: classes mixed, seen words discounted, the rest half lattice and half the words' shares,
+    with the lattice's sum by enumeration of all cuts."""
+    kept = []
+    real = lattice.fit
+    monkeypatch.setattr(lattice, "fit", lambda *a, **k: kept.append(real(*a, **k)) or kept[-1])
+    rows = [(i, " ".join(w[:7] for w in t.split()[:40]), "ab"[i % 2]) for i, t in docs[:40]] + [(1000, "", None), (1001, "unseen wördz", "zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in lattice.score_documents(df, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    model = kept[0]
+    train = [(i, t.encode().lower().split(), g) for i, t, g in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    names = [g for g, _ in sorted(collections.Counter(g for _, _, g in train).items(), key=lambda x: (-x[1], x[0] is not None, x[0] or ""))][:4]
+    assert len(model.classes) == len(names) + 1
+    of = lambda g: names.index(g) if g in names else len(names)
+    count = [collections.Counter(w for _, ws, g in train if of(g) == k for w in ws) for k in range(len(names) + 1)]
+    every = sum(count, collections.Counter())
+    papers = [sum(of(g) == k for _, _, g in train) for k in range(len(names) + 1)]
+
+    def cuts(s, prob):
+        return 1.0 if not s else sum(prob[s[:n]] * cuts(s[n:], prob) for n in range(1, len(s) + 1) if s[:n] in prob)
+
+    for i, t, _ in rows:
+        if i % 3 and i < 1000:
+            continue
+        sums = []
+        for k, c in enumerate(model.classes):
+            prob, w = dict(zip(model.pieces.strings, np.exp(c.logp), strict=True)), sum(count[k].values())
+            end = (papers[k] + 0.5) / (w + papers[k] + 1)
+            total = math.log(end * (papers[k] + 0.5) / (len(train) + 0.5 * len(papers)))
+            for x in t.encode().lower().split():
+                rest = cuts(b" " + x + b"\n", prob) + every[x] / max(1, sum(every.values()))
+                p = max(0, count[k][x] - c.discount) / w + c.discount * len(count[k]) / w * rest / 2 if w else rest
+                total += math.log((1 - end) * p)
+            sums.append(total)
+        want = (max(sums) + math.log(sum(math.exp(x - max(sums)) for x in sums))) / math.log(10)
+        assert abs(got[i]["score"] - want) < 1e-4 * max(1, abs(want))
+    alone = lattice.score_documents(df, public_tokenizers.path("piece_bpe_32k.model"), None, arcs=False).collect()
+    assert len(kept[-1].classes) == 1 and all(math.isfinite(r["score"]) for r in alone)
+
+
 def test_op4_edges(spark, edge, empty):
     model = public_tokenizers.path("piece_bpe_32k.model")
     rows = lattice.score_documents(edge, model).collect()
