@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch; with long texts this, not the row count of a partition, bounds a worker's memory.
-BATCH_ROWS = 1024
+#: Rows in one Arrow batch, and bytes where a table is written; with long texts this, not the row count of a partition, bounds a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 1024, "1m"
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -41,13 +44,31 @@ def _own(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, and lost executors lose nothing."""
+    """df as a Parquet table in the shared folder: lineage ends there, and lost executors lose nothing. While it is written, Arrow batches
+    hold about BATCH_BYTES, so that few long texts meet in a worker; the session's setting comes back afterwards."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    try:
+        spark.conf.set(key, BATCH_BYTES)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, now)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by written(), once all that is read from them is written."""
+    for table in tables:
+        files = table.inputFiles()
+        folder = files[0].rsplit("/", 1)[0] if files else ""
+        spark = table.sparkSession
+        if folder.rsplit("/", 1)[-1].startswith(_own(spark)):
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables. Call it when no lazily read result is needed any more."""
     jvm = spark.sparkContext._jvm
@@ -64,11 +85,20 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     unless the session says otherwise); rows are cut here, so that no session setting changes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return fn(b.slice(at, BATCH_ROWS) for b in batches for at in range(0, max(1, b.num_rows), BATCH_ROWS))
+        yield from fn(b.slice(at, BATCH_ROWS) for b in batches for at in range(0, max(1, b.num_rows), BATCH_ROWS))
+        _trim()
 
     return df.mapInArrow(run, schema)
 
 
+def _trim() -> None:
+    """Give free memory back to the system: Spark keeps workers for the next task, and what they hold counts against the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def gathered(batches: Iterator[pa.RecordBatch], rows: int = 65_536) -> Iterator[pa.RecordBatch]:
     """Batches of short rows put together to about `rows` rows, for work that is cheap by the thousand."""
     held, n = [], 0

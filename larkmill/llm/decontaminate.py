@@ -20,7 +20,7 @@ from .common import map_batches, text_of, written
 
 #: Gram length, edits allowed for each character of an item, and characters of benchmark that one pass sends to the tasks.
 Q, EDITS, PASS_CHARS = 10, 0.08, 2_000_000
-_GROUP, _PAIRS = 1 << 20, 1 << 22
+_GROUP, _PAIRS = 1 << 19, 1 << 20
 _B = 0x9E3779B97F4A7C15
 _BITS = 22
 

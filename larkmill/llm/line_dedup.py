@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, text_of, written
+from .common import ascii_lower, discard, text_of, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -37,6 +37,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     common = written(common.where(F.col("n") >= min_docs).select("h1", "h2", "last"), "common-lines")
     gone = one.join(common, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("last")))
     gone = gone.groupBy(F.col("id").alias("_lm_id"), F.col("th").alias("_lm_gone")).agg(F.collect_set("pos").alias("_lm_drop"))
+    gone = written(gone, "gone-lines")
+    discard(one, common)
     base = docs.select(*[F.col(f"`{c}`") for c in keep], th.alias("_lm_th"))
     out = base.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_lm_id")) & (F.col("_lm_th") == F.col("_lm_gone")), "left")
     # a lambda's variable holds the lines, so that they are split once and not for each line that stays

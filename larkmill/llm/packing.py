@@ -20,7 +20,7 @@ from .common import map_batches, text_of, written
 from .tokens import encoder
 
 #: Slacks that are tried, as parts of the capacity, besides none.
-SLACKS = (512, 128, 64, 32)
+SLACKS = (512, 64)
 PIECES = "doc_id long, piece int, start long, length long, ids binary, part int, rank long"
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, map_batches, text_of, written
+from .common import ascii_words, discard, map_batches, text_of, written
 from .graph import components
 from .simhash import majority_bits, mixed, near_matrix
 from .sketches import shingle_hashes
@@ -27,12 +27,12 @@ from .sketches import shingle_hashes
 #: Least similarity as a fraction; bits of the bitmap of asked sets; values in one output batch.
 UP, DOWN, ASKED_BITS, VALUES = 4, 5, 22, 1 << 19
 #: Words of a fingerprint, and the bits that may differ. Where sets of 10 shingles or more have a similarity of 4/5, each bit differs with
-#: a probability of at most 0.161 (exact sums over all such sizes; 0.188 below 10), so 6 standard deviations more than the mean.
-PARTS, RADIUS, RADIUS_SMALL, SMALL = 4, 78, 86, 10
+#: a probability of at most 0.161 (exact sums over all such sizes; 0.188 below 10), so 5 standard deviations more than the mean.
+PARTS, RADIUS, RADIUS_SMALL, SMALL = 4, 71, 80, 10
 #: Probability with which a pair of similarity 4/5 may share none of the first shingles; how many of them are counted to find hot ones.
 MISS, COUNTED = 1e-12, 40
 #: Rows of a block.
-BLOCK = 2048
+BLOCK = 1024
 
 
 def row_key(text_col: str = "text") -> Column:
@@ -176,7 +176,8 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray]
 
 
 def _sized(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    return DOWN * np.minimum(n, m) >= UP * np.maximum(n, m)
+    """Whether sets of sizes n and m can have the similarity."""
+    return (m >= -(-UP * n // DOWN)) & (m <= DOWN * n // UP)
 
 
 def _radius(n: np.ndarray) -> int:
@@ -221,19 +222,32 @@ def _led(rows: DataFrame) -> DataFrame:
 
 
 def _touching(rows: DataFrame) -> DataFrame:
-    """The rows that have one of another group within the radius in their block; rows are given out, never pairs."""
+    """The rows that have one of another group within the radius in their block. Where a block has no more such pairs than twice the
+    rows, the pairs come instead, as d and other: they meet in several lists, but count once. Either way no more than two rows come for
+    each row of a block."""
+    names = ["s", "u", "side", "d", "n", "root", "fp", "other"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, fps, cuts in _whole(batches):
-            chosen = np.zeros(len(fps), dtype=bool)
+            chosen, first, second = np.zeros(len(fps), dtype=bool), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 root = cols[5][lo:hi]
                 if (root != root[0]).any():
-                    chosen[lo:hi] = (_near(cols[4][lo:hi], fps[lo:hi]) & (root[:, None] != root[None])).any(axis=1)
+                    near = _near(cols[4][lo:hi], fps[lo:hi]) & (root[:, None] != root[None])
+                    own, pairs = near.any(axis=1), np.count_nonzero(near) // 2
+                    if pairs > 2 * np.count_nonzero(own):
+                        chosen[lo:hi] = own
+                    elif pairs:
+                        i, j = np.nonzero(np.triu(near, 1))
+                        first.append(cols[3][lo + i])
+                        second.append(cols[3][lo + j])
+            a, b = np.concatenate(first), np.concatenate(second)
             fixed = [pa.array(x[chosen]) for x in cols]
-            yield pa.RecordBatch.from_arrays([*fixed, _lists(list(fps[chosen].view(np.int64)))], names=["s", "u", "side", "d", "n", "root", "fp"])
+            yield pa.RecordBatch.from_arrays([*fixed, _lists(list(fps[chosen].view(np.int64))), pa.nulls(len(fixed[0]), pa.int64())], names=names)
+            zero = pa.array(np.zeros(len(a), dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([zero, zero, zero, pa.array(np.maximum(a, b)), zero, zero, pa.nulls(len(a), pa.list_(pa.int64())), pa.array(np.minimum(a, b))], names=names)
 
-    return map_batches(_blocks(rows), run, "s long, u long, side long, d long, n long, root long, fp array<long>")
+    return map_batches(_blocks(rows), run, "s long, u long, side long, d long, n long, root long, fp array<long>, other long")
 
 
 def _linked(rows: DataFrame) -> DataFrame:
@@ -280,18 +294,18 @@ def _alike(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     place = np.cumsum(times > 1) - 1
     words = int(place[-1]) // 64 + 1
     common = np.empty(len(i), dtype=np.int64)
-    if len(sets) * words <= 1 << 23:
+    if len(sets) * words <= 1 << 21:
         row = np.repeat(np.arange(len(sets)), sizes)
         live = times[number] > 1
         row, at = row[live], place[number[live]]
-        bits = np.zeros((len(sets), words * 64), dtype=bool) if len(sets) * words <= 1 << 18 else None
+        bits = np.zeros((len(sets), words * 64), dtype=bool) if len(sets) * words <= 1 << 16 else None
         if bits is not None:
             bits[row, at] = True
             packed = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
         else:
             packed = np.zeros((len(sets), words), dtype=np.uint64)
             np.bitwise_or.at(packed, (row, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
-        step = max(1, (1 << 20) // words)
+        step = max(1, (1 << 19) // words)
         for k in range(0, len(i), step):
             common[k : k + step] = np.bitwise_count(packed[i[k : k + step]] & packed[j[k : k + step]]).sum(axis=1, dtype=np.int64)
     else:
@@ -373,7 +387,8 @@ def _asked(wanted_sets: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b: those of the pairs (written) whose sets are similar, by the sizes of their intersection and union."""
+    """a, b: those of the pairs whose sets are similar, by the sizes of their intersection and union."""
+    pairs = written(pairs, "pairs")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -387,14 +402,16 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     some = _asked(pairs.select(F.col("a").alias("d")).union(pairs.select(F.col("b").alias("d"))), sets)
     both = pairs.join(some.select(F.col("d").alias("a"), F.col("h").alias("x")), "a").join(some.select(F.col("d").alias("b"), F.col("h").alias("y")), "b")
-    return written(map_batches(both.select("a", "b", "x", "y"), compare, "a long, b long"), "links")
+    links = written(map_batches(both.select("a", "b", "x", "y"), compare, "a long, b long"), "links")
+    discard(pairs, some)
+    return links
 
 
 def grouped_rows(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, th (row_key), g: one row for each of docs; rows of one g are linked by pairs of texts whose distinct k-word shingles have
     a Jaccard similarity of 4/5 or more.
 
-    Every such pair counts, but for one in 10^8 by its fingerprints and one in 10^12 by its first shingles, and no other (shingles and sets
+    Every such pair counts, but for one in 10^6 by its fingerprints and one in 10^12 by its first shingles, and no other (shingles and sets
     are told apart by 64-bit hashes). Texts of fewer than k words are one shingle; null and wordless texts equal each other; repeated rows come back as
     often as they came; a null id is a row like any other. Empty: empty."""
     sets = written(shingle_sets(docs, k, id_col, text_col), "sets")
@@ -402,17 +419,20 @@ def grouped_rows(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col:
     shown = written(postings(sets), "postings")
     common = shown.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("s")
     met = written(shown.join(common, "s").join(nodes, "d").select("s", "d", "n", "fp"), "met")
-    found = _confirmed(written(_led(_leaders(met.withColumn("root", F.col("d")))), "pairs"), sets)
-    for last in (False, True):
-        rows = _grouped(met, written(components(found), "roots"))
-        if last:
-            touching = written(_touching(_sides(rows)), "touching")
-            more = written(_linked(touching.join(_asked(touching.select("d"), sets), "d")), "links")
-        else:
-            more = _confirmed(written(_led(_leaders(rows)), "pairs"), sets)
-        found = found.union(more)
+    discard(shown)
+    found = _confirmed(_led(_leaders(met.withColumn("root", F.col("d")))), sets)
+    found = found.union(_confirmed(_led(_leaders(_grouped(met, written(components(found), "roots")))), sets))
+    touching = written(_touching(_sides(_grouped(met, written(components(found), "roots")))), "touching")
+    discard(met)
+    few = _confirmed(touching.where("other IS NOT NULL").select(F.col("d").alias("a"), F.col("other").alias("b")).distinct(), sets)
+    dense = touching.where("other IS NULL").drop("other")
+    asked = _asked(dense.select("d"), sets)
+    found = found.union(few).union(written(_linked(dense.join(asked, "d")), "links"))
+    discard(touching, asked)
     roots = components(found)
-    return sets.join(roots, F.col("d") == F.col("node"), "left").select("doc_id", "th", F.coalesce("root", "d").alias("g"))
+    out = written(sets.join(roots, F.col("d") == F.col("node"), "left").select("doc_id", "th", F.coalesce("root", "d").alias("g")), "groups")
+    discard(sets)
+    return out
 
 
 def similar_groups(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -427,7 +447,7 @@ def one_of_each(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: s
     not ids: where one id has several texts, each stays or goes with its own group; of equal rows under one id one stays.
 
     Null and wordless texts are copies of each other, so one stays; empty: empty. Other columns play no part and keep their values."""
-    rows = written(grouped_rows(docs, k, id_col, text_col), "groups")
+    rows = grouped_rows(docs, k, id_col, text_col)
     key = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")
     kept = rows.groupBy("g").agg(F.min(key).alias("k"))
     # one row for each (doc_id, th) that goes or is there several times

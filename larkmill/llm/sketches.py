@@ -28,7 +28,7 @@ class _Hashes(dict):
     """Hashes of words met so far; starts anew when full, which changes no result."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = got = xxhash.xxh64_intdigest(word)
         return got

@@ -8,6 +8,7 @@ word's vector; a text is the mean of its words' vectors and their maximum. Landm
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -83,6 +84,7 @@ def _norms(c: np.ndarray, sizes: list[int]) -> np.ndarray:
     return out
 
 
+@functools.cache
 def _plain_norm(size: int) -> float:
     """The norm of a string in which no subsequence comes twice."""
     i, _, k = _triples(size)
@@ -139,8 +141,12 @@ class Kernel:
             each = np.repeat(self.first[u] - (np.cumsum(many) - many), many) + np.arange(many.sum())
             cell = (np.repeat(row, many) * len(sizes) + np.repeat(kind, many)) * self.count + self.mark[each]
             sums = np.bincount(cell, weights=np.repeat(v, many) * self.weight[each], minlength=len(idx) * len(sizes) * self.count)
-            sums = sums.reshape(len(idx), len(sizes), self.count).cumsum(axis=1)
-            made = (sums / np.array([_plain_norm(s) for s in sizes])[:, None]).max(axis=1)
+            sums = sums.reshape(len(idx), len(sizes), self.count)
+            for k in range(1, len(sizes)):
+                sums[:, k] += sums[:, k - 1]
+            made = sums[:, 0] / _plain_norm(sizes[0])
+            for k, s in enumerate(sizes[1:], 1):
+                np.maximum(made, sums[:, k] / _plain_norm(s), out=made)
             near = np.flatnonzero(made.max(axis=1) >= EXACT)
             if len(near):
                 made[near] = (sums[near] / _norms(c[:, near], sizes)[:, :, None]).max(axis=1)
@@ -162,7 +168,7 @@ def words_of(text: str) -> list[str]:
 
 def bare(word: str) -> str:
     """Signs around a word say nothing, nor do those within."""
-    return word.translate(_NO_SIGNS) or word
+    return word if word.isalnum() else word.translate(_NO_SIGNS) or word
 
 
 @dataclass
@@ -183,15 +189,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def powered(k: np.ndarray) -> np.ndarray:
+    """k ** POWER, by squaring where that is enough."""
+    if POWER & POWER - 1:
+        return k**POWER
+    for _ in range(POWER.bit_length() - 1):
+        k = k * k
+    return k
+
+
 class Pooler:
     """Features of texts: mean and maximum of their words' kernel rows, Nystroem-mapped. Rows of the words met so far are kept up to a
     limit."""
 
-    def __init__(self, landmarks: list[str], whiten: np.ndarray, entries: int = 250_000):
+    def __init__(self, landmarks: list[str], whiten: np.ndarray, entries: int = 100_000):
         self.landmarks, self.whiten, self.entries = landmarks, whiten, entries
         self.kernel = Kernel(landmarks)
         self.at: dict[str, int] = {}
-        self.rows = np.zeros((0, len(landmarks)), dtype=np.float32)
+        self.rows, self.used = np.zeros((1 << 12, len(landmarks)), dtype=np.float32), 0
 
     def _learn(self, words: list[str]) -> None:
         """One row for each word without its signs; the words themselves point there."""
@@ -203,19 +218,27 @@ class Pooler:
                 units.append(u)
                 owner.append(i)
         rows = np.zeros((len(of), len(self.landmarks)), dtype=np.float32)
-        np.maximum.at(rows, owner, self.kernel(units))
-        self.at.update(zip(words, (len(self.rows) + i for i in at), strict=True))
-        self.rows = np.concatenate((self.rows, rows**POWER))
+        if len(units) == len(of):
+            rows = self.kernel(units)
+        else:
+            np.maximum.at(rows, owner, self.kernel(units))
+        self.at.update(zip(words, (self.used + i for i in at), strict=True))
+        if self.used + len(rows) > len(self.rows):
+            more = np.zeros((max(2 * len(self.rows), self.used + len(rows)), rows.shape[1]), dtype=np.float32)
+            more[: self.used] = self.rows[: self.used]
+            self.rows = more
+        self.rows[self.used : self.used + len(rows)] = powered(rows)
+        self.used += len(rows)
 
     def features(self, texts: list[str]) -> np.ndarray:
         m = len(self.landmarks)
         out = np.zeros((len(texts), 2 * m))
         split = [words_of(t) for t in texts]
-        for a in range(0, len(split), 512):
-            group = split[a : a + 512]
+        for a in range(0, len(split), 128):
+            group = split[a : a + 128]
             new = list({w for ws in group for w in ws if w not in self.at})
             if len(self.at) + len(new) > self.entries:
-                self.at, self.rows = {}, np.zeros((0, m), dtype=np.float32)
+                self.at, self.used = {}, 0
                 new = list({w for ws in group for w in ws})
             if new:
                 self._learn(new)
