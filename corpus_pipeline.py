@@ -14,14 +14,16 @@ from larkmill.llm.common import written
 
 
 def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity machine rejects (score 0.5 or more) go. It learns from labels outside the held-out fifth."""
+    """Documents that the toxicity machine rejects (score 0.5 or more) go. It learns from labels outside the held-out fifth. Null and empty
+    texts get the score of no words, repeated rows are treated alike, and an empty table stays empty."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     scored = toxicity.score_documents(docs, toxicity.train(docs, labels))
-    return scored.where(F.col("predicted") == 0).select(*docs.columns)
+    return written(scored.where(F.col("predicted") == 0).select(*docs.columns), "kept")  # in small batches
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of 20 characters or more that three documents hold stay in the last of them only; n_chars follows the text."""
+    """Lines of 20 characters or more that three documents hold stay in the last of them only; n_chars follows the text. A null text
+    becomes an empty one; rows of one id count as one document; an empty table stays empty."""
     out = line_dedup.line_dedup(docs, 20, 3)
     return out.select(*[F.char_length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
@@ -34,13 +36,15 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, with up to 8 edits in 100 characters, go."""
-    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents that hold a benchmark item, with up to 8 edits in 100 characters, go. Null and empty texts stay, repeated rows are treated
+    alike, and an empty table stays empty."""
+    return written(decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "clean")  # in small batches
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens: each piece with its ids and its place."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, 0)
+    """Sequences of at most 2048 tokens: each piece with its ids and its place. Null and empty texts are the end id alone, repeated rows are
+    packed as often as they come, and an empty table gives none."""
+    return written(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, 0), "packed")
 
 
 STAGES = [
