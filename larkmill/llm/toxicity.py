@@ -61,6 +61,7 @@ def weights(s: str) -> dict[tuple[str, str, str], float]:
     return out
 
 
+@functools.cache
 def _triples(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of all subsequences of a string of this length."""
     all_ = [(i, j, k) for i in range(length) for j in range(i + 1, min(i + GAP + 1, length)) for k in range(j + 1, min(j + GAP + 1, length))]
@@ -127,16 +128,10 @@ class Kernel:
             w = np.where(self.letters[at] == c, at + 1, 0).astype(np.int32)
             sizes = [s for s in STARTS if s < length] + [length]
             begun = np.searchsorted(sizes, np.arange(length), side="right")  # the first beginning that holds a character
-            rows, used, values, kinds = [], [], [], []
-            for i in range(length - 2):
-                for j in range(i + 1, min(i + GAP, length - 2) + 1):
-                    found = self.table[(w[i] * self.size + w[j]) * self.size + w[j + 1 : j + GAP + 1]]
-                    k, row = np.nonzero(found)
-                    rows.append(row)
-                    used.append(found[k, row])
-                    values.append(decay[k + (j + 2 - i)])
-                    kinds.append(begun[k + j + 1])
-            row, u, v, kind = (np.concatenate(x) for x in (rows, used, values, kinds))
+            i, j, k = _triples(length)
+            found = self.table[(w[i] * self.size + w[j]) * self.size + w[k]]
+            at, row = np.nonzero(found)
+            u, v, kind = found[at, row], decay[k - i + 1][at], begun[k][at]
             many = self.first[u + 1] - self.first[u]
             each = np.repeat(self.first[u] - (np.cumsum(many) - many), many) + np.arange(many.sum())
             cell = (np.repeat(row, many) * len(sizes) + np.repeat(kind, many)) * self.count + self.mark[each]
@@ -190,11 +185,11 @@ class Model:
 
 
 def powered(k: np.ndarray) -> np.ndarray:
-    """k ** POWER, by squaring where that is enough."""
+    """k ** POWER, by squaring in place where that is enough."""
     if POWER & POWER - 1:
         return k**POWER
     for _ in range(POWER.bit_length() - 1):
-        k = k * k
+        k *= k
     return k
 
 
@@ -212,16 +207,10 @@ class Pooler:
         """One row for each word without its signs; the words themselves point there."""
         of: dict[str, int] = {}
         at = [of.setdefault(bare(w), len(of)) for w in words]
-        units, owner = [], []
-        for i, w in enumerate(of):
-            for u in _units(w):
-                units.append(u)
-                owner.append(i)
-        rows = np.zeros((len(of), len(self.landmarks)), dtype=np.float32)
-        if len(units) == len(of):
-            rows = self.kernel(units)
-        else:
-            np.maximum.at(rows, owner, self.kernel(units))
+        rows = self.kernel([MARK + w[: WIDE - 1] for w in of])
+        long = [(i, u) for i, w in enumerate(of) if len(w) >= WIDE for u in _units(w)]
+        if long:
+            np.maximum.at(rows, [i for i, _ in long], self.kernel([u for _, u in long]))
         self.at.update(zip(words, (self.used + i for i in at), strict=True))
         if self.used + len(rows) > len(self.rows):
             more = np.zeros((max(2 * len(self.rows), self.used + len(rows)), rows.shape[1]), dtype=np.float32)
@@ -234,8 +223,8 @@ class Pooler:
         m = len(self.landmarks)
         out = np.zeros((len(texts), 2 * m))
         split = [words_of(t) for t in texts]
-        for a in range(0, len(split), 128):
-            group = split[a : a + 128]
+        for a in range(0, len(split), 256):
+            group = split[a : a + 256]
             new = list({w for ws in group for w in ws if w not in self.at})
             if len(self.at) + len(new) > self.entries:
                 self.at, self.used = {}, 0
