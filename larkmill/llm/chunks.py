@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, text_of, written
 
-#: Least and greatest chunk size in bytes, the share of word ends that are chunk ends, words compared on either side of a stretch, and
+#: Least and greatest chunk size in bytes, the word ends on either side whose hashes must be greater where a chunk ends (about one word end
+#: in seven is such a one, and gaps are seldom long), words compared on either side of a stretch, and
 #: the least number of words of a reported stretch: a passage of 50 words reaches 45 though its first or last words may be beyond reach.
-LEAST, MOST, ENDS, REACH, MIN_WORDS = 1, 512, 0.3, 20, 45
+LEAST, MOST, BESIDE, REACH, MIN_WORDS = 1, 512, 3, 24, 45
 #: Slots (log 2) of the bitmap of repeated digests.
 SLOT_BITS = 26
 _GEAR = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=4).digest(), "little") for b in range(256)], dtype=np.uint32)
@@ -51,10 +52,15 @@ def _ends(data: np.ndarray, most: int = MOST) -> np.ndarray:
     low = gear_hashes(data)[:-1] & np.uint32(0xFFFF)  # at place i - 1: before byte i
     blank, next_ = _BLANK[data[:-1]], data[1:]
     word_end = ~blank & _BLANK[next_]
-    marks = (word_end & (low < int(ENDS * 65536))) | (_DENSE[next_] & (low < 65536 // 12))
+    marks = _DENSE[next_] & (low < 65536 // 12)
     at = np.flatnonzero(word_end)
-    for lag in (1, 2, 3, 4):  # a few words over and over have few hashes, perhaps none below the limit: there every word is an end
-        marks[at[lag:][low[at[lag:]] == low[at[:-lag]]]] = True
+    own, least = low[at], np.ones(len(at), dtype=bool)
+    for lag in range(1, BESIDE + 1):
+        least[lag:] &= own[lag:] < own[:-lag]
+        least[:-lag] &= own[:-lag] < own[lag:]
+    for lag in (1, 2, 3, 4):  # a few words over and over have few hashes, perhaps none the least: there every word is an end
+        least[lag:] |= own[lag:] == own[:-lag]
+    marks[at[least]] = True
     ends = np.append(np.flatnonzero(marks) + 1, n)
     gaps = np.diff(ends, prepend=0)
     wide = np.flatnonzero(gaps > most)
