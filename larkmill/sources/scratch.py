@@ -9,11 +9,14 @@ from pyspark.sql import SparkSession
 
 
 def root(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one is set only where the session names none."""
+    """The session's checkpoint folder. Where it names none, a temporary one is set in local mode; on a cluster that raises, as executors
+    wouldn't see each other's files."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return named or found.get()
+    if not named and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     folder = named or f"file://{tempfile.mkdtemp(prefix='larkmill-')}"
     spark.sparkContext.setCheckpointDir(folder)
     return folder
