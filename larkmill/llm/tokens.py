@@ -13,7 +13,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Entries a cache holds before it starts anew; this bounds memory and changes no result.
 CACHE_ENTRIES = 220_000
 #: Letters that NFC leaves alone and that lower-casing maps one to one, then ASCII or other signs without apostrophes.
-_PLAIN = re.compile(r"([a-zà-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Python splits text here, and the tokenizers' \s doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -73,14 +73,20 @@ class Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
-        plain = _PLAIN.fullmatch(word.lower()) if len(word) <= 64 else None
+        if len(word) > 64:
+            return self.whole(word)
+        lower = word.lower()
+        if lower.isascii() and lower.isalpha():
+            return self.runs[lower]
+        plain = _PLAIN.fullmatch(lower)
         if not plain:
             return self.whole(word)
         return self.runs[plain[1]] + (self.runs[plain[2]] if plain[2] else b"")
 
     def _run(self, run: str) -> bytes:
         """A run that normalising leaves alone and splitting leaves whole goes to the tokenizer's model as it is, in its spelling of bytes."""
-        return array("I", [t.id for t in self.model.tokenize(run.encode().decode("latin-1").translate(_SPELLED))]).tobytes()
+        spelled = run if run.isascii() else run.encode().decode("latin-1").translate(_SPELLED)
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
 
 def _drops_white_space(spec: dict) -> bool:

@@ -51,7 +51,7 @@ def ids_of(texts):
 def test_cached_ids_are_the_tokenizers(docs):
     e = tokens.Encoder(BPE)
     assert e.by_word
-    odd = ["", "a\x1cb İstanbul ΑΣ é 'S it's <|endoftext|>x", "日本語 12ab ½ ẞß don't'll.'s", "x" * 200, "á b̧", "foo&&& bar### 3.14,--"]
+    odd = ["", "a\x1cb İstanbul ΑΣ é 'S it's <|endoftext|>x", "日本語 12ab ½ ẞß don't'll.'s", "x" * 200, "á b̧", "foo&&& bar### 3.14,--", "Straße GROẞ ẞ ß's", "ABC abc \x7fa"]
     for t, want in zip([t for _, t in docs] + odd, ids_of([t for _, t in docs] + odd), strict=True):
         assert np.frombuffer(e.encode(t), "<u4").tolist() == want
 
