@@ -52,3 +52,11 @@ def choose_k(df: DataFrame, held: DataFrame, vector: str, grid: list[int], seed:
         got = calinski_harabasz(assign(held, vector, fit_kmeans(df, vector, k, seed)), vector, "cluster_id").first()["ch"]
         best.append((-(got if got is not None else float("-inf")), k))
     return min(best)[1]
+
+
+def resolve_k(explicit: int | None = None, selected: int | None = None, default: int = 500) -> int:
+    """The number of clusters: what the caller says, else what a selection found, else the default."""
+    k = next(k for k in (explicit, selected, default) if k is not None)
+    if k < 1:
+        raise ValueError(f"{k} clusters")
+    return k

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import learning, relational, texts
+from . import files, learning, relational, texts
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "learning", "relational", "texts"]
+__all__ = ["ORACLES", "QUERIES", "files", "learning", "relational", "texts"]

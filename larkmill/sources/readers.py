@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import io
+import re
 import tarfile
-from collections.abc import Iterator
+import time
+import urllib.error
+import warnings
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -129,14 +133,68 @@ def to_fetch(rows: DataFrame, link: str, have: DataFrame, name: str) -> DataFram
     return wanted.join(have.select(F.col(name).alias("name")), "name", "left_anti").select("link", "name")
 
 
+def fetch(links: DataFrame, get: Callable[[str], bytes], tries: int = 3, wait: float = 1.0) -> DataFrame:
+    """link, ok, detail, content of each row's `link` through `get`, which returns bytes or raises as urllib does. What isn't there (404)
+    is asked once, anything else `tries` times with a pause that grows by `wait` seconds. An answer of no bytes counts as a failure.
+    detail: ok, empty, 404, HTTP and the status, URL error and its reason, or the exception's name; a null link gives `no link`.
+    Deal the links into partitions first (to_fetch gives distinct ones): a partition's links are asked one after the other."""
+
+    def one(link: str | None) -> tuple:
+        if link is None:
+            return False, "no link", None
+        detail = ""
+        for turn in range(tries):
+            if turn:
+                time.sleep(wait * turn)
+            try:
+                content = get(link)
+            except urllib.error.HTTPError as e:
+                detail = "404" if e.code == 404 else f"HTTP {e.code}"
+            except urllib.error.URLError as e:
+                detail = f"URL error: {e.reason}"
+            except Exception as e:  # any fault of one link is that link's outcome
+                detail = type(e).__name__
+            else:
+                if content:
+                    return True, "ok", content
+                detail = "empty"
+            if detail == "404":
+                break
+        return False, detail, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for link in batch.column(0).to_pylist():
+                ok, detail, content = one(link)
+                yield pa.RecordBatch.from_arrays([pa.array([link], pa.string()), pa.array([ok]), pa.array([detail]), pa.array([content], pa.binary())], names=["link", "ok", "detail", "content"])
+
+    return links.select("link").mapInArrow(run, "link string, ok boolean, detail string, content binary")
+
+
+def braces(pattern: str) -> list[str]:
+    """{000..067} stands for all numbers between, both ends included, with the first one's width."""
+    found = re.search(r"\{(\d+)\.\.(\d+)\}", pattern)
+    if not found:
+        return [pattern]
+    first, last = found[1], found[2]
+    return [p for i in range(int(first), int(last) + 1) for p in braces(f"{pattern[: found.start()]}{i:0{len(first)}d}{pattern[found.end() :]}")]
+
+
 class TarReader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
+        """One for each archive. Names in a brace range that aren't there are warned about and left out."""
         import glob
 
-        return [InputPartition(p) for p in sorted(glob.glob(self.path))]
+        shards = []
+        for pattern in braces(self.path.removeprefix("file://")):
+            found = sorted(glob.glob(pattern))
+            if not found:
+                warnings.warn(f"no shard {pattern}", stacklevel=2)
+            shards += found
+        return [InputPartition(p) for p in shards]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         """Members of a sample lie together; a broken archive ends its shard, not the job."""
@@ -151,7 +209,8 @@ class TarReader(DataSourceReader):
                     key = own
                     f = tar.extractfile(m)
                     parts[ending] = f.read() if f else b""
-        except (tarfile.TarError, EOFError):
+        except (tarfile.TarError, EOFError) as e:
+            warnings.warn(f"shard {partition.value} is broken: {e}", stacklevel=2)
             return
         if key is not None:
             yield partition.value, key, parts

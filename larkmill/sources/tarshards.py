@@ -73,4 +73,4 @@ class TarShards(TarSource, DataSource):
 
     def writer(self, schema: T.StructType, overwrite: bool) -> TarWriter:
         needs = [e for e in self.options.get("needs", "").split(",") if e]
-        return TarWriter(self.options["path"], int(self.options.get("per_shard", "1000")), needs)
+        return TarWriter(self.options["path"].removeprefix("file://"), int(self.options.get("per_shard", "1000")), needs)

@@ -7,6 +7,7 @@ import os
 import re
 import tarfile
 import unicodedata
+import urllib.error
 from collections import Counter
 
 import numpy as np
@@ -216,3 +217,45 @@ def test_word_tfidf_of_all_documents(spark, tmp_path):
     got = {(r["doc_id"], r["term"]): r["weight"] for r in workload.QUERIES["t01_word_tfidf_all"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and {t for _, t in want} >= {"cafe", "uber", "le soir"}
     assert all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
+def test_brace_ranges_and_missing_shards(spark, tmp_path):
+    assert readers.braces("a-{08..11}.tar") == ["a-08.tar", "a-09.tar", "a-10.tar", "a-11.tar"]
+    assert readers.braces("{0..1}/{0..1}") == ["0/0", "0/1", "1/0", "1/1"] and readers.braces("plain.tar") == ["plain.tar"]
+    for i in (0, 2):
+        with tarfile.open(tmp_path / f"s-{i:03d}.tar", "w") as tar:
+            info = tarfile.TarInfo(f"{i}.txt")
+            info.size = 1
+            tar.addfile(info, io.BytesIO(b"x"))
+    with pytest.warns(UserWarning, match="no shard"):
+        assert len(readers.TarReader(f"file://{tmp_path}/s-{{000..002}}.tar").partitions()) == 2
+
+
+def test_fetch_outcomes(spark, tmp_path):
+    """404 is asked once, everything else as often as allowed; the log of asked links shows it."""
+    log = str(tmp_path / "log")
+
+    def get(link):
+        with open(log, "a") as f:
+            f.write(f"{link}\n")
+        if link == "gone":
+            raise urllib.error.HTTPError(link, 404, "", None, None)
+        if link == "down":
+            raise urllib.error.HTTPError(link, 503, "", None, None)
+        if link == "late":
+            with open(log) as f:
+                if f.read().split().count("late") < 3:
+                    raise TimeoutError
+        return b"" if link == "void" else b"abc"
+
+    links = spark.createDataFrame([(x,) for x in ("gone", "down", "late", "void", "good", None)], "link string").coalesce(1)
+    got = {r["link"]: (r["ok"], r["detail"], r["content"] and bytes(r["content"])) for r in readers.fetch(links, get, wait=0).collect()}
+    assert got == {"gone": (False, "404", None), "down": (False, "HTTP 503", None), "late": (True, "ok", b"abc"), "void": (False, "empty", None), "good": (True, "ok", b"abc"), None: (False, "no link", None)}
+    assert Counter(open(log).read().split()) == {"gone": 1, "down": 3, "late": 3, "void": 3, "good": 1}
+    assert readers.fetch(links.limit(0), get).count() == 0
+
+
+def test_resolve_k():
+    assert (cluster.resolve_k(7, 9), cluster.resolve_k(None, 9), cluster.resolve_k(), cluster.resolve_k(None, None, 3)) == (7, 9, 500, 3)
+    with pytest.raises(ValueError):
+        cluster.resolve_k(0)
