@@ -22,7 +22,7 @@ from .common import map_batches, written
 #: Rows the top tree is fitted on, at most; every row is dealt by it, and the results don't depend on it.
 SAMPLE = 16_384
 #: Rows of a leaf of a block's tree, and anchors that walk a block's tree in one batch.
-LEAF, WALKERS = 96, 512
+LEAF, WALKERS = 512, 512
 #: Squared norms up to here keep every sum exact in a double; rows beyond take no part.
 MOST_NORM = 2**52
 ROW = "key binary, label long, vec binary, ids array<long>"
@@ -114,7 +114,7 @@ class Tree:
     """A vantage-point tree over points: vantage is the point farthest from the middle; halves by rank of the distance to it, so equal
     points are split too. Each child has the least and greatest distance of its points to the vantage."""
 
-    def __init__(self, space: Space, points: np.ndarray, leaf: int = LEAF):
+    def __init__(self, space: Space, points: np.ndarray, leaf: int):
         self.order = np.arange(len(points))
         self.nodes: list[tuple] = []  # (vantage, (lo, hi, child), (lo, hi, child)) or (start, end)
         self.vantages: list[np.ndarray] = []
@@ -146,7 +146,7 @@ class Block:
     def __init__(self, space: Space, labels: list[int], vectors: list[bytes], ids: list[list[int]]):
         self.space = space
         points = space.points(vectors)
-        self.tree = Tree(space, points)
+        self.tree = Tree(space, points, LEAF)
         order = self.tree.order
         self.rows = points[order, :-1].copy()
         self.labels = np.array(labels, dtype=np.int64)[order]
@@ -180,12 +180,16 @@ class Block:
             if at not in seen:
                 own = self.labels[start:end]
                 rows = np.flatnonzero(own == label if same else own != label)
-                seen[at] = rows + start, self.rows[start:end][rows] @ x
-            rows, scores = seen[at]
-            good = np.flatnonzero((scores >= max(lo, floor)) & (scores <= hi))
-            if not len(good):
+                less = -(self.rows[start:end] @ x)[rows]
+                order = np.argsort(less)
+                seen[at] = rows[order] + start, less[order]
+            rows, less = seen[at]
+            first, last = less.searchsorted(-hi), less.searchsorted(-max(lo, floor), "right")
+            if last - first > k:  # only the k best of a leaf, and their ties, can be wanted
+                last = less.searchsorted(less[first + k - 1], "right")
+            if first >= last:
                 continue
-            found += [(-int(scores[i]), one) for i in good for one in self.ids[rows[i]]]
+            found += [(int(less[i]), one) for i in range(first, last) for one in self.ids[rows[i]]]
             found = sorted(found)[:k]
             if len(found) == k:
                 outer = min(outer, radius(-found[-1][0], by) + slack)

@@ -191,12 +191,13 @@ def test_negatives_by_hand(spark, block_rows):
     assert {tuple(r) for r in got} == mined(rows) and len(got) == len(mined(rows))
 
 
-def test_walk_is_exact_and_leaves_parts_out():
+def test_walk_is_exact_and_leaves_parts_out(monkeypatch):
     rnd = np.random.default_rng(1)
     x = rnd.normal(size=(3000, 3))
     x = np.floor(1000 * x / np.linalg.norm(x, axis=1)[:, None]).astype("<i4")
     labels, packed = [int(v) for v in rnd.integers(0, 4, 3000)], [v.tobytes() for v in x]
     space = negatives.Space(3, int((x.astype(int) ** 2).sum(axis=1).max()))
+    monkeypatch.setattr(negatives, "LEAF", 96)
     block = negatives.Block(space, labels, packed, [[i] for i in range(3000)])
     starts = [n for n in block.tree.nodes if len(n) == 2]
     assert sorted(i for s, e in starts for i in range(s, e)) == list(range(3000))
