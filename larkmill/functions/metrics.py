@@ -47,7 +47,7 @@ def huber_hessian(r: Column, delta: Column) -> Column:
     return 1 / F.pow(1 + F.pow(r / delta, 2), 1.5)
 
 
-def iqr_delta(y: Column, scale: float = 1.0, least: float = 1e-6) -> Column:
-    """Robust width: inter-quartile range over 1.349, times scale, at least `least`."""
-    q = F.percentile(y, F.array(F.lit(0.25), F.lit(0.75)))
-    return F.greatest(F.lit(least), F.greatest(F.lit(1e-6), q[1] - q[0]) / 1.349 * scale)
+def iqr_delta(quartiles: list[float], scale: float = 1.0, least: float = 1e-6) -> float:
+    """Robust width from the first and third quartile: their distance over 1.349, times scale, at least `least`."""
+    low, high = quartiles
+    return max(least, max(1e-6, high - low) / 1.349 * scale)

@@ -1,27 +1,43 @@
-"""Fuzzy brand resolution against a gazetteer.
+"""Fuzzy brand resolution against a gazetteer, through an inverted index of character pairs.
 
-The gazetteer's own exact names are tried first; every other distinct candidate is compared with every name (by edits: with those whose
-length allows the match), so an error in any place is found. Similarities follow the public definitions of the indel ratio, the
-token-set ratio and the weighted ratio."""
+White space is squeezed first, as in gazetteer keys. Exact names (case aside) are tried first; every other distinct candidate meets the names that
+share enough of its rarest pairs, or of theirs. The counts asked for are such that no pair within the thresholds is missed (see `Bound`), so
+the answer is that of comparing all with all. Similarities follow the public definitions of the indel ratio, the token-set ratio and the
+weighted ratio."""
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rare pairs that two texts must share, where they have as many to spare.
+SHARED = 3
+#: Length up to which single letters are looked up too: a text of one letter is part of longer ones.
+SHORT = 8
+
+
+def common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a word of bits at a time."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        met = row & places.get(c, 0)
+        row = ((row + met) | (row - met)) & full
+    return len(a) - row.bit_count()
+
 
 def indel_ratio(a: str, b: str) -> float:
     """200 times the longest common subsequence over both lengths."""
     if not a and not b:
         return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+    return 200.0 * common(a, b) / (len(a) + len(b))
 
 
 def token_set_ratio(a: str, b: str) -> float:
@@ -77,7 +93,62 @@ def weighted_ratio(a: str, b: str) -> float:
 @F.pandas_udf(T.StructType([T.StructField("whole", T.DoubleType()), T.StructField("words", T.DoubleType())]))
 def similarities(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     pairs = list(zip(a, b, strict=True))
-    return pd.DataFrame({"whole": [weighted_ratio(x, y) for x, y in pairs], "words": [token_set_ratio(x, y) for x, y in pairs]})
+    return pd.DataFrame({"whole": [enough(x, y) for x, y in pairs], "words": [token_set_ratio(x, y) for x, y in pairs]})
+
+
+def enough(a: str, b: str, least: float = 90) -> float:
+    """The weighted ratio where it reaches `least` (85.6 at the lowest), else something below. Where one text is half as long again, only the partial ratio of
+    a text that is part of the other gets there."""
+    if a and b and max(len(a), len(b)) / min(len(a), len(b)) >= 1.5 and least > 85.5:
+        return 90.0 if (a in b or b in a) and max(len(a), len(b)) <= 8 * min(len(a), len(b)) else 0.0
+    return weighted_ratio(a, b)
+
+
+class Bound:
+    """What two texts within the thresholds must share.
+
+    A text's features are the pairs of neighbouring letters, blanks at its ends and between words included, numbered where they repeat: as many
+    as it has letters, and one. A letter taken out changes two pairs at most, one put in one pair of the old text. A ratio of 90 allows 1.1 x
+    out + 0.9 x in <= 0.2 x length, so at most 4/11 of the length in changed pairs; a text that is part of another loses two at its ends; words
+    that a token-set ratio leaves out are shorter than that. So of its rarest `lost + n` features it shares n at least. Words in another order
+    have the same pairs. For token sets the words count once, which is a second set of features where words repeat."""
+
+    @staticmethod
+    def features(text: str) -> tuple[list[str], list[str], int, int, bool]:
+        """(features of the distinct words, of all words, how many of each may be lost, whether words repeat)."""
+        words = text.split()
+        once = sorted(set(words))
+        letters = [f"1{c}" for c in sorted(set(text))] if len(text) <= SHORT else []
+        sets, alls = ([*_pairs(own), *letters] for own in (once, words))
+        return sets, alls, Bound.lost(len(" ".join(once))), Bound.lost(len(text)), len(once) < len(words)
+
+    @staticmethod
+    def lost(length: int) -> int:
+        return max(2, 4 * length // 11)
+
+
+def _pairs(words: list[str]) -> list[str]:
+    seen: Counter = Counter()
+    out = []
+    for word in words:
+        padded = f" {word} "
+        for i in range(len(padded) - 1):
+            pair = padded[i : i + 2]
+            out.append(f"2{pair}{seen[pair] or ''}")
+            seen[pair] += 1
+    return out
+
+
+FEATURES = T.StructType([T.StructField("sets", T.ArrayType(T.StringType())), T.StructField("alls", T.ArrayType(T.StringType())), T.StructField("lost_sets", T.IntegerType()), T.StructField("lost_alls", T.IntegerType()), T.StructField("repeats", T.BooleanType())])
+
+
+@F.pandas_udf(FEATURES)
+def _features(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([Bound.features(x) for x in texts], columns=FEATURES.names)
+
+
+def squeezed(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
 
 
 def gazetteer(brands: DataFrame, column: str, least: int = 2, short: int = 12) -> DataFrame:
@@ -86,20 +157,58 @@ def gazetteer(brands: DataFrame, column: str, least: int = 2, short: int = 12) -
     return n.where((F.col("n") >= least) | (F.length("name") <= short)).select("name")
 
 
+def _listed(texts: DataFrame, column: str) -> DataFrame:
+    """text, form, feature, lost, size, repeats: a row for each feature of each form. Letters of short texts don't count as theirs unless they are all they have."""
+    made = texts.select(F.col(column).alias("text"), _features(F.col(column)).alias("f"))
+    forms = F.array(F.struct(F.lit(0).alias("form"), F.col("f.sets").alias("own"), F.col("f.lost_sets").alias("lost")), F.struct(F.lit(1).alias("form"), F.col("f.alls").alias("own"), F.col("f.lost_alls").alias("lost")))
+    made = made.select("text", F.col("f.repeats").alias("repeats"), F.explode(forms).alias("x"))
+    return made.select("text", "repeats", F.col("x.form").alias("form"), F.col("x.lost").alias("lost"), F.explode("x.own").alias("feature"))
+
+
+def _rarest(listed: DataFrame, counts: DataFrame) -> DataFrame:
+    """The features that a text must share `need` of: its lost + need rarest ones. A single letter counts only for a text that has no more."""
+    known = listed.join(counts, ["form", "feature"], "left")
+    # a text's features are sorted in its own row: as many as it has letters
+    own = known.groupBy("text", "form", "repeats", "lost").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "feature"))).alias("e"))
+    own = own.withColumn("e", F.filter("e", lambda x: (F.char_length("text") == 1) | x["feature"].startswith("2")))
+    own = own.withColumn("need", F.greatest(F.lit(1), F.least(F.lit(SHARED), F.size("e") - F.col("lost"))))
+    return own.select("text", "form", "repeats", "need", F.explode(F.slice("e", 1, F.col("lost") + F.col("need"))["feature"]).alias("feature"))
+
+
+def candidates(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """q, low: pairs of distinct texts (asked has q, names has low) that may reach a weighted ratio of 90 or a token-set ratio of 92, none left out."""
+    a, b = _listed(asked, "q"), _listed(names, "low")
+    counts = b.groupBy("form", "feature").agg(F.count(F.lit(1)).alias("df"))
+
+    def met(some: DataFrame, whole: DataFrame, first: str, second: str) -> DataFrame:
+        left = _rarest(some, counts).select("form", "feature", "need", F.col("text").alias(first), F.col("repeats").alias("r1"))
+        right = whole.select("form", "feature", F.col("text").alias(second), F.col("repeats").alias("r2"))
+        # without repeated words on either side, both forms are one
+        both = left.join(right, ["form", "feature"]).where("form = 0 OR r1 OR r2")
+        return both.groupBy("form", first, second).agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).where("n >= need").select("q", "low")
+
+    return met(a, b, "q", "low").unionByName(met(b, a, "low", "q")).distinct()
+
+
 def resolve(df: DataFrame, key: str, candidate: str, names: DataFrame, whole: float = 90, words: float = 92) -> DataFrame:
-    """key, candidate, resolved: the exact name (case aside), else the best above `whole` by the weighted ratio, else above `words` by
-    the token-set ratio, else null. Ties go to the name that sorts first. Distinct candidates are compared once."""
-    low = names.select("name", F.lower("name").alias("low"))
-    own = df.where(F.col(candidate).isNotNull()).select(F.lower(candidate).alias("_q")).distinct()
+    """key, candidate, resolved: the exact name (case and white space aside), else the best from `whole` on by the weighted ratio, else from
+    `words` on by the token-set ratio, else null. Ties go to the name that sorts first. Distinct candidates are compared once. whole of 90
+    and words of 92 at least: below, the index would miss pairs. Null and blank candidates or names resolve nothing."""
+    if whole < 90 or words < 92:
+        raise ValueError("the index is lossless from 90 and 92 on")
+    low = names.select("name", squeezed(F.col("name")).alias("low")).where("low <> ''")
+    own = df.select(squeezed(F.col(candidate)).alias("_q")).where("_q <> ''").distinct()
     exact = own.join(low, F.col("_q") == F.col("low")).groupBy("_q").agg(F.min("name").alias("exact"))
-    pairs = own.join(exact, "_q", "left_anti").crossJoin(low.distinct())
-    near = pairs.withColumn("s", similarities("_q", "low"))
-    best = near.groupBy("_q").agg(
+    asked = own.join(exact, "_q", "left_anti").select(F.col("_q").alias("q"))
+    firsts = low.groupBy("low").agg(F.min("name").alias("name"))
+    near = candidates(asked, firsts.select("low")).withColumn("s", similarities("q", "low")).where((F.col("s.whole") >= whole) | (F.col("s.words") >= words))
+    near = near.join(firsts, "low")
+    best = near.groupBy("q").agg(
         F.min_by("name", F.struct((-F.col("s.whole")).alias("d"), F.col("name"))).alias("by_whole"), F.max("s.whole").alias("top_whole"),
-        F.min_by("name", F.struct((-F.col("s.words")).alias("d"), F.col("name"))).alias("by_words"), F.max("s.words").alias("top_words"))
-    fuzzy = best.select("_q", F.when(F.col("top_whole") >= whole, F.col("by_whole")).when(F.col("top_words") >= words, F.col("by_words")).alias("fuzzy"))
+        F.min_by("name", F.struct((-F.col("s.words")).alias("d"), F.col("name"))).alias("by_words"))
+    fuzzy = best.select(F.col("q").alias("_q"), F.when(F.col("top_whole") >= whole, F.col("by_whole")).otherwise(F.col("by_words")).alias("fuzzy"))
     found = exact.join(fuzzy, "_q", "full").select("_q", F.coalesce("exact", "fuzzy").alias("resolved"))
-    return df.select(key, candidate).join(found, F.lower(candidate) == F.col("_q"), "left").select(key, candidate, "resolved")
+    return df.select(key, candidate).join(found, squeezed(F.col(candidate)) == F.col("_q"), "left").select(key, candidate, "resolved")
 
 
 def by_edits(df: DataFrame, key: str, candidate: str, names: DataFrame, most: int = 2) -> DataFrame:

@@ -8,14 +8,12 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkmill.functions.metrics import huber_gradient, huber_hessian, iqr_delta, smape_epsilon
-from larkmill.sources import scratch
+from .boosting import HistogramBooster
 
 
 class Scorer(Protocol):
@@ -93,54 +91,7 @@ def confident(current: Column, learned: Column, confidence: Column, fallback: st
     return F.when((current == fallback) & (confidence >= 0.50), learned).when((current != learned) & (confidence >= 0.72), learned).otherwise(current)
 
 
-# boosting
-
-
-def monotone_signs(features: list[str], rising: tuple[str, ...] = ("mass", "volume", "pack_count", "mass_g", "volume_ml")) -> list[int]:
-    return [int(c in rising) for c in features]
-
-
-class Booster:
-    """Newton boosting under the pseudo-Huber loss: each tree fits -g/h with weight h, so a leaf holds the Newton step."""
-
-    def __init__(self, features: list[str], rate: float = 0.1, rounds: int = 20, depth: int = 4, patience: int = 5):
-        self.features, self.rate, self.rounds, self.depth, self.patience = features, rate, rounds, depth, patience
-
-    def fit(self, df: DataFrame, target: str, held: DataFrame | None = None) -> "Booster":
-        scratch.root(df.sparkSession)  # checkpoints need a folder
-        self.start = float(df.agg(F.median(target)).first()[0])
-        self.delta = float(df.agg(iqr_delta(F.col(target))).first()[0])
-        pack = VectorAssembler(inputCols=self.features, outputCol="features", handleInvalid="keep")
-        now = pack.transform(df.select(*self.features, target)).withColumn("p", F.lit(self.start))
-        check = pack.transform(held.select(*self.features, target)).withColumn("p", F.lit(self.start)) if held is not None else None
-        self.trees, self.history, best = [], [], (float("inf"), 0)
-        for i in range(self.rounds):
-            r, d = F.col("p") - F.col(target), F.lit(self.delta)
-            step = now.withColumn("h", huber_hessian(r, d)).withColumn("step", -huber_gradient(r, d) / F.col("h"))
-            tree = DecisionTreeRegressor(labelCol="step", weightCol="h", maxDepth=self.depth, seed=i, predictionCol="leaf").fit(step)
-            self.trees.append(tree)
-            add = lambda f, t=tree: t.transform(f).withColumn("p", F.col("p") + F.lit(self.rate) * F.col("leaf")).drop("leaf")
-            now = add(now)
-            if (i + 1) % 5 == 0:
-                now = now.checkpoint()  # cuts the lineage; written to the shared folder
-            if check is not None:
-                check = add(check)
-                if (i + 1) % 5 == 0:
-                    check = check.checkpoint()
-            of = check if check is not None else now
-            self.history.append(float(of.agg(smape_epsilon(F.col(target), F.greatest(F.col("p"), F.lit(0.0)))).first()[0]))
-            if self.history[-1] < best[0]:
-                best = (self.history[-1], i + 1)
-            elif i + 1 - best[1] >= self.patience:
-                break
-        self.trees = self.trees[: best[1]]
-        return self
-
-    def transform(self, df: DataFrame, out: str = "prediction", floor: float = 0.0) -> DataFrame:
-        made = VectorAssembler(inputCols=self.features, outputCol="features", handleInvalid="keep").transform(df).withColumn(out, F.lit(self.start))
-        for t in self.trees:
-            made = t.transform(made).withColumn(out, F.col(out) + F.lit(self.rate) * F.col("leaf")).drop("leaf")
-        return made.withColumn(out, F.greatest(F.col(out), F.lit(floor))).drop("features")
+# folds and stacks
 
 
 def out_of_fold(df: DataFrame, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], folds: int) -> DataFrame:
@@ -152,10 +103,9 @@ def out_of_fold(df: DataFrame, fit: Callable[[DataFrame], Callable[[DataFrame],
     return out
 
 
-def fit_stack(df: DataFrame, features: list[str], target: str, rounds: int = 20):
-    """Boosted trees over base predictions, stopped early on rows marked `held`."""
-    rows = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(df)
-    return GBTRegressor(labelCol=target, maxIter=rounds, maxDepth=3, seed=42, validationIndicatorCol="held", lossType="squared").fit(rows)
+def fit_stack(df: DataFrame, features: list[str], target: str, held: DataFrame, rounds: int = 500, patience: int = 50, **settings) -> HistogramBooster:
+    """Boosted trees over base predictions under the squared loss, stopped after `patience` rounds without a lower mean absolute error of the held rows."""
+    return HistogramBooster(features, "squared", "mae", rounds=rounds, patience=patience, **settings).fit(df, target, held)
 
 
 def blended(columns: list[str], floor: float = 0.01) -> Column:

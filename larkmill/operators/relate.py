@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .quantiles import medians
+
 
 def join_left(base: DataFrame, other: DataFrame, key: str) -> DataFrame:
     """base with other's new columns; columns that both have stay base's."""
@@ -40,17 +42,17 @@ def in_all(frames: list[DataFrame], key: str) -> DataFrame:
 
 
 def with_median(df: DataFrame, columns: list[str], source: DataFrame | None = None) -> DataFrame:
-    """Nulls filled with the exact median of the same column of `source` (df itself otherwise). One row of statistics is broadcast."""
-    stats = (source if source is not None else df).agg(*[F.median(c).alias(f"_med_{c}") for c in columns])
-    out = df.crossJoin(F.broadcast(stats))  # one row
-    return out.withColumns({c: F.coalesce(F.col(c), F.col(f"_med_{c}")) for c in columns}).drop(*[f"_med_{c}" for c in columns])
+    """Nulls filled with the exact median of the same column of `source` (df itself otherwise); a column without values stays null. The medians
+    are found by refining ranges when this is called, so that no task has all values."""
+    found = medians(source if source is not None else df, columns)
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(found[c]).cast("double")) for c in columns})
 
 
 def complete_predictions(wanted: DataFrame, predicted: DataFrame, train: DataFrame, key: str, value: str) -> DataFrame:
     """Every wanted key once: predicted, or the training median."""
     lost = wanted.select(key).join(predicted.select(key), key, "left_anti")
-    fill = train.agg(F.median(value).alias(value))
-    return predicted.select(key, value).unionByName(lost.crossJoin(F.broadcast(fill)).select(key, value))
+    fill = F.lit(medians(train, [value])[value]).cast("double").alias(value)
+    return predicted.select(key, value).unionByName(lost.select(key, fill))
 
 
 def keep_last(df: DataFrame, key: str, order: list[Column]) -> DataFrame:

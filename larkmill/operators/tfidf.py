@@ -1,4 +1,4 @@
-"""TF-IDF in relational form: term rows, never a driver-side matrix; and truncated singular vectors."""
+"""TF-IDF in relational form: term rows, never a driver-side matrix."""
 
 from __future__ import annotations
 
@@ -53,20 +53,3 @@ def transform(tf: DataFrame, vocabulary: DataFrame, key: str, sublinear: bool =
     rows = tf.join(vocabulary, "term").select(key, "term", (weight * F.col("idf")).alias("w"))
     norm = rows.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
     return rows.join(norm, key).select(key, "term", (F.col("w") / F.col("_n")).alias("weight"))
-
-
-def singular_vectors(df: DataFrame, vector: str, k: int = 20):
-    """(singular values, right vectors as a local matrix) of uncentred rows; k is small and the matrix k by the vector's size."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    rows = df.select(F.col(vector).cast("array<double>").alias("v")).rdd.map(lambda r: Vectors.dense(r["v"]))
-    svd = RowMatrix(rows).computeSVD(k, computeU=False)
-    return svd.s.toArray(), svd.V.toArray()
-
-
-def projected(df: DataFrame, vector: str, basis, out: str) -> DataFrame:
-    """vector times basis, as an array column."""
-    cols = [F.array(*[F.lit(float(x)) for x in basis[:, j]]) for j in range(basis.shape[1])]
-    product = lambda b: F.aggregate(F.zip_with(F.col(vector), b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    return df.withColumn(out, F.array(*[product(c) for c in cols]))

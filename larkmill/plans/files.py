@@ -7,8 +7,10 @@ import urllib.error
 from pyspark.sql import functions as F
 
 from larkmill.functions import chat, text
+from larkmill.operators import positions
 from larkmill.sources import readers, sinks
 from larkmill.sources.tarshards import TarShards
+from larkmill.streaming import shuffle
 
 from .registry import CATALOG_SQL, catalog, query, scratch, table
 
@@ -96,3 +98,33 @@ def q05(s, d):
     image = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("images/"), F.col("p_partkey").cast("string"), F.lit(".jpg")))
     made = table(s, d, "part").select("p_partkey", chat.messages(F.col("p_name"), image, F.col("p_retailprice"), True).alias("chat"))
     return made.select("p_partkey", F.size(chat.images(F.col("chat"))).alias("n_images"))
+
+
+@query("s11_split_archive", "SELECT doc_id, length(text)::INT AS n_chars FROM documents")
+def s11_split(s, d):
+    """All documents as one archive, read back by a task for each 64 kB of it."""
+    path = scratch(s, "large-tar")
+    s.dataSource.register(TarShards)
+    docs = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("key"), F.create_map(F.lit("txt"), F.coalesce("text", F.lit("")).cast("binary")).alias("parts"))
+    docs.coalesce(1).write.format("tarshards").option("path", path).option("per_shard", "1000000").mode("append").save()
+    back = s.read.format("tarshards").option("path", f"{path}/*.tar").option("split_bytes", str(64 << 10)).load()
+    return back.select(F.col("key").cast("long").alias("doc_id"), F.char_length(F.col("parts")["txt"].cast("string")).alias("n_chars"))
+
+
+@query("x05_shuffle_buffer", "SELECT event_id, false AS early FROM events")
+def x05(s, d):
+    """Events through a buffer of 1,000, each part of the table a shard; `early`: a row that came out sooner than the buffer allows."""
+    rows = table(s, d, "events").select("event_id", F.monotonically_increasing_id().alias("arrived"))
+    out = shuffle.shuffled(rows).withColumn("left", F.monotonically_increasing_id())  # both count within a partition
+    return out.select("event_id", (F.col("left") - F.col("arrived") < -999).alias("early"))
+
+
+@query("j16_positional_zip", "SELECT (row_number() OVER (ORDER BY vec_id) - 1)::BIGINT AS position, vec_id, embedding[1]::DOUBLE AS first_value FROM embeddings")
+def j16(s, d):
+    """Ids and vectors as two sources without a common key, cut into files at different places, side by side again."""
+    e = table(s, d, "embeddings")
+    ids, rows = scratch(s, "ids"), scratch(s, "vectors")
+    e.repartitionByRange(3, "vec_id").sortWithinPartitions("vec_id").select("vec_id").write.parquet(ids)
+    e.repartitionByRange(5, "vec_id").sortWithinPartitions("vec_id").select("embedding").write.parquet(rows)
+    both = positions.zipped(s, ids, rows, ["vec_id"], ["embedding"])
+    return both.select("position", "vec_id", F.col("embedding")[0].cast("double").alias("first_value"))

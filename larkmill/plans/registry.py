@@ -11,7 +11,7 @@ from larkmill.sources.scratch import path as scratch
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-__all__ = ["CATALOG_SQL", "ORACLES", "QUERIES", "catalog", "query", "scratch", "table"]
+__all__ = ["CATALOG_SQL", "ORACLES", "QUERIES", "catalog", "query", "scratch", "table", "written"]
 
 #: Runs unchanged in Spark and in DuckDB.
 CATALOG = """concat('Item Name: ', p_type, ' ', upper(substr(p_name,1,1)), substr(p_name,2), ', ',
@@ -41,3 +41,10 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def catalog(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").selectExpr("*", f"{CATALOG} AS text")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, where several passes read it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

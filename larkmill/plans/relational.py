@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkmill.operators import relate, splits
+from larkmill.operators import quantiles, relate, splits
 from larkmill.sources import readers, sinks
 
 from .registry import query, scratch, table
@@ -321,13 +321,15 @@ def a03(s, d):
 @query("a04_mean_median", "SELECT round(avg(p_retailprice), 6) AS mean, median(p_retailprice) AS median, min(p_retailprice) AS low, max(p_retailprice) AS high FROM part")
 def a04(s, d):
     c = F.col("p_retailprice")
-    return table(s, d, "part").agg(F.round(F.avg(c), 6).alias("mean"), F.median(c).alias("median"), F.min(c).alias("low"), F.max(c).alias("high"))
+    p = table(s, d, "part").select(c)
+    middle = quantiles.medians(p, ["p_retailprice"])["p_retailprice"]
+    return p.agg(F.round(F.avg(c), 6).alias("mean"), F.lit(middle).alias("median"), F.min(c).alias("low"), F.max(c).alias("high"))
 
 
 @query("a05_percentiles", "SELECT round(quantile_cont(p_retailprice, 0.25), 6) AS q25, round(quantile_cont(p_retailprice, 0.75), 6) AS q75 FROM part")
 def a05(s, d):
-    q = table(s, d, "part").agg(F.percentile("p_retailprice", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    return q.select(F.round(F.col("q")[0], 6).alias("q25"), F.round(F.col("q")[1], 6).alias("q75"))
+    low, high = quantiles.quantiles(table(s, d, "part"), ["p_retailprice"], [0.25, 0.75])["p_retailprice"]
+    return s.range(1).select(F.round(F.lit(low), 6).alias("q25"), F.round(F.lit(high), 6).alias("q75"))
 
 
 @query("a06_frequencies", "SELECT lower(trim(p_brand)) AS brand, count(*) AS n FROM part GROUP BY 1")

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import fnmatch
 import io
+import json
 import re
 import tarfile
 import time
 import urllib.error
 import warnings
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -180,45 +185,110 @@ def braces(pattern: str) -> list[str]:
     return [p for i in range(int(first), int(last) + 1) for p in braces(f"{pattern[: found.start()]}{i:0{len(first)}d}{pattern[found.end() :]}")]
 
 
+@dataclass
+class Stretch(InputPartition):
+    """Samples of an archive that begin from byte `start` on and before `end`."""
+
+    path: str
+    start: int
+    end: int
+
+
+def opened(path: str) -> tuple[pafs.FileSystem, str]:
+    """A file system and the path in it: local paths and every address that pyarrow knows (hdfs, s3, gs and so on), no mounting needed."""
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+
+
+def _matching(store: pafs.FileSystem, pattern: str, seen: dict[str, list[str]]) -> list[str]:
+    """Files by a pattern in the last part of their name, sorted. seen keeps the names of folders that were listed."""
+    folder, _, name = pattern.rpartition("/")
+    if not re.search(r"[*?\[]", name):
+        return [pattern] if store.get_file_info(pattern).type == pafs.FileType.File else []
+    if folder not in seen:
+        seen[folder] = sorted(f.path for f in store.get_file_info(pafs.FileSelector(folder or "/", allow_not_found=True)) if f.type == pafs.FileType.File)
+    return [p for p in seen[folder] if fnmatch.fnmatchcase(p.rpartition("/")[2], name)]
+
+
+def sample_starts(file) -> list[int]:
+    """Places in an open archive at which a sample's first member begins. Only headers are read. A broken archive gives what comes before."""
+    starts, last = [], None
+    try:
+        with tarfile.open(fileobj=file, mode="r:") as tar:
+            for m in tar:
+                own = m.name.partition(".")[0]
+                if own != last:
+                    starts.append(m.offset)
+                last = own
+                tar.members = []  # or it keeps every header
+    except (tarfile.TarError, EOFError):
+        pass
+    return starts
+
+
 class TarReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, split_bytes: int = 64 << 20):
+        self.path, self.split_bytes = path, split_bytes
 
     def partitions(self) -> list[InputPartition]:
-        """One for each archive. Names in a brace range that aren't there are warned about and left out."""
-        import glob
-
-        shards = []
-        for pattern in braces(self.path.removeprefix("file://")):
-            found = sorted(glob.glob(pattern))
+        """One for each archive, or for each stretch of split_bytes of a larger one, which begins and ends between samples: by the index beside
+        it (name.idx, which the writer leaves), else by its headers. Names in a brace range that aren't there are warned about and left out."""
+        out, seen = [], {}
+        for pattern in braces(self.path):
+            store, own = opened(pattern)
+            found = _matching(store, own, seen)
             if not found:
                 warnings.warn(f"no shard {pattern}", stacklevel=2)
-            shards += found
-        return [InputPartition(p) for p in shards]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+            base = pattern[: len(pattern) - len(own)]
+            for path in found:
+                size = store.get_file_info(path).size
+                cuts = [0, *self._cuts(store, path), size] if size > self.split_bytes else [0, size]
+                out += [Stretch(base + path, a, b) for a, b in pairwise(cuts)]
+        return out
+
+    def _cuts(self, store: pafs.FileSystem, path: str) -> list[int]:
+        if store.get_file_info(f"{path}.idx").type == pafs.FileType.File:
+            with store.open_input_stream(f"{path}.idx") as f:
+                starts = json.loads(f.read())
+        else:
+            with store.open_input_file(path) as f:
+                starts = sample_starts(f)
+        cuts, last = [], 0
+        for at in starts:
+            if at - last >= self.split_bytes:
+                cuts.append(at)
+                last = at
+        return cuts
+
+    def read(self, partition: Stretch) -> Iterator[tuple]:
         """Members of a sample lie together; a broken archive ends its shard, not the job."""
         key, parts = None, {}
+        store, path = opened(partition.path)
+        name = partition.path.removeprefix("file://")
         try:
-            with tarfile.open(partition.value) as tar:
-                for m in tar:
-                    own, _, ending = m.name.partition(".")
-                    if key is not None and own != key:
-                        yield partition.value, key, parts
-                        parts = {}
-                    key = own
-                    f = tar.extractfile(m)
-                    parts[ending] = f.read() if f else b""
+            with store.open_input_file(path) as file:
+                file.seek(partition.start)
+                with tarfile.open(fileobj=file, mode="r:") as tar:
+                    for m in tar:
+                        if m.offset >= partition.end:
+                            break
+                        own, _, ending = m.name.partition(".")
+                        if key is not None and own != key:
+                            yield name, key, parts
+                            parts = {}
+                        key = own
+                        f = tar.extractfile(m)
+                        parts[ending] = f.read() if f else b""
+                        tar.members = []
         except (tarfile.TarError, EOFError) as e:
-            warnings.warn(f"shard {partition.value} is broken: {e}", stacklevel=2)
+            warnings.warn(f"shard {partition.path} is broken: {e}", stacklevel=2)
             return
         if key is not None:
-            yield partition.value, key, parts
+            yield name, key, parts
 
 
 class TarSource(DataSource):
-    """spark.dataSource.register(TarSource); format("tarshards"): shard, key, parts (ending to content) of sample archives on a file
-    system that every executor sees."""
+    """spark.dataSource.register(TarSource); format("tarshards"): shard, key, parts (ending to content) of sample archives, which tasks open through
+    pyarrow's file systems. Option split_bytes (64 MB): larger archives are read by several tasks."""
 
     @classmethod
     def name(cls) -> str:
@@ -228,4 +298,4 @@ class TarSource(DataSource):
         return "shard string, key string, parts map<string, binary>"
 
     def reader(self, schema: T.StructType) -> TarReader:
-        return TarReader(self.options["path"])
+        return TarReader(self.options["path"], int(self.options.get("split_bytes", 64 << 20)))

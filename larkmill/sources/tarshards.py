@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import os
 import tarfile
 import uuid
@@ -33,18 +34,19 @@ class TarWriter(DataSourceWriter):
         from pyspark import TaskContext
 
         os.makedirs(self.path, exist_ok=True)
-        part, files, tar, n, samples, skipped = TaskContext.get().partitionId(), [], None, 0, 0, 0
+        part, files, tar, n, samples, skipped, starts = TaskContext.get().partitionId(), [], None, 0, 0, 0, []
         for row in rows:
             if any(e not in row["parts"] for e in self.needs):
                 skipped += 1
                 continue
             if tar is None or n >= self.per_shard:
                 if tar is not None:
-                    tar.close()
+                    self._close(tar, files[-1], starts)
                 name = f"shard-{part:06d}-{len(files):06d}.tar"
                 temp = f"{self.path}/.{name}.{uuid.uuid4().hex}"
                 files.append((temp, f"{self.path}/{name}"))
-                tar, n = tarfile.open(temp, "w"), 0
+                tar, n, starts = tarfile.open(temp, "w"), 0, []
+            starts.append(tar.offset)
             for ending, content in sorted(row["parts"].items()):
                 info = tarfile.TarInfo(f"{row['key']}.{ending}")
                 info.size = len(content)
@@ -52,19 +54,27 @@ class TarWriter(DataSourceWriter):
             n += 1
             samples += 1
         if tar is not None:
-            tar.close()
+            self._close(tar, files[-1], starts)
         return Written(files, samples, skipped)
 
+    def _close(self, tar: tarfile.TarFile, names: tuple[str, str], starts: list[int]) -> None:
+        """Ends an archive and leaves its index, the places where samples begin, beside it."""
+        tar.close()
+        with open(f"{names[0]}.idx", "w") as f:
+            json.dump(starts, f)
+
     def commit(self, messages: list[Written | None]) -> None:
         for m in messages:
             for temp, name in m.files if m else []:
+                os.replace(f"{temp}.idx", f"{name}.idx")
                 os.replace(temp, name)
 
     def abort(self, messages: list[Written | None]) -> None:
         for m in messages:
             for temp, _ in m.files if m else []:
-                if os.path.exists(temp):
-                    os.remove(temp)
+                for path in (temp, f"{temp}.idx"):
+                    if os.path.exists(path):
+                        os.remove(path)
 
 
 class TarShards(TarSource, DataSource):
