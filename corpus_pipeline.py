@@ -13,26 +13,40 @@ from larkmill.llm import decontaminate, line_dedup, packing, similar, toxicity
 from larkmill.llm.common import written
 
 
+def _beside(docs: DataFrame, taken: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """(docs with the columns that an operator would replace under other names, those names back to the callers')."""
+    free = {c: f"_caller_{i}_{c}" for i, c in enumerate(docs.columns) if c in taken}
+    return docs.select(*[F.col(f"`{c}`").alias(free.get(c, c)) for c in docs.columns]), {v: k for k, v in free.items()}
+
+
 def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity machine rejects (score 0.5 or more) go. It learns from labels outside the held-out fifth. Null and empty
-    texts get the score of no words, repeated rows are treated alike, and an empty table stays empty."""
+    texts get the score of no words, repeated rows are treated alike, and an empty table stays empty. The caller's columns stay as they
+    are, also where they are named like the operator's (score, predicted)."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    scored = toxicity.score_documents(docs, toxicity.train(docs, labels))
-    return written(scored.where(F.col("predicted") == 0).select(*docs.columns), "kept")  # in small batches
+    own, back = _beside(docs, ("score", "predicted"))
+    scored = toxicity.score_documents(own, toxicity.train(docs.select("doc_id", "text"), labels))
+    kept = scored.where(F.col("predicted") == 0).select(*[F.col(f"`{c}`").alias(back.get(c, c)) for c in own.columns])
+    return written(kept, "kept")  # in small batches
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 20 characters or more that three documents hold stay in the last of them only; n_chars follows the text. A null text
-    becomes an empty one; rows of one id count as one document; an empty table stays empty."""
-    out = line_dedup.line_dedup(docs, 20, 3)
-    return out.select(*[F.char_length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    becomes an empty one; rows of one id count as one document; an empty table stays empty. The caller's other columns stay as they are, also
+    where they are named like the operator's (n_lines, n_dropped)."""
+    own, back = _beside(docs, ("n_lines", "n_dropped", "_lm_th", "_lm_drop", "_lm_id", "_lm_gone"))
+    out = line_dedup.line_dedup(own, 20, 3)
+    size = F.char_length("text")
+    return out.select(*[size.cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`").alias(back.get(c, c)) for c in own.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (SimHash tiles, each link confirmed by an exact Jaccard similarity of 0.8 or more of distinct
     five-word shingles) one row stays, that with the least id (nulls last). Rows are judged, not ids; all null and wordless texts are
     copies of each other."""
-    return similar.one_of_each(docs)
+    own, back = _beside(docs, ("_lm_th", "_lm_gone", "_lm_id", "_lm_of"))
+    kept = similar.one_of_each(own)
+    return kept.select(*[F.col(f"`{c}`").alias(back.get(c, c)) for c in own.columns])
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
