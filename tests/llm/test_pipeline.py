@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from larkmill.llm import similar
@@ -24,6 +25,35 @@ def test_stages_on_planted_rows(spark, sf, tmp_path):
     assert lines.columns == docs.columns and lines.count() == rows.count()
 
 
+def test_stages_keep_the_callers_columns(spark, sf):
+    """Columns named like the operators' own, planted toxic and clean rows, an empty table."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    named = ("score", "predicted", "n_lines", "n_dropped", "_lm_id", "_p", "sequence_id", "fp", "component_id")
+    extra = docs.select("*", *[F.concat(F.lit(f"{c} of "), F.col("doc_id")).alias(c) for c in named])
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, extra, sf)
+        assert out.columns == extra.columns, name
+        kept = out.collect()
+        assert kept and all(r[c] == f"{c} of {r['doc_id']}" for r in kept for c in named), name
+        assert stage(spark, extra.limit(0), sf).count() == 0
+        if name == "toxicity":
+            ids = {r["doc_id"] for r in kept}
+            assert sum(i in ids for i, t in truth.items() if t == 1) <= 0.1 * sum(t == 1 for t in truth.values())
+            assert sum(i in ids for i, t in truth.items() if t == 0) >= 0.9 * sum(t == 0 for t in truth.values())
+
+
+def test_packing_stage_packs_all(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    rows = cp.packing_stage(spark, docs, sf).collect()
+    assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.collect()}
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert ends.get(r["sequence_id"], 0) == r["offset"]
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 2048
+
+
 def test_run(spark, sf):
     out = cp.run(spark, sf)
     assert [n for n, _ in cp.STAGES] == ["toxicity", "line_dedup", "near_duplicates", "decontamination", "packing"]
