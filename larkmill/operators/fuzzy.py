@@ -212,11 +212,26 @@ def resolve(df: DataFrame, key: str, candidate: str, names: DataFrame, whole: fl
 
 
 def by_edits(df: DataFrame, key: str, candidate: str, names: DataFrame, most: int = 2) -> DataFrame:
-    """The same with at most `most` edits, in built-in functions only: least edits, then the name that sorts first."""
-    sized = names.distinct().select("name", F.explode(F.sequence(F.greatest(F.lit(0), F.length(F.lower("name")) - most), F.length(F.lower("name")) + most)).alias("k"))
-    own = df.where(F.col(candidate).isNotNull()).select(F.lower(candidate).alias("_q")).distinct()
-    pairs = own.select("_q", F.length("_q").alias("k")).join(sized, "k").select("_q", "name")
-    near = pairs.withColumn("d", F.levenshtein("_q", F.lower("name"), most)).where(F.col("d") >= 0)
+    """The same with at most `most` edits, in built-in functions only: least edits, then the name that sorts first.
+
+    A name is cut into most + 1 pieces, of which one at least stands whole in a candidate within reach, at most `most` places away; names and
+    candidates meet by an equi-join on such pieces. Names shorter than that have empty pieces, which meet all candidates of about their length."""
+    pieces = most + 1
+    ends = lambda size, i: (F.floor(i * size / pieces), F.floor((i + 1) * size / pieces))
+
+    def piece(text: Column, start: Column, stop: Column) -> Column:
+        return F.substr(text, (start + 1).cast("int"), (stop - start).cast("int"))
+
+    own = names.where(F.col("name").isNotNull()).select("name", F.lower("name").alias("low")).distinct()
+    a, b = ends(F.char_length("low"), F.col("i"))
+    cut = own.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(most)))).select("name", "low", F.char_length("low").alias("size"), "i", piece(F.col("low"), a, b).alias("piece"))
+    asked = df.where(F.col(candidate).isNotNull()).select(F.lower(candidate).alias("_q")).distinct()
+    n = F.char_length("_q")
+    tried = asked.withColumn("size", F.explode(F.sequence(F.greatest(F.lit(0), n - most), n + most))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(most))))
+    tried = tried.withColumn("shift", F.explode(F.sequence(F.lit(-most), F.lit(most))))
+    a, b = ends(F.col("size"), F.col("i"))
+    tried = tried.where((a + F.col("shift") >= 0) & (b + F.col("shift") <= n)).select("_q", "size", "i", piece(F.col("_q"), a + F.col("shift"), b + F.col("shift")).alias("piece")).distinct()
+    pairs = tried.join(cut, ["size", "i", "piece"]).select("_q", "name", "low").distinct()
+    near = pairs.withColumn("d", F.levenshtein("_q", "low", most)).where(F.col("d") >= 0)
     best = near.groupBy("_q").agg(F.min_by("name", F.struct("d", "name")).alias("resolved"))
     return df.select(key, candidate).join(best, F.lower(candidate) == F.col("_q"), "left").select(key, candidate, "resolved")
-

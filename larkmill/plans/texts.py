@@ -491,3 +491,50 @@ def j14(s, d):
     p = table(s, d, "part")
     asked = p.select("p_partkey", F.concat(F.substring("p_brand", 1, 3), F.expr("substring(p_brand, 3)")).alias("q"))
     return fuzzy.resolve(asked, "p_partkey", "q", fuzzy.gazetteer(p, "p_brand"))
+
+
+# brand rules over whole tables
+
+NAMED_SQL = "concat('  ', upper(substr(p_name, 1, 1)), substr(p_name, 2), p_type, lower(p_brand), 'Mc', upper(substr(p_name, 1, 1)), substr(p_name, 2), CASE p_partkey % 3 WHEN 0 THEN ' mass_g: ' WHEN 1 THEN ' Category - ' ELSE ' of ' END, p_size)"
+
+
+@query("f04_brand_display_all", r"""WITH r AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(""" + NAMED_SQL + r""", '\s+', ' ', 'g'), '\s*(?:pack[_ ]?count|mass[_ ]?g|volume[_ ]?ml|keywords|category)\s*[:|-].*$', '', 'i')) AS x FROM part)
+SELECT p_partkey, trim(substr(regexp_replace(regexp_replace(x, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Za-z])([A-Z][a-z])', '\1 \2', 'g'), 1, 64)) AS brand FROM r""")
+def f04_all(s, d):
+    """Names, types and brands of all parts run together, two thirds with a field behind."""
+    return table(s, d, "part").selectExpr("p_partkey", f"{NAMED_SQL} AS raw").select("p_partkey", text.brand_display(F.col("raw")).alias("brand"))
+
+
+TAILS = "|".join(tables.BRAND_TAILS)
+
+
+@query("f07_trim_tail_all", f"""WITH t AS (SELECT [{_sql_list(tables.BRAND_TAILS)}] AS tails), r AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE lower(p_name) || ' ' END || tails[p_partkey % len(tails) + 1] || CASE WHEN p_partkey % 2 = 0 THEN ' ' || tails[p_size % len(tails) + 1] ELSE '' END AS x FROM part, t)
+SELECT p_partkey, CASE WHEN regexp_full_match(x, '(?:{TAILS})(?: (?:{TAILS}))*') THEN x ELSE regexp_replace(x, '(?: (?:{TAILS}))+$', '') END AS brand FROM r""")
+def f07_all(s, d):
+    """Every part's name before one or two of all the generic words, every seventh without a name."""
+    tails = F.array(*[F.lit(t) for t in tables.BRAND_TAILS])
+    n = len(tables.BRAND_TAILS)
+    at = lambda c: F.element_at(tails, (F.col(c) % n + 1).cast("int"))
+    name = F.when(F.col("p_partkey") % 7 == 0, F.lit("")).otherwise(F.concat(F.lower("p_name"), F.lit(" ")))
+    raw = F.concat(name, at("p_partkey"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" "), at("p_size"))).otherwise(F.lit("")))
+    return table(s, d, "part").select("p_partkey", text.trim_brand_tail(raw).alias("brand"))
+
+
+@query("f14_least_words_all", rf"""WITH r AS (SELECT doc_id, list_filter(string_split_regex(trim(text), '\s+'), lambda x: x <> '')[1:2] AS w FROM documents),
+k AS (SELECT doc_id, unnest([{_sql_list(tables.HONORIFICS)}, '']) AS h, w FROM r), s AS (SELECT doc_id, CASE WHEN h = '' THEN coalesce(w[1], '') ELSE h || '.' END AS a, CASE WHEN h = '' THEN coalesce(w[2], '') ELSE coalesce(w[1], '') END AS b FROM k)
+SELECT doc_id, a || ' ' || b AS words, (CASE WHEN list_contains([{_sql_list(tables.HONORIFICS)}], lower(regexp_replace(a, '[^A-Za-z]', '', 'g'))) OR regexp_matches(a, '[’'']s\b') OR list_contains([{_sql_list(tables.BRAND_SECONDS)}], lower(b)) THEN 2 ELSE 1 END)::INT AS least FROM s WHERE a <> ''""")
+def f14_all(s, d):
+    """The first words of every document, alone and after each title."""
+    docs = table(s, d, "documents")
+    first = docs.select("doc_id", extract.words(F.col("text")).alias("w"), F.explode(F.array(*[F.lit(h) for h in [*tables.HONORIFICS, ""]])).alias("h"))
+    word = lambda i: F.coalesce(F.try_element_at("w", F.lit(i)), F.lit(""))
+    a, b = F.when(F.col("h") == "", word(1)).otherwise(F.concat("h", F.lit("."))), F.when(F.col("h") == "", word(2)).otherwise(word(1))
+    made = first.select("doc_id", a.alias("a"), b.alias("b")).where("a <> ''").select("doc_id", F.concat("a", F.lit(" "), "b").alias("words"))
+    return made.select("doc_id", "words", extract.least_brand_words(extract.words(F.col("words"))).alias("least"))
+
+
+@query("f16_rule_brand_all")
+def f16_all(s, d):
+    """Rule brands of the whole catalog and of all documents; tested against a walk word by word."""
+    both = catalog(s, d).select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), "text").unionByName(table(s, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text"))
+    return both.select("kind", "id", extract.rule_brand(F.col("text")).alias("brand"))

@@ -305,6 +305,26 @@ def test_index_asks_few_names(spark):
     assert n[1] < 0.02 * 100 * len(made) and n[0] >= 100
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_pieces_lose_no_name_within_two_edits(spark):
+    rnd = random.Random(8)
+    names = sorted({"".join(rnd.choice("abC ") for _ in range(rnd.randint(0, 9))) for _ in range(120)} | {"international", "Intranational"})
+    asked = sorted({"".join(rnd.choice("abc ") for _ in range(rnd.randint(0, 10))) for _ in range(150)} | {"internatinal", "interxxnational", ""})
+    df = spark.createDataFrame(list(enumerate(asked)), "k long, q string")
+    got = {r["q"]: r["resolved"] for r in fuzzy.by_edits(df, "k", "q", spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    for q in asked:
+        d, name = min((edits(q, n.lower()), n) for n in names)
+        assert got[q] == (name if d <= 2 else None), q
+
+
 def test_bit_parallel_common_subsequence():
     rnd = random.Random(5)
     for _ in range(300):
@@ -421,6 +441,16 @@ def test_swap_leaves_a_whole_table(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(path).count() == 2 and not sinks.recovered(spark, f"{path}-other")
 
 
+def test_scratch_is_dropped(spark, tmp_path):
+    from larkmill.sources import scratch
+
+    here, other = scratch.path(spark, "some"), f"{scratch.root(spark).rstrip('/')}/others-{tmp_path.name}"
+    for p in (here, other):
+        spark.range(3).write.parquet(p)
+    assert scratch.drop(spark) >= 1 and not store.exists(spark, here) and store.exists(spark, other)
+    store.delete(spark, other)
+
+
 def test_registered_models(spark, sf):
     """Reports of fitted models: gains fall, a resumed fit predicts as the whole one."""
     gains = [r["gain"] for r in workload.QUERIES["k10_importance_report"](spark, sf).orderBy("place").collect()]
