@@ -208,6 +208,32 @@ def test_op3_notices_inside_prose(spark, docs):
     assert all(text[r["doc_id"]][r["at"] :].startswith(licenses.TEMPLATES[r["license"]]) for r in got)
 
 
+@pytest.mark.parametrize("text, want", [
+    ("Released under the MIT License", ["MIT-notice"]), ("Released under the MIT license, see LICENSE.", ["MIT-notice"]), ("Licensed under CC BY 4.0", ["CC-BY-4.0"]),
+    ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]), ("// SPDX-License-Identifier: MIT", ["SPDX:MIT"]), ("(Licensed under the GNU Lesser General Public License, version 2.1)", ["LGPL-2.1-notice"]),
+    ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0-notice"]), ("This work is licensed under the GNU General Public License, version 4.", []),
+    ("This work is not licensed under the GNU General Public License, version 3.", []), ("SPDX-License-Identifier: Nothing", []), ("license licence copyright", []),
+])
+def test_op3_wording(text, want):
+    assert [x[1] for x in licenses.Scanner(licenses.TEMPLATES).scan(text)] == want
+
+
+def test_op3_every_template_in_prose(docs):
+    """All templates, with and without a sign behind them, at any place of prose; long ones also with a word in ten changed."""
+    scanner, rng = licenses.Scanner(licenses.TEMPLATES), np.random.default_rng(4)
+    prose = [t.split() for _, t in docs if t and len(t.split()) > 150 and not scanner.hint.search(t)]
+    for name, template in licenses.TEMPLATES.items():
+        for k, end in enumerate(("", ".", ",", ".")):
+            words = prose[rng.integers(len(prose))]
+            at = int(rng.integers(0, 100))
+            own = template.rstrip(".:").split()
+            if k == 3:
+                for i in range(5, len(own) - 5, 10):
+                    own[i] = own[i] if any(c.isdigit() for c in own[i]) or scanner.hint.search(own[i]) else "changed"
+            got = scanner.scan(" ".join(words[:at]) + "\n" + " ".join(own) + end + " " + " ".join(words[at : at + 200]))
+            assert [x[1] for x in got] == [name] and (k == 3 or got[0][3] == 0), (name, end, got)
+
+
 # op4
 
 
