@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from larkmill.functions.metrics import iqr_delta
 from larkmill.sources import scratch, store
 
-from .quantiles import quantiles
+from .quantiles import quantiles, values_at
 from .sums import added, packed
 
 #: Steps of the fixed-point sums: 2^26 leaves room for 10^11 rows in 64 bits.
@@ -91,12 +91,11 @@ class Binner:
 
     @staticmethod
     def fit(df: DataFrame, features: list[str], categorical: list[str], bins: int, most_categories: int = 200) -> "Binner":
-        """Cuts at quantiles (approximate, of a fixed accuracy; a change of cuts is a change of resolution only); a category list keeps the
-        commonest `most_categories` values, ties by name, so the model stays small."""
+        """Cuts at exact quantiles, the same for the same rows in any order (a fit is taken up only where its cuts are the snapshot's); a category
+        list keeps the commonest `most_categories` values, ties by name, so the model stays small."""
         numbers = [c for c in features if c not in categorical]
-        asked = [F.percentile_approx(F.col(c).cast("double"), [i / bins for i in range(1, bins)], 10_000).alias(c) for c in numbers]
-        row = df.agg(*asked).first() if numbers else {}
-        cuts = {c: sorted({float(x) for x in row[c] or [] if x == x}) for c in numbers}
+        found = values_at(df, numbers, lambda n: [max(0, -(-i * n // bins) - 1) for i in range(1, bins)]) if numbers else {}
+        cuts = {c: sorted({float(x) for x in found[c] if x == x}) for c in numbers}
         lists = {}
         for c in categorical:
             top = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n"))

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bins of a range, and values of a bin that is read out instead of being refined.
-BINS, READ = 4096, 4096
+#: Bins of a range, and values of a bin that is read out instead of being refined. Where many ranges are open, each has fewer of both: about MANY
+#: in all, LEAST for each range.
+BINS, READ, LEAST, MANY = 4096, 4096, 64, 32_768
 
 
-def _bin(x: Column, lo: Column, hi: Column) -> Column:
-    """0 to BINS - 1, never falling as x rises: each step of the sum is monotone. Halves keep the greatest doubles from overflowing."""
+def _bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
+    """0 to bins - 1, never falling as x rises: each step of the sum is monotone. Halves keep the greatest doubles from overflowing."""
     share = (x / 2 - lo / 2) / F.nullif(hi / 2 - lo / 2, F.lit(0.0))
-    return F.coalesce(F.least(F.greatest(F.floor(share * BINS), F.lit(0)), F.lit(BINS - 1)), F.lit(0)).cast("int")
+    return F.coalesce(F.least(F.greatest(F.floor(share * bins), F.lit(0)), F.lit(bins - 1)), F.lit(0)).cast("int")
 
 
 class _Wanted:
@@ -23,7 +25,7 @@ class _Wanted:
     def __init__(self, column: int, rank: int, lo: float, hi: float, left: int):
         self.column, self.rank, self.lo, self.hi, self.left = column, rank, lo, hi, left
         self.value = lo if lo == hi else None
-        self.told_apart = left <= READ
+        self.told_apart = False  # holds neighbouring doubles only, which bins don't tell apart
 
     @property
     def range(self) -> tuple[int, float, float]:
@@ -44,16 +46,17 @@ def order_statistics(df: DataFrame, columns: list[str], ranks: dict[str, list[in
     long = df.select(F.posexplode(F.array(*[F.col(f"`{c}`").cast("double") for c in columns])).alias("c", "x")).where("x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')")
     while todo := [w for *_, w in wanted if w.value is None]:
         ranges = sorted({w.range for w in todo})
-        few = {w.range for w in todo if w.told_apart}
+        size = min(BINS, max(LEAST, MANY // len(ranges)))
+        few = {w.range for w in todo if w.told_apart or w.left <= min(READ, size)}
         side = F.broadcast(df.sparkSession.createDataFrame([(*r, r in few) for r in ranges], "rc int, lo double, hi double, few boolean"))  # a row for each rank at most
         inside = long.join(side, (F.col("c") == F.col("rc")) & (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
         # a bin small enough is told apart value by value
-        place = F.when(F.col("few"), F.lit(-1)).otherwise(_bin(F.col("x"), F.col("lo"), F.col("hi")))
+        place = F.when(F.col("few"), F.lit(-1)).otherwise(_bin(F.col("x"), F.col("lo"), F.col("hi"), size))
         key = F.when(F.col("few"), F.col("x"))
         bins = inside.groupBy("rc", "lo", "hi", place.alias("bin"), key.alias("v")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("a"), F.max("x").alias("b"))
         # of a range, only the bins in which a wanted rank falls come back
         found: dict[tuple, list] = {}
-        for r in bins.collect():  # BINS rows for each open range, or READ values
+        for r in bins.collect():  # `size` bins or values for each open range
             found.setdefault((r["rc"], r["lo"], r["hi"]), []).append((r["a"], r["b"], r["n"]))
         for own in found.values():
             own.sort()
@@ -61,8 +64,7 @@ def order_statistics(df: DataFrame, columns: list[str], ranks: dict[str, list[in
             rank = w.rank
             for a, b, n in found[w.range]:
                 if rank < n:
-                    # a range too narrow for halves of its width holds neighbouring doubles only
-                    w.told_apart = n <= READ or (a, b) == (w.lo, w.hi)
+                    w.told_apart = (a, b) == (w.lo, w.hi)  # too narrow for halves of its width
                     w.rank, w.lo, w.hi, w.left = rank, a, b, n
                     w.value = a if a == b else None
                     break
@@ -70,11 +72,8 @@ def order_statistics(df: DataFrame, columns: list[str], ranks: dict[str, list[in
     return out | {(c, rank): w.value for c, rank, w in wanted}
 
 
-def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float | None]]:
-    """For each column, the quantiles with linear interpolation, as exact as percentile(): nulls are left out, Not-a-Number is above all else,
-    a column without values gives None.
-
-    One pass counts and finds the range, each further one narrows it by BINS; a task never has more than partial counts of bins."""
+def _counted(df: DataFrame, columns: list[str]) -> dict[str, tuple]:
+    """{column: (values, finite values, least, greatest, values of minus infinity, of infinity)}"""
     double = {c: F.col(f"`{c}`").cast("double") for c in columns}
     inf = float("inf")
     finite = {c: ~F.isnan(x) & (F.abs(x) < inf) for c, x in double.items()}
@@ -83,12 +82,29 @@ def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[st
         x, ok = double[c], finite[c]
         asked += [F.count(x).alias(f"n{i}"), F.count(F.when(ok, x)).alias(f"f{i}"), F.min(F.when(ok, x)).alias(f"a{i}"), F.max(F.when(ok, x)).alias(f"b{i}"), F.count(F.when(x == -inf, x)).alias(f"l{i}"), F.count(F.when(x == inf, x)).alias(f"u{i}")]
     row = df.agg(*asked).first()
-    places = {c: [s * (row[f"n{i}"] - 1) for s in shares] for i, c in enumerate(columns) if row[f"n{i}"]}
-    ranks = {c: [f(p) for p in own for f in (math.floor, math.ceil)] for c, own in places.items()}
-    present = [(i, c) for i, c in enumerate(columns) if c in places]
-    if not present:
+    return {c: tuple(row[f"{k}{i}"] for k in "nfablu") for i, c in enumerate(columns)}
+
+
+def values_at(df: DataFrame, columns: list[str], ranks: Callable[[int], list[int]]) -> dict[str, list[float]]:
+    """For each column, its values at ranks(number of its values), from 0, in order; nothing where it has no values. A function of the values
+    alone: neither partitions nor the order of tasks matter."""
+    counted = {c: x for c, x in _counted(df, columns).items() if x[0]}
+    asked = {c: ranks(x[0]) for c, x in counted.items()}
+    values = order_statistics(df, list(counted), asked, [x[1:] for x in counted.values()]) if counted else {}
+    return {c: [values[c, r] for r in asked.get(c, [])] for c in columns}
+
+
+def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float | None]]:
+    """For each column, the quantiles with linear interpolation, as exact as percentile(): nulls are left out, Not-a-Number is above all else,
+    a column without values gives None.
+
+    One pass counts and finds the range, each further one narrows it by BINS; a task never has more than partial counts of bins."""
+    counted = _counted(df, columns)
+    places = {c: [s * (x[0] - 1) for s in shares] for c, x in counted.items() if x[0]}
+    if not places:
         return {c: [None] * len(shares) for c in columns}
-    values = order_statistics(df, [c for _, c in present], ranks, [tuple(row[f"{k}{i}"] for k in "fablu") for i, _ in present])
+    ranks = {c: [f(p) for p in own for f in (math.floor, math.ceil)] for c, own in places.items()}
+    values = order_statistics(df, list(places), ranks, [counted[c][1:] for c in places])
 
     def between(c: str, p: float) -> float:
         low, high = math.floor(p), math.ceil(p)

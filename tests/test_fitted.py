@@ -458,3 +458,14 @@ def test_registered_models(spark, sf):
     assert workload.QUERIES["k12_snapshots"](spark, sf).where("whole <> resumed").count() == 0
     out = workload.QUERIES["b05_saved_booster"](spark, sf)
     assert out.where("price IS NULL OR price < 0").count() == 0 and out.count() == 200
+
+
+def test_cuts_are_the_same_for_rows_in_any_order(spark):
+    """k12_snapshots: a fit is taken up from a snapshot only where its cuts are the same; approximate quantiles changed with the order of tasks."""
+    rows = spark.range(60_000).select(((F.col("id") * 7919 % 60_000) / 7).alias("x"), F.when(F.col("id") % 3 > 0, F.exp(F.col("id") % 700)).alias("z"))
+    orders = (rows.coalesce(1), rows.repartition(13), rows.orderBy(F.desc("x")), rows.repartition(5, "z"))
+    first, *others = (boosting.Binner.fit(o, ["x", "z"], [], 64).cuts for o in orders)
+    assert all(o == first for o in others)
+    values = sorted(i / 7 for i in range(60_000))
+    assert first["x"] == [values[-(-i * 60_000 // 64) - 1] for i in range(1, 64)]
+    assert boosting.Binner.fit(rows.where("x < 0"), ["x"], [], 64).cuts == {"x": []}
