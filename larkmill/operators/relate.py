@@ -92,3 +92,10 @@ def prediction_column(df: DataFrame, key: str, choices: list[tuple[str, bool]])
     first = df.agg(F.min_by(name, key).alias("_first"))
     out = df.crossJoin(F.broadcast(first))  # one row
     return out.select(key, F.when(F.col("_first") < 15, F.expm1(name)).otherwise(F.col(name)).alias("prediction"))
+
+
+def dealt(df: DataFrame, key: str, rows: int, n: int | None = None) -> DataFrame:
+    """df by key in parts of about `rows` rows. A table of few bytes lies in few files however many rows it has; where each row is made into
+    much, or costs much, a task would else have a great share of that. n: the number of rows, where it is known."""
+    parts = -(-(df.count() if n is None else n) // rows)
+    return df.repartition(parts, key) if parts > 1 else df

@@ -194,19 +194,52 @@ class Stretch(InputPartition):
     end: int
 
 
+@dataclass
+class Bundle(InputPartition):
+    """What one task reads."""
+
+    stretches: list[Stretch]
+
+
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
     """A file system and the path in it: local paths and every address that pyarrow knows (hdfs, s3, gs and so on), no mounting needed."""
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
-def _matching(store: pafs.FileSystem, pattern: str, seen: dict[str, list[str]]) -> list[str]:
-    """Files by a pattern in the last part of their name, sorted. seen keeps the names of folders that were listed."""
+def _matching(store: pafs.FileSystem, pattern: str, seen: dict[tuple[str, int], dict[str, list[pafs.FileInfo]]]) -> list[pafs.FileInfo]:
+    """Files by a pattern in the last part of their name, sorted. seen keeps folders that were listed, their files by what follows a pattern's
+    last wildcard, so that many patterns of a brace range don't all go through the whole folder."""
     folder, _, name = pattern.rpartition("/")
     if not re.search(r"[*?\[]", name):
-        return [pattern] if store.get_file_info(pattern).type == pafs.FileType.File else []
-    if folder not in seen:
-        seen[folder] = sorted(f.path for f in store.get_file_info(pafs.FileSelector(folder or "/", allow_not_found=True)) if f.type == pafs.FileType.File)
-    return [p for p in seen[folder] if fnmatch.fnmatchcase(p.rpartition("/")[2], name)]
+        found = store.get_file_info(pattern)
+        return [found] if found.type == pafs.FileType.File else []
+    end = re.split(r"[*?\[\]]", name)[-1]
+    at = folder, len(end)
+    if at not in seen:
+        seen[at] = {}
+        for f in sorted(store.get_file_info(pafs.FileSelector(folder or "/", allow_not_found=True)), key=lambda f: f.path):
+            if f.type == pafs.FileType.File:
+                seen[at].setdefault(f.path[len(f.path) - len(end) :], []).append(f)
+    return [f for f in seen[at].get(end, []) if fnmatch.fnmatchcase(f.base_name, name)]
+
+
+#: Tasks before archives share one.
+APART = 200
+
+
+def bundled(stretches: list[Stretch], most: int, apart: int = APART) -> list[Bundle]:
+    """Neighbours together, `most` bytes at most if there are several, where there are more than `apart` of them; `apart` bundles at least stay."""
+    if len(stretches) <= apart:
+        return [Bundle([x]) for x in stretches]
+    most = min(most, sum(x.end - x.start for x in stretches) // apart)
+    out, size = [], 0
+    for x in stretches:
+        if not out or size + x.end - x.start > most:
+            out.append(Bundle([]))
+            size = 0
+        out[-1].stretches.append(x)
+        size += x.end - x.start
+    return out
 
 
 def sample_starts(file) -> list[int]:
@@ -231,7 +264,8 @@ class TarReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         """One for each archive, or for each stretch of split_bytes of a larger one, which begins and ends between samples: by the index beside
-        it (name.idx, which the writer leaves), else by its headers. Names in a brace range that aren't there are warned about and left out."""
+        it (name.idx, which the writer leaves), else by its headers. Of very many small ones, several go to a task. Names in a brace range that
+        aren't there are warned about and left out."""
         out, seen = [], {}
         for pattern in braces(self.path):
             store, own = opened(pattern)
@@ -239,11 +273,10 @@ class TarReader(DataSourceReader):
             if not found:
                 warnings.warn(f"no shard {pattern}", stacklevel=2)
             base = pattern[: len(pattern) - len(own)]
-            for path in found:
-                size = store.get_file_info(path).size
-                cuts = [0, *self._cuts(store, path), size] if size > self.split_bytes else [0, size]
-                out += [Stretch(base + path, a, b) for a, b in pairwise(cuts)]
-        return out
+            for f in found:
+                cuts = [0, *self._cuts(store, f.path), f.size] if f.size > self.split_bytes else [0, f.size]
+                out += [Stretch(base + f.path, a, b) for a, b in pairwise(cuts)]
+        return bundled(out, self.split_bytes)
 
     def _cuts(self, store: pafs.FileSystem, path: str) -> list[int]:
         if store.get_file_info(f"{path}.idx").type == pafs.FileType.File:
@@ -259,7 +292,11 @@ class TarReader(DataSourceReader):
                 last = at
         return cuts
 
-    def read(self, partition: Stretch) -> Iterator[tuple]:
+    def read(self, partition: Bundle) -> Iterator[tuple]:
+        for stretch in partition.stretches:
+            yield from self._samples(stretch)
+
+    def _samples(self, partition: Stretch) -> Iterator[tuple]:
         """Members of a sample lie together; a broken archive ends its shard, not the job."""
         key, parts = None, {}
         store, path = opened(partition.path)

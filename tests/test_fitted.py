@@ -469,3 +469,19 @@ def test_cuts_are_the_same_for_rows_in_any_order(spark):
     values = sorted(i / 7 for i in range(60_000))
     assert first["x"] == [values[-(-i * 60_000 // 64) - 1] for i in range(1, 64)]
     assert boosting.Binner.fit(rows.where("x < 0"), ["x"], [], 64).cuts == {"x": []}
+
+
+def test_tar_query_reads_all_archives_of_a_task(spark, tmp_path):
+    """k07_tar_shards: 100,300 samples in one file are more than the thousand archives that its brace range named."""
+    part = spark.range(1, 125_401, 1, 1).select(F.col("id").alias("p_partkey"), F.lit("a part").alias("p_name"), F.lit(7).alias("p_size"))
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    got = workload.QUERIES["k07_tar_shards"](spark, str(tmp_path))
+    assert got.selectExpr("count(*)", "count(DISTINCT key)", "count_if(txt = 'a part')").first()[:] == (100_320, 100_320, 100_320)
+
+
+def test_many_archives_share_tasks():
+    many = [readers.Stretch(f"s-{i}", 0, 10) for i in range(1000)]
+    made = readers.bundled(many, 1 << 20)
+    assert [x for b in made for x in b.stretches] == many and 200 <= len(made) <= 500
+    assert [len(b.stretches) for b in readers.bundled(many[:200], 1 << 20)] == [1] * 200
+    assert len(readers.bundled(many, 5)) == 1000
