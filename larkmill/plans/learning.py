@@ -237,7 +237,7 @@ def u04s(s, d):
     docs = table(s, d, "part").select("p_partkey", F.concat("p_name", F.lit(" "), "p_type").alias("text"))
     n, blocks = docs.count(), []
     for terms in (tfidf.word_terms(F.col("text")), tfidf.char_terms(F.col("text"), 3, 3)):
-        tf = tfidf.counts(docs, "p_partkey", terms)
+        tf = tfidf.counts(docs, "p_partkey", terms, n)
         vocabulary = written(tfidf.fit(tf, n, 3), "vocabulary")
         blocks.append((tfidf.transform(tf, vocabulary, "p_partkey"), vocabulary))
     first = blocks[0][1].count()

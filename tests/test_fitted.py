@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkmill.operators import boosting, cluster, fuzzy, models, positions, quantiles, svd, tuning
+from larkmill.operators import boosting, cluster, fuzzy, models, positions, quantiles, svd, tfidf, tuning
 from larkmill.plans import workload
 from larkmill.sources import readers, scratch, sheets, sinks, store
 from larkmill.sources.tarshards import TarShards
@@ -504,3 +504,17 @@ def test_archive_query_writes_by_parts_of_the_table(spark, tmp_path):
         spark.conf.set("spark.sql.files.openCostInBytes", open_)
     assert len([x for x in store.names(spark, f"{scratch.root(spark)}/{made[0]}") if x.endswith(".tar")]) >= 4
     assert got.selectExpr("count(DISTINCT doc_id)", "sum(n_chars)").first()[:] == (800, 800_000) and got.rdd.getNumPartitions() > 8
+
+
+# term counts of large tables of short texts
+
+
+def test_short_texts_are_dealt_before_they_are_made_into_terms(spark):
+    """t03_brand_terms, t03_brand_vectors, t02_char_tfidf, u04_sparse_concat: a table of few bytes is one file, and one task held all of its terms."""
+    docs = spark.range(0, 1000, 1, 1).select("id", F.concat(F.lit("ab"), F.col("id") % 7).alias("text"))
+    tf = tfidf.counts(docs, "id", tfidf.char_terms(F.col("text"), 2, 3), rows=100)
+    placed = tf.withColumn("part", F.spark_partition_id()).groupBy("id").agg(F.countDistinct("part").alias("parts"), F.count(F.lit(1)).alias("n"))
+    assert tf.select(F.spark_partition_id().alias("p")).distinct().count() >= 8
+    assert placed.selectExpr("count(*)", "max(parts)", "min(n)", "max(n)").first()[:] == (1000, 1, 3, 3)
+    weights = tfidf.transform(tf, tfidf.fit(tf, 1000), "id")
+    assert weights.groupBy("id").agg(F.round(F.sum(F.col("weight") * F.col("weight")), 9).alias("x")).where("x <> 1").count() == 0
