@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkmill.operators import boosting, cluster, fuzzy, models, positions, quantiles, svd, tfidf, tuning
-from larkmill.plans import workload
+from larkmill.plans import registry, workload
 from larkmill.sources import readers, scratch, sheets, sinks, store
 from larkmill.sources.tarshards import TarShards
 from larkmill.streaming import shuffle
@@ -518,3 +518,11 @@ def test_short_texts_are_dealt_before_they_are_made_into_terms(spark):
     assert placed.selectExpr("count(*)", "max(parts)", "min(n)", "max(n)").first()[:] == (1000, 1, 3, 3)
     weights = tfidf.transform(tf, tfidf.fit(tf, 1000), "id")
     assert weights.groupBy("id").agg(F.round(F.sum(F.col("weight") * F.col("weight")), 9).alias("x")).where("x <> 1").count() == 0
+
+
+def test_catalog_is_dealt_by_rows(spark, sf, tmp_path):
+    """f24_fallbacks: costly rules over a table of few bytes kept a few tasks busy, however many rows it had."""
+    part = spark.read.parquet(f"{sf}/part.parquet").drop("p_partkey")
+    part.limit(1).crossJoin(spark.range(50_000).withColumnRenamed("id", "p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    rows = registry.catalog(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() >= 3 and rows.select("p_partkey").distinct().count() == 50_000
