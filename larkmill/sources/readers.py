@@ -87,8 +87,9 @@ def read_npz(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "sample_id long, embedding array<float>")
 
 
-def read_npy(spark: SparkSession, path: str, dims: int = 2) -> DataFrame:
-    """path, shape, values of .npy files; a file of another number of dimensions gives an error text instead."""
+def read_npy(spark: SparkSession, path: str, dims: int = 2, names: str | None = None) -> DataFrame:
+    """path, shape, values of .npy files; a file of another number of dimensions gives an error text instead. names: a pattern of names in the
+    folder `path`, which is listed once; of a path with wildcards, Spark lists every file that it stands for on its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,7 +104,9 @@ def read_npy(spark: SparkSession, path: str, dims: int = 2) -> DataFrame:
             kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)], names=["path", "shape", "values", "error"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, shape array<long>, values array<double>, error string")
+    r = spark.read.format("binaryFile")
+    files = (r if names is None else r.option("pathGlobFilter", names)).load(path)
+    return files.select("path", "content").mapInArrow(run, "path string, shape array<long>, values array<double>, error string")
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:

@@ -526,3 +526,17 @@ def test_catalog_is_dealt_by_rows(spark, sf, tmp_path):
     part.limit(1).crossJoin(spark.range(50_000).withColumnRenamed("id", "p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     rows = registry.catalog(spark, str(tmp_path))
     assert rows.rdd.getNumPartitions() >= 3 and rows.select("p_partkey").distinct().count() == 50_000
+
+
+def test_sample_files_are_listed_at_once(spark, sf):
+    """k08_sample_files: a path with wildcards was listed file by file, in a job of its own where there are more than 32 files."""
+    tracker, group = spark.sparkContext.statusTracker(), "sample-files"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        made = workload.QUERIES["k08_sample_files"](spark, sf)
+        jobs = len(tracker.getJobIdsForGroup(group))
+        got = made.count()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == spark.read.parquet(f"{sf}/embeddings.parquet").count() > 32
+    assert jobs <= 3, jobs
