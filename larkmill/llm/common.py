@@ -43,16 +43,17 @@ def _own(spark: SparkSession) -> str:
     return f"larkmill-{spark.sparkContext.applicationId}-"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and lost executors lose nothing. While it is written, Arrow batches
-    hold about BATCH_BYTES, so that few long texts meet in a worker; the session's setting comes back afterwards."""
+    hold about BATCH_BYTES, so that few long texts meet in a worker; the session's setting comes back afterwards. Without `compression`
+    the session's is taken."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key)
     try:
         spark.conf.set(key, BATCH_BYTES)
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         spark.conf.set(key, now)
     return spark.read.schema(df.schema).parquet(path)

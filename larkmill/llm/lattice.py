@@ -1,8 +1,8 @@
 """Language-model scores by a subword lattice.
 
 A word's probability is the sum over all ways to cut it into pieces of an existing vocabulary, each way weighing the product of its
-pieces' probabilities; a forward recursion in log space gives the sum. The pieces' probabilities are learned from the training words
-by expectation-maximisation over the same lattice. Each training word is also an arc of its own: absolute discounting takes a little
+pieces' probabilities; a forward recursion gives the sum, on scaled probabilities where these can't leave the range of doubles, else on
+logarithms. The pieces' probabilities are learned from the training words by expectation-maximisation over the same lattice. Each training word is also an arc of its own: absolute discounting takes a little
 from every seen word and gives it to the lattice, which so spells unseen words. A document's probability is further summed over a few
 classes (languages, as training documents name them; a scored document's own is not looked at), each with its own pieces and words.
 The probabilities of all words and of the end sum to one at most.
@@ -12,6 +12,7 @@ block; no task holds the whole vocabulary, and each word is priced once."""
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from collections.abc import Iterator
@@ -23,14 +24,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, gathered, map_batches, text_of, written
+from .common import BATCH_ROWS, discard, gathered, map_batches, text_of, written
 
-#: Tokens of a block; with them its dictionary is bounded. Words longer than LONG bytes are scored one at a time, and learned from in
+#: Tokens of a block, and bytes of its words; with them its dictionary is bounded. Its documents are counted by PART_TOKENS. Words longer than LONG bytes are scored one at a time, and learned from in
 #: stretches of so many bytes. ROUNDS of expectation-maximisation, and CLASSES (the last takes all names but the commonest).
-BLOCK_TOKENS, LONG, ROUNDS, CLASSES = 4_000_000, 96, 3, 5
+BLOCK_TOKENS, BLOCK_BYTES, PART_TOKENS, LONG, ROUNDS, CLASSES = 4_000_000, 1 << 26, 1 << 18, 96, 3, 5
 _START, _STOP = b" ", b"\n"  # neither occurs in a word
-_B = np.uint64(0x9E3779B97F4A7C15)
 _STRETCH = 1 << 14
+_LOWER = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
+_WHITE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+#: Bytes of words whose lattices are summed at once, and how far from 0 the logarithms of plain numbers may go (doubles reach to 708).
+STEP, RANGE = 1 << 17, 600
 
 
 @dataclass
@@ -75,117 +79,136 @@ def normalised(strings: list[bytes], weight: np.ndarray) -> Pieces:
     return p
 
 
+@dataclass
+class Arcs:
+    """The pieces found in some words, ordered by the level (bytes before it in its word) at which a piece begins. Sums are kept by place,
+    the places of a level side by side: arcs of a level end at different places."""
+
+    begins: np.ndarray
+    ends: np.ndarray
+    ids: np.ndarray
+    words: np.ndarray  # each arc's word
+    cuts: list[int]  # arcs of a level
+    levels: list[int]  # places of a level
+    stops: np.ndarray  # each word's last place
+
+    def steps(self) -> list[tuple[int, slice]]:
+        return [(k, slice(a, b)) for k, (a, b) in enumerate(itertools.pairwise(self.cuts)) if a < b]
+
+
 class Lattice:
-    """Log-probabilities and expected piece counts of many words at once: words of a length side by side, pieces found by a rolling
-    hash of all their substrings."""
+    """Log-probabilities and expected piece counts of many words at once: pieces are found by walking down a tree of their bytes from all
+    places, then sums go from level to level, for all words together."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        lengths: dict[int, list[int]] = {}
-        for i, s in enumerate(pieces.strings):
-            lengths.setdefault(len(s), []).append(i)
-        self.lengths = sorted(lengths)
-        self.keys = np.zeros(len(pieces.strings), dtype=np.uint64)  # each piece's hash with its length mixed in
-        for n, idx in lengths.items():
-            self.keys[idx] = _mixed(_hash(np.array([list(pieces.strings[i]) for i in idx], dtype=np.uint8)), n)
-        #: Tables from a hash's upper bits to a piece; pieces that meet in a slot go to the next table.
-        self.tables: list[np.ndarray] = []
-        rest = np.arange(len(pieces.strings), dtype=np.int32)
-        while len(rest):
-            made = np.full(1 << 20, -1, dtype=np.int32)
-            at = (self.keys[rest] >> np.uint64(44)).astype(np.int64)
-            made[at] = rest
-            self.tables.append(made)
-            rest = rest[made[at] != rest]
-        self.seen = self.tables[0] >= 0
-
-    def _arcs(self, a: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(from, to, rows, pieces) of words in the columns of a, ordered by `to`."""
-        length, n = a.shape
-        pre = np.zeros((length + 1, n), dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for i in range(length):
-                pre[i + 1] = pre[i] * _B + (a[i].astype(np.uint64) + np.uint64(1))
-        out = []
-        power = {m: np.uint64(pow(int(_B), m, 1 << 64)) for m in self.lengths}
-        for j in range(1, length + 1):
-            for m in self.lengths:
-                i = j - m
-                if i < 0:
-                    break
-                with np.errstate(over="ignore"):
-                    h = _mixed(pre[j] - pre[i] * power[m], m)
-                rows, ids = self._lookup(h)
-                if len(rows):
-                    out.append((i, j, rows, ids))
-        return out
-
-    def _lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the hashes are pieces', and which pieces they are."""
-        slot = (h >> np.uint64(44)).astype(np.int32)
-        rows = np.flatnonzero(self.seen[slot])
-        h, slot = h[rows], slot[rows]
-        ids = self.tables[0][slot]
-        ok = self.keys[ids] == h
-        for t in self.tables[1:] if len(rows) else []:
-            more = t[slot]
-            hit = ~ok & (more >= 0) & (self.keys[more] == h)
-            ids[hit] = more[hit]
-            ok |= hit
-        return rows[ok], ids[ok]
-
-    def _forward(self, a: np.ndarray, arcs: list, logp: np.ndarray) -> np.ndarray:
-        alpha = np.full((a.shape[0] + 1, a.shape[1]), -np.inf)
-        alpha[0] = 0
-        with np.errstate(invalid="ignore"):
-            for i, j, rows, ids in arcs:
-                alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + logp[ids])
-        return alpha
-
-    def _forward_many(self, a: np.ndarray, arcs: list, weights: np.ndarray) -> np.ndarray:
-        """The last row of _forward for several sets of weights at once: sets x words."""
-        alpha = np.full((a.shape[0] + 1, len(weights), a.shape[1]), -np.inf)
-        alpha[0] = 0
-        with np.errstate(invalid="ignore"):
-            for i, j, rows, ids in arcs:
-                to = alpha[j]
-                to[:, rows] = np.logaddexp(to[:, rows], alpha[i][:, rows] + weights[:, ids])
-        return alpha[-1]
-
-    def _groups(self, words: list[bytes]) -> Iterator[tuple[list[int], np.ndarray | None]]:
-        by: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by.setdefault(len(w) if len(w) <= LONG else -1, []).append(i)
-        for n, idx in by.items():
-            if n < 0:
-                for i in idx:
-                    yield [i], None
-                continue
-            for at in range(0, len(idx), 8192):
-                own = idx[at : at + 8192]
-                flat = np.frombuffer(b"".join(_START + words[i] + _STOP for i in own), dtype=np.uint8)
-                yield own, np.ascontiguousarray(flat.reshape(len(own), -1).T)
+        self.sizes = np.array([len(s) for s in pieces.strings])
+        self.bytes = [i for i, s in enumerate(pieces.strings) if len(s) == 1 or (len(s) == 2 and s.startswith(_START))]
+        flat, at = np.frombuffer(b"".join(pieces.strings), dtype=np.uint8), np.cumsum(self.sizes) - self.sizes
+        node, edges, total = np.zeros(len(at), dtype=np.int64), [], 1
+        for d in range(self.sizes.max()):
+            own = np.flatnonzero(self.sizes > d)
+            made, which = np.unique(node[own] * 256 + flat[at[own] + d], return_inverse=True)
+            node[own] = total + which
+            edges.append(made)
+            total += len(made)
+        keys = np.concatenate(edges)  # of the nodes from 1 on: parent and byte
+        inner = np.zeros(total, dtype=bool)
+        inner[keys >> 8] = True
+        number = np.argsort(np.argsort(~inner, kind="stable"))  # nodes that go on come first; 0 is the root, so no node's child
+        self.inner = int(inner.sum())
+        self.next = np.zeros(self.inner << 8, dtype=np.int32)
+        self.next[(number[keys >> 8] << 8) + (keys & 255)] = number[1:]
+        self.piece = np.full(total, -1, dtype=np.int32)
+        self.piece[number[node]] = np.arange(len(at))
+
+    def _found(self, s: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, end, piece) of all pieces that begin at these places of s, which ends with a blank: no piece goes on with one."""
+        out, node, m = [], np.zeros(len(begins), dtype=np.int64), 0
+        while len(begins):
+            m += 1
+            node <<= 8
+            node += s.take(begins + (m - 1))
+            node = self.next.take(node)
+            ids = self.piece.take(node)
+            hit = np.flatnonzero(ids >= 0)
+            own = begins.take(hit)
+            out.append((own, own + m, ids.take(hit)))
+            on = np.flatnonzero((node > 0) & (node < self.inner))
+            begins, node = begins.take(on), node.take(on).astype(np.int64)
+        x, y, z = zip(*out, strict=True)
+        return np.concatenate(x), np.concatenate(y), np.concatenate(z).astype(np.int64)
+
+    def _arcs(self, words: list[bytes]) -> Arcs:
+        """The arcs of words of LONG bytes at most."""
+        n = len(words)
+        s = np.frombuffer(b"".join([_START + w + _STOP + _START for w in words]), dtype=np.uint8)
+        size = np.array([len(w) for w in words]) + 3  # the blank between words stands for the place behind a word's end
+        word = np.repeat(np.arange(n), size)
+        level = (np.arange(len(s)) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint8)
+        place = np.empty(len(s), dtype=np.int64)
+        place[np.argsort(level, kind="stable")] = np.arange(len(s))
+        last = np.cumsum(size) - 1
+        inside = np.ones(len(s), dtype=bool)
+        inside[last] = False
+        begins, ends, ids = self._found(s, np.flatnonzero(inside))
+        at = level.take(begins)
+        order = np.argsort(at, kind="stable")
+        begins, ends, ids = begins.take(order), ends.take(order), ids.take(order)
+        cuts, levels = ([0, *np.cumsum(np.bincount(x, minlength=size.max())).tolist()] for x in (at, level))
+        return Arcs(place.take(begins), place.take(ends), ids, word.take(begins), cuts, levels, place.take(last))
+
+    def _scale(self, table: np.ndarray) -> float:
+        """What a byte adds to a piece's logarithm so that sums over s bytes lie within exp(-s * scale) and exp(s * scale): every string can
+        be cut into single bytes, the first with its blank, and no sum of probabilities is over one."""
+        return float(-table[:, self.bytes].min()) / 2
+
+    def _groups(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, int]]:
+        """Words of like length, about STEP bytes of them, with the greatest length; those of more than LONG bytes one at a time."""
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        order = np.argsort(size, kind="stable")
+        part = np.where(size[order] > LONG, -np.arange(len(order)) - 1, np.cumsum(size[order] + 3) // STEP)
+        for own in np.split(order, np.flatnonzero(np.diff(part)) + 1) if len(order) else []:
+            yield own, int(size[own[-1]])
 
     def log_probs(self, words: list[bytes], weights: list[np.ndarray] | None = None) -> np.ndarray:
         """Natural log of each word's marginal probability, a row for each set of piece weights."""
-        weights = [self.pieces.logp] if weights is None else weights
-        table = np.stack(weights)
-        out = np.zeros((len(weights), len(words)))
-        for idx, a in self._groups(words):
-            out[:, idx] = self._one(words[idx[0]], table)[:, None] if a is None else self._forward_many(a, self._arcs(a), table)
-        return out
+        table = np.stack([self.pieces.logp] if weights is None else weights)
+        scale = self._scale(table)
+        logs = np.ascontiguousarray(table.T)
+        scaled = np.exp(logs + scale * self.sizes[:, None])
+        out = np.zeros((len(words), len(table)))
+        for own, most in self._groups(words):
+            if most > LONG:
+                out[own[0]] = self._one(words[own[0]], table)
+                continue
+            arcs, plain = self._arcs([words[i] for i in own.tolist()]), (most + 2) * scale < RANGE
+            alpha = np.full((arcs.levels[-1], len(table)), 0.0 if plain else -np.inf)
+            alpha[: arcs.levels[1]] = 1 if plain else 0
+            for _, at in arcs.steps():
+                before, w = alpha.take(arcs.begins[at], axis=0), (scaled if plain else logs).take(arcs.ids[at], axis=0)
+                if plain:
+                    before *= w
+                    alpha[arcs.ends[at]] += before
+                else:
+                    alpha[arcs.ends[at]] = np.logaddexp(alpha[arcs.ends[at]], before + w)
+            out[own] = alpha[arcs.stops]
+            if plain:
+                out[own] = np.log(out[own]) - scale * np.array([len(words[i]) + 2 for i in own.tolist()])[:, None]
+        return out.T
 
     def _one(self, word: bytes, table: np.ndarray) -> np.ndarray:
         """The same for one long word: pieces are found for a stretch of places at once, and only the last few sums are kept."""
         s = np.frombuffer(_START + word + _STOP, dtype=np.uint8)
-        most = self.lengths[-1]
+        most = int(self.sizes.max())
         alpha = np.full((len(s) + 1, len(table)), -np.inf)
         alpha[0] = 0
         for lo in range(0, len(s), _STRETCH):
-            part = s[max(0, lo - most) : lo + _STRETCH]
             begun = max(0, lo - most)
-            ends, froms, ids = self._places(part)
-            own = ends + begun > lo
+            part = s[begun : lo + _STRETCH]
+            froms, ends, ids = self._found(np.append(part, np.uint8(_START[0])), np.arange(len(part)))
+            own = np.flatnonzero(ends + begun > lo)
+            own = own[np.argsort(ends[own], kind="stable")]
             ends, froms, ids = ends[own] + begun, froms[own] + begun, ids[own]
             cuts = np.flatnonzero(np.diff(ends, prepend=-1)).tolist()
             add = table[:, ids].T
@@ -195,56 +218,53 @@ class Lattice:
                 alpha[ends[a]] = top + np.log(np.exp(x - top).sum(axis=0))
         return alpha[-1]
 
-    def _places(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(end, begin, piece) of all pieces in s, ordered by end."""
-        pre = np.zeros(len(s) + 1, dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            up = np.cumprod(np.append(np.uint64(1), np.full(len(s), _B, dtype=np.uint64)), dtype=np.uint64)
-            down = np.cumprod(np.append(np.uint64(1), np.full(len(s), pow(int(_B), -1, 1 << 64), dtype=np.uint64)), dtype=np.uint64)
-            pre[1:] = np.cumsum((s.astype(np.uint64) + np.uint64(1)) * down[1:], dtype=np.uint64)
-        found = []
-        for m in self.lengths:
-            if m > len(s):
-                break
-            begin = np.arange(len(s) - m + 1)
-            with np.errstate(over="ignore"):
-                h = _mixed((pre[begin + m] - pre[begin]) * up[begin + m], m)
-            rows, ids = self._lookup(h)
-            found.append((begin[rows] + m, begin[rows], ids))
-        ends, begins, ids = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(ends, kind="stable")
-        return ends[order], begins[order], ids[order]
-
-    def expected(self, words: list[bytes], logp: np.ndarray | None = None) -> np.ndarray:
-        """Expected number of each piece over all cuts of the words, each word once; words of more than LONG bytes in stretches."""
-        out = np.zeros(len(self.pieces.strings))
-        logp = self.pieces.logp if logp is None else logp
-        words = [w[at : at + LONG] for w in words for at in range(0, max(1, len(w)), LONG)]
-        for _, a in self._groups(words):
-            arcs = self._arcs(a)
-            alpha = self._forward(a, arcs, logp)
-            beta = np.full(alpha.shape, -np.inf)
-            beta[-1] = 0
-            with np.errstate(invalid="ignore"):
-                for i, j, rows, ids in reversed(arcs):
-                    tail = beta[j, rows] + logp[ids]
-                    share = np.nan_to_num(np.exp(alpha[i, rows] + tail - alpha[-1, rows]))
-                    out += np.bincount(ids, weights=share, minlength=len(out))
-                    beta[i, rows] = np.logaddexp(beta[i, rows], tail)
+    def expected(self, words: list[bytes], weights: list[np.ndarray] | None = None, sets: np.ndarray | None = None) -> np.ndarray:
+        """Expected number of each piece over all cuts of the words, each word once, a row for each set of piece weights; `sets` names each
+        word's (without it there is one, and a plain row comes back). Words of more than LONG bytes in stretches."""
+        table = np.stack([self.pieces.logp] if weights is None else weights)
+        of = np.zeros(len(words), dtype=np.int64) if sets is None else np.asarray(sets, dtype=np.int64)
+        if any(len(w) > LONG for w in words):
+            of = np.repeat(of, [max(1, -(-len(w) // LONG)) for w in words])
+            words = [w[at : at + LONG] for w in words for at in range(0, max(1, len(w)), LONG)]
+        scale, logs, out = self._scale(table), table.ravel(), np.zeros(table.size)
+        scaled = np.exp(table + scale * self.sizes).ravel()
+        for own, most in self._groups(words):
+            arcs = self._arcs([words[i] for i in own.tolist()])
+            ids = arcs.ids + (of[own] * table.shape[1]).take(arcs.words)
+            plain = (most + 2) * scale < RANGE
+            shares = self._shares(arcs, scaled.take(ids)) if plain else self._log_shares(arcs, logs.take(ids))
+            out += np.bincount(ids, weights=shares, minlength=len(out))
+        return out if sets is None else out.reshape(table.shape)
+
+    def _shares(self, arcs: Arcs, w: np.ndarray) -> np.ndarray:
+        """How often each arc is expected, by sums from the words' beginnings and from their ends."""
+        alpha, beta, out = np.zeros(arcs.levels[-1]), np.zeros(arcs.levels[-1]), np.empty(len(w))
+        alpha[: arcs.levels[1]] = 1
+        for _, at in arcs.steps():
+            out[at] = alpha.take(arcs.begins[at]) * w[at]
+            alpha[arcs.ends[at]] += out[at]
+        beta[arcs.stops] = 1 / alpha[arcs.stops]  # so that shares are of the whole sum
+        for k, at in reversed(arcs.steps()):
+            tail = beta.take(arcs.ends[at])
+            out[at] *= tail
+            tail *= w[at]
+            a, b = arcs.levels[k : k + 2]
+            beta[a:b] += np.bincount(arcs.begins[at] - a, weights=tail, minlength=b - a)
         return out
 
-
-def _hash(a: np.ndarray) -> np.ndarray:
-    h = np.zeros(len(a), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(a.shape[1]):
-            h = h * _B + (a[:, i].astype(np.uint64) + np.uint64(1))
-    return h
-
-
-def _mixed(h: np.ndarray, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (h ^ (h >> np.uint64(29))) * (_B + np.uint64(2 * n))
+    def _log_shares(self, arcs: Arcs, w: np.ndarray) -> np.ndarray:
+        """The same on logarithms, for words whose sums may leave the range of doubles."""
+        alpha, beta, out = np.full(arcs.levels[-1], -np.inf), np.full(arcs.levels[-1], -np.inf), np.empty(len(w))
+        alpha[: arcs.levels[1]] = 0
+        for _, at in arcs.steps():
+            out[at] = alpha[arcs.begins[at]] + w[at]
+            alpha[arcs.ends[at]] = np.logaddexp(alpha[arcs.ends[at]], out[at])
+        beta[arcs.stops] = -alpha[arcs.stops]
+        for _, at in reversed(arcs.steps()):
+            tail = beta[arcs.ends[at]]
+            out[at] += tail
+            np.logaddexp.at(beta, arcs.begins[at], tail + w[at])
+        return np.exp(out)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -260,50 +280,108 @@ def _classes(docs: DataFrame, class_col: str | None, classes: int | None) -> lis
     return [r[0] for r in (found if classes is None else found.limit(classes - 1)).collect()]
 
 
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of each text as ascii_words gives them, for all at once: words a text, bytes a word, and these bytes."""
+    data, at = _flat(texts)
+    data = _LOWER[data]
+    inner = np.zeros(len(data) + 2, dtype=bool)
+    inner[1:-1] = ~_WHITE[data]
+    starts, stops = inner[1:] & ~inner[:-1], inner[:-1] & ~inner[1:]
+    edges = at[(at > 0) & (at < len(data))]  # a word ends with its text
+    starts[edges], stops[edges] = inner[edges + 1], inner[edges]
+    starts, stops = np.flatnonzero(starts), np.flatnonzero(stops)
+    return np.diff(np.searchsorted(starts, at)), stops - starts, data[inner[1:-1]]
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of strings without nulls, and where each begins; the last number is their end."""
+    column = column.cast(pa.large_binary())
+    _, at, data = column.buffers()
+    if not len(column) or data is None:
+        return np.zeros(0, dtype=np.uint8), np.zeros(len(column) + 1, dtype=np.int64)
+    at = np.frombuffer(at, dtype=np.int64, count=column.offset + len(column) + 1)[column.offset :]
+    return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Byte strings of these sizes, side by side in data."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))), pa.py_buffer(data)])
+
+
+def _planes(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Values under 2^32, so many a row: all lowest bytes of a row, then the next, as the upper ones are nearly all zero and compress."""
+    at = np.cumsum(counts) - counts
+    to = np.arange(len(values)) + np.repeat(3 * at, counts)
+    width, data = np.repeat(counts, counts), np.empty(4 * len(values), dtype=np.uint8)
+    for k in range(4):
+        data[to + k * width] = (values >> 8 * k) & 255
+    return _binary(data, 4 * counts).cast(pa.binary())
+
+
+def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """What _planes was given, with where each row begins."""
+    data, at = _flat(column)
+    counts = np.diff(at) // 4
+    to, width = np.arange(len(data) // 4) + np.repeat(3 * at[:-1] // 4, counts), np.repeat(counts, counts)
+    return sum(data[to + k * width].astype(np.int64) << 8 * k for k in range(4)), at // 4
+
+
 def _blocks(docs: DataFrame, classes: int) -> DataFrame:
-    """Two kinds of rows. kind 0, a document: its words' numbers in its block and how often each occurs, its length and class. kind 1,
+    """Two kinds of rows. kind 0, a document: its words' numbers in its block (steps from one to the next) and how often each occurs, its length and class. kind 1,
     a word of a block: its number and its training counts there, one for each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, tokens = TaskContext.get().partitionId() << 24, 0
-        number: dict[bytes, int] = {}
-        counts = np.zeros((0, classes), dtype=np.int64)
+        block, tokens, size = TaskContext.get().partitionId() << 24, 0, 0
+        held: list[tuple] = []
 
         def rows(kind: int, size: int, /, **given: pa.Array) -> pa.RecordBatch:
             fixed = {"kind": pa.array(np.full(size, kind, dtype=np.int8)), "block": pa.array(np.full(size, block, dtype=np.int64))} | given
             return pa.RecordBatch.from_arrays([fixed.get(k, pa.nulls(size, t)) for k, t in kinds], names=[k for k, _ in kinds])
 
-        def words() -> Iterator[pa.RecordBatch]:
-            own = list(number)
+        def rest() -> Iterator[pa.RecordBatch]:
+            """The rows of the documents in `held`."""
+            ids = pa.array([i for h in held for i in h[0]], type=pa.int64())
+            out, kind, n, sizes, data = (np.concatenate([h[i] for h in held]) for i in range(1, 6))
+            held.clear()
+            found = _binary(data, sizes).dictionary_encode()
+            number, own = found.indices.to_numpy(), found.dictionary
+            at = np.concatenate(([0], np.cumsum(n)))
+            counts = np.zeros(len(own) * classes, dtype=np.int64)
+            cuts = np.flatnonzero(np.diff(at[:-1] // PART_TOKENS, prepend=-1)).tolist()
+            for a, b in itertools.pairwise(sorted({*cuts, *range(0, len(n), BATCH_ROWS), len(n)})):
+                now, doc = number[at[a] : at[b]].astype(np.int64), np.repeat(np.arange(b - a), n[a:b])
+                pairs = np.sort(doc << 32 | now)  # a document's words in ascending order
+                first = np.flatnonzero(np.diff(pairs, prepend=-1))
+                times, used, doc = np.diff(first, append=len(pairs)), pairs[first] & 0xFFFFFFFF, pairs[first] >> 32
+                learned = ~out[a:b][doc]
+                np.add.at(counts, used[learned] * classes + kind[a:b][doc[learned]], times[learned])
+                lengths = np.bincount(doc, minlength=b - a)
+                new = np.flatnonzero(np.diff(doc, prepend=-1))
+                steps = np.diff(used, prepend=0)  # small numbers, so that few bytes move
+                steps[new] = used[new]
+                yield rows(0, b - a, doc_id=ids[a:b], held_out=pa.array(out[a:b]), n=pa.array(n[a:b] + 1), class_no=pa.array(kind[a:b].astype(np.int32)),
+                    ids=_planes(steps, lengths), times=_planes(times, lengths))
+            counts = counts.reshape(-1, classes)
             for at in range(0, len(own), 50_000):
-                part = own[at : at + 50_000]
-                yield rows(1, len(part), idx=pa.array(np.arange(at, at + len(part), dtype=np.int32)), word=pa.array(part, type=pa.binary()), **{f"n{k}": pa.array(counts[at : at + len(part), k]) for k in range(classes)})
+                part = own[at : at + 50_000].cast(pa.binary())
+                yield rows(1, len(part), idx=pa.array(np.arange(at, at + len(part), dtype=np.int32)), word=part, **{f"n{k}": pa.array(counts[at : at + len(part), k]) for k in range(classes)})
 
         for batch in batches:
-            ids, held, n, own, times, kind = [], [], [], [], [], []
-            for doc_id, text, k in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                ws = ascii_words(text)
-                got = np.fromiter((number.setdefault(w, len(number)) for w in ws), dtype=np.int64, count=len(ws))
-                u, c = np.unique(got, return_counts=True)
-                out = held_out(doc_id)
-                if len(number) > len(counts):
-                    counts = np.concatenate((counts, np.zeros((max(len(number), 2 * len(counts)) - len(counts), classes), dtype=np.int64)))
-                if not out:
-                    counts[u, k] += c
-                tokens += len(ws) + 1
-                for col, v in zip((ids, held, n, own, times, kind), (doc_id, out, len(ws) + 1, u.astype("<u4").tobytes(), c.astype("<u4").tobytes(), k), strict=True):
-                    col.append(v)
-            if ids:
-                yield rows(0, len(ids), doc_id=pa.array(ids, type=pa.int64()), held_out=pa.array(held), n=pa.array(n, type=pa.int64()), class_no=pa.array(kind, type=pa.int32()), ids=pa.array(own, type=pa.binary()), times=pa.array(times, type=pa.binary()))
-            if tokens >= BLOCK_TOKENS:
-                yield from words()
-                block, tokens, number, counts = block + 1, 0, {}, np.zeros((0, classes), dtype=np.int64)
-        yield from words()
+            n, sizes, data = _words(batch.column(1))
+            if batch.num_rows:
+                ids = batch.column(0).to_pylist()
+                held.append((ids, np.array([held_out(i) for i in ids]), batch.column(2).to_numpy().copy(), n, sizes, data))
+            tokens, size = tokens + len(sizes) + len(n), size + len(data)
+            if tokens >= BLOCK_TOKENS or size >= BLOCK_BYTES:
+                yield from rest()
+                block, tokens, size = block + 1, 0, 0
+        if held:
+            yield from rest()
 
     kinds = [("kind", pa.int8()), ("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n", pa.int64()), ("class_no", pa.int32()), ("ids", pa.binary()), ("times", pa.binary()), ("idx", pa.int32()), ("word", pa.binary())]
     kinds += [(f"n{k}", pa.int64()) for k in range(classes)]
     schema = "kind byte, block long, doc_id long, held_out boolean, n long, class_no int, ids binary, times binary, idx int, word binary, " + ", ".join(f"n{k} long" for k in range(classes))
-    return written(map_batches(docs, run, schema), "blocks")
+    return written(map_batches(docs, run, schema), "blocks", "zstd")
 
 
 @dataclass
@@ -365,10 +443,8 @@ def fit(types: DataFrame, ends: list[int], pieces: Pieces, rounds: int = ROUNDS,
             lattice, made = Lattice(pieces), np.zeros((n, len(pieces.strings)))
             for batch in gathered(batches):
                 words = batch.column(0).to_pylist()
-                for k in range(n):
-                    live = np.flatnonzero(batch.column(k + 1).to_numpy(zero_copy_only=False))
-                    if len(live):
-                        made[k] += lattice.expected([words[i] for i in live], now[k])
+                at, k = np.nonzero(np.stack([batch.column(1 + k).to_numpy(zero_copy_only=False) for k in range(n)], axis=1))
+                made += lattice.expected([words[i] for i in at.tolist()], now, k)
             k, at = np.nonzero(made)
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(at), pa.array(made[k, at])], names=["k", "piece", "x"])
 
@@ -400,7 +476,7 @@ def score_documents(docs: DataFrame, model_file: str, class_col: str | None = "l
     blocks = _blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), number.cast("int").alias("class_no")), n)
     got = {r["class_no"]: r["n"] for r in blocks.where("kind = 0 AND NOT held_out").groupBy("class_no").agg(F.count(F.lit(1)).alias("n")).collect()}
     words = blocks.where("kind = 1")
-    types = written(words.groupBy("word").agg(*[F.sum(f"n{k}").alias(f"c{k}") for k in range(n)]), "words")
+    types = written(words.groupBy("word").agg(*[F.sum(f"n{k}").alias(f"c{k}") for k in range(n)]), "words", "zstd")
     model = fit(types, [got.get(k, 0) for k in range(n)], read_pieces(model_file), arcs=arcs)
     weights = [c.logp for c in model.classes]
 
@@ -415,28 +491,32 @@ def score_documents(docs: DataFrame, model_file: str, class_col: str | None = "l
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(all_c), pa.array([r.tobytes() for r in lp], type=pa.binary())], names=["word", "c", "lp"])
 
     # written, so that both sides of the join below are plain exchanges: a word that all blocks hold can be split
-    priced = written(map_batches(types.select("word", *[f"c{k}" for k in range(n)]), price, "word binary, c long, lp binary"), "priced")
+    priced = written(map_batches(types.select("word", *[f"c{k}" for k in range(n)]), price, "word binary, c long, lp binary"), "priced", "zstd")
+    discard(types)
     priced = words.select(F.col("block").alias("of"), "idx", "word").join(priced, "word").select(F.col("of").alias("block"), "idx", "c", "lp")
     end_score = np.array([math.log10(c.end()) + c.share for c in model.classes])
     end_base, end_known, total = float(model.base_log10(np.array([model.ends]))[0]), int(model.ends > 0), model.words + model.ends
 
     def add_up(doc_rows: pa.Table, word_rows: pa.Table) -> pa.Table:
         idx = word_rows.column("idx").to_numpy()
-        size = int(idx.max()) + 1 if len(idx) else 0
-        lp, base, known = np.zeros((size, n), dtype=np.float32), np.zeros(size), np.zeros(size)
         c = word_rows.column("c").to_numpy()
-        lp[idx] = np.frombuffer(b"".join(word_rows.column("lp").to_pylist()), dtype="<f4").reshape(-1, n)
-        base[idx], known[idx] = model.base_log10(c), c > 0
-        out: list[list] = [[], [], []]
-        for ids, times in zip(doc_rows.column("ids").to_pylist(), doc_rows.column("times").to_pylist(), strict=True):
-            u, t = np.frombuffer(ids, "<u4"), np.frombuffer(times, "<u4")
-            own = t @ lp[u].astype(np.float64) + end_score
-            out[0].append(int(known[u] @ t) + end_known)
-            out[1].append(float(base[u] @ t) + end_base)
-            out[2].append(float(own.max() + math.log10((10.0 ** (own - own.max())).sum())))
-        rows = len(out[0])
-        return pa.table({"doc_id": doc_rows.column("doc_id"), "held_out": doc_rows.column("held_out"), "n_tokens": doc_rows.column("n"), "n_known": pa.array(out[0], type=pa.int64()),
-            "train_tokens": pa.array(np.full(rows, total, dtype=np.int64)), "base_score": pa.array(out[1], type=pa.float64()), "score": pa.array(out[2], type=pa.float64())})
+        of_word = np.zeros((int(idx.max()) + 1 if len(idx) else 0, n + 2))  # a word's scores by class, its base score, whether it is known
+        if len(idx):
+            of_word[idx, :n] = _flat(word_rows.column("lp").combine_chunks())[0].view("<f4").reshape(-1, n)
+            of_word[idx, n], of_word[idx, n + 1] = model.base_log10(c), c > 0
+        rows = doc_rows.num_rows
+        sums = np.zeros((rows, n + 2))
+        for a in range(0, rows, BATCH_ROWS):
+            steps, at = _values(doc_rows.column("ids").slice(a, BATCH_ROWS).combine_chunks())
+            some = np.flatnonzero(np.diff(at))
+            if len(some):
+                times, ids = _values(doc_rows.column("times").slice(a, BATCH_ROWS).combine_chunks())[0], np.cumsum(steps)
+                ids -= np.repeat((ids - steps)[at[some]], np.diff(at)[some])  # steps begin anew in each document
+                sums[a + some] = np.add.reduceat(of_word.take(ids, axis=0) * times[:, None], at[some], axis=0)
+        score = sums[:, :n] + end_score
+        top = score.max(axis=1, initial=-np.inf)
+        return pa.table({"doc_id": doc_rows.column("doc_id"), "held_out": doc_rows.column("held_out"), "n_tokens": doc_rows.column("n"), "n_known": pa.array(np.rint(sums[:, n + 1]).astype(np.int64) + end_known),
+            "train_tokens": pa.array(np.full(rows, total, dtype=np.int64)), "base_score": pa.array(sums[:, n] + end_base), "score": pa.array(top + np.log10((10.0 ** (score - top[:, None])).sum(axis=1)))})
 
     papers = blocks.where("kind = 0").select("block", "doc_id", "held_out", "n", "ids", "times")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

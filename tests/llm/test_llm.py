@@ -8,13 +8,14 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from larkmill.llm import chunks, decontaminate, graph, lattice, licenses, line_dedup, packing, queries, similar, simhash, sketches, token_files, tokens, toxicity
+from larkmill.llm import chunks, common, decontaminate, graph, lattice, licenses, line_dedup, packing, queries, similar, simhash, sketches, token_files, tokens, toxicity
 
 BPE = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, n_lines int, fp string, part int"
@@ -263,6 +264,54 @@ def test_lattice_is_the_sum_over_all_cuts():
     assert abs(sum(x * len(s) for x, s in zip(e, p.strings, strict=True)) - sum(len(w) + 2 for w in words)) < 1e-6
 
 
+def test_lattice_counts_by_set_without_logarithms(monkeypatch):
+    """Expected pieces of words under their own set of weights, by enumeration of all cuts; logarithms are summed only for words whose
+    probabilities may leave the range of doubles (before, for all), with the same result."""
+    strings = sorted([b" a", b"ab", b"ba", b" ab", b"bab", b"bb"] + [bytes([c]) for c in range(256)] + [b" " + bytes([c]) for c in range(256) if c not in b"a"])
+    first, second = (lattice.normalised(strings, np.array([1.0 + (i * f) % 11 for i in range(len(strings))])) for f in (3, 7))
+    tables, where = [first.logp, second.logp], {s: i for i, s in enumerate(strings)}
+
+    def cuts(s):
+        return [[]] if not s else [[where[s[:n]], *rest] for n in range(1, min(4, len(s)) + 1) if s[:n] in where for rest in cuts(s[n:])]
+
+    words, sets = [b"a", b"ab", b"abab", b"babba", "é".encode(), b"ab", b"bbbab"], np.array([0, 1, 1, 0, 1, 0, 1])
+    want = np.zeros((2, len(strings)))
+    for w, k in zip(words, sets, strict=True):
+        found = cuts(b" " + w + b"\n")
+        odds = np.exp([sum(tables[k][i] for i in c) for c in found])
+        for c, x in zip(found, odds / odds.sum(), strict=True):
+            np.add.at(want[k], c, x)
+    model = lattice.Lattice(first)
+    long = [b"ab" * 40, bytes([255]) * 96, b"a" * 300]
+    slow, slow_logs = (f() for f in (lambda: model.expected(long, tables, np.array([0, 1, 1])), lambda: model.log_probs(long[:2], tables)))
+    with monkeypatch.context() as m:
+        m.setattr(lattice, "RANGE", 0)
+        on_logs, logs = model.expected(words, tables, sets), model.log_probs(words, tables)
+        assert np.allclose(model.expected(long, tables, np.array([0, 1, 1])), slow) and np.allclose(model.log_probs(long[:2], tables), slow_logs)
+
+    def never(*args, **kwargs):
+        raise AssertionError("a sum on logarithms")
+
+    monkeypatch.setattr(np, "logaddexp", never)
+    assert np.allclose(model.expected(words, tables, sets), want) and np.allclose(on_logs, want) and np.allclose(model.log_probs(words, tables), logs)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet="aBÉ日 \n\t\x0b\x0c\r\x1c\x85\u2003", max_size=12), max_size=6))
+def test_lattice_words_of_many_texts(texts):
+    n, sizes, data = lattice._words(pa.array(["x y", *texts, "z"]).slice(1, len(texts)))
+    words = [common.ascii_words(t) for t in texts]
+    assert n.tolist() == [len(w) for w in words] and sizes.tolist() == [len(w) for ws in words for w in ws] and data.tobytes() == b"".join(w for ws in words for w in ws)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=5), max_size=6))
+def test_lattice_planes_round_trip(rows):
+    column = lattice._planes(np.array([x for r in rows for x in r], dtype=np.int64), np.array([len(r) for r in rows], dtype=np.int64))
+    values, at = lattice._values(column)
+    assert [values[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == rows
+
+
 def test_op4(spark, sf, docs):
     rows = {r["doc_id"]: r for r in queries.op4_lattice_score(spark, sf).collect()}
     split = {i: t.encode().lower().split() + [None] for i, t in docs}
