@@ -1,11 +1,11 @@
 """Language-model scores by a subword lattice.
 
-A word's probability is the sum over all ways to cut it into pieces of an existing vocabulary, each way weighing the product of its
-pieces' probabilities; a forward recursion gives the sum, on scaled probabilities where these can't leave the range of doubles, else on
-logarithms. The pieces' probabilities are learned from the training words by expectation-maximisation over the same lattice. Each training word is also an arc of its own: absolute discounting takes a little
-from every seen word and gives it to the lattice, which so spells unseen words. A document's probability is further summed over a few
-classes (languages, as training documents name them; a scored document's own is not looked at), each with its own pieces and words.
-The probabilities of all words and of the end sum to one at most.
+A word's probability is the sum over all ways to cut it into pieces of an existing vocabulary, each way weighing the product of its pieces'
+probabilities; a forward recursion gives the sum, on scaled probabilities where these can't leave the range of doubles, else on logarithms.
+The pieces' probabilities are learned from the training words by expectation-maximisation over the same lattice. Each training word is also
+an arc of its own: absolute discounting takes a little from every seen word and gives it to the lattice, which so spells unseen words. A
+document's probability is further summed over a few classes (languages, as training documents name them; a scored document's own is not
+looked at), each with its own pieces and words. The probabilities of all words and of the end sum to one at most.
 
 Words travel as (block, number) pairs: a block of documents numbers its own words, word counts meet by word, and come back to the
 block; no task holds the whole vocabulary, and each word is priced once."""
@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import BATCH_ROWS, discard, gathered, map_batches, text_of, written
 
-#: Tokens of a block, and bytes of its words; with them its dictionary is bounded. Its documents are counted by PART_TOKENS. Words longer than LONG bytes are scored one at a time, and learned from in
-#: stretches of so many bytes. ROUNDS of expectation-maximisation, and CLASSES (the last takes all names but the commonest).
+#: Tokens of a block, and bytes of its words; with them its dictionary is bounded. Its documents are counted by PART_TOKENS. Words longer
+#: than LONG bytes are scored one at a time, and learned from in stretches of so many bytes. ROUNDS of expectation-maximisation, and
+#: CLASSES (the last takes all names but the commonest).
 BLOCK_TOKENS, BLOCK_BYTES, PART_TOKENS, LONG, ROUNDS, CLASSES = 4_000_000, 1 << 26, 1 << 18, 96, 3, 5
 _START, _STOP = b" ", b"\n"  # neither occurs in a word
 _STRETCH = 1 << 14
@@ -98,7 +99,8 @@ class Arcs:
 
 class Lattice:
     """Log-probabilities and expected piece counts of many words at once: pieces are found by walking down a tree of their bytes from all
-    places, then sums go from level to level, for all words together."""
+    places, then sums go from level to level, for all words together. Every single byte must be a piece (as read_pieces sees to), and a blank
+    stands at a piece's beginning only."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
@@ -327,8 +329,8 @@ def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(docs: DataFrame, classes: int) -> DataFrame:
-    """Two kinds of rows. kind 0, a document: its words' numbers in its block (steps from one to the next) and how often each occurs, its length and class. kind 1,
-    a word of a block: its number and its training counts there, one for each class."""
+    """Two kinds of rows. kind 0, a document: its words' numbers in its block (ascending, as steps from one to the next) and how often each
+    occurs, its length and class. kind 1, a word of a block: its number and its training counts there, one for each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, tokens, size = TaskContext.get().partitionId() << 24, 0, 0
