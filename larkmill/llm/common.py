@@ -100,17 +100,18 @@ def _trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def gathered(batches: Iterator[pa.RecordBatch], rows: int = 65_536) -> Iterator[pa.RecordBatch]:
-    """Batches of short rows put together to about `rows` rows, for work that is cheap by the thousand."""
-    held, n = [], 0
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 65_536, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about `rows` rows or `size` bytes, for work that is cheap by the thousand."""
+    held, n, nbytes = [], 0, 0
     for batch in batches:
         held.append(batch)
         n += batch.num_rows
-        if n >= rows:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, n = [], 0
+        nbytes += batch.nbytes if size else 0
+        if n >= rows or size and nbytes >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n, nbytes = [], 0, 0
     if n:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def ascii_lower(col: Column) -> Column:

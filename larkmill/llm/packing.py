@@ -100,18 +100,20 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0,
     (part, length) they were counted in. Ids are little-endian unsigned 32-bit integers. Null text: the end id alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer).encode, int(end_id).to_bytes(4, "little")
+        encode, end = encoder(tokenizer).encode_all, int(end_id).to_bytes(4, "little")
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
             cols: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text) + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    n = len(own) // 4
-                    for col, v in zip(cols, (doc_id, piece, at // 4, n, own, int(seen[n])), strict=True):
+            values, counts = encode(batch.column(1), end)
+            first = 0
+            for doc_id, count in zip(batch.column(0).to_pylist(), counts.tolist(), strict=True):
+                for piece, at in enumerate(range(0, count, capacity)):
+                    n = min(capacity, count - at)
+                    own = values[first + at : first + at + n].tobytes()
+                    for col, v in zip(cols, (doc_id, piece, at, n, own, int(seen[n])), strict=True):
                         col.append(v)
                     seen[n] += 1
+                first += count
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
             a = [pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)]
             a.insert(5, pa.array(np.full(len(cols[0]), part, dtype=np.int32)))

@@ -17,12 +17,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, scratch_path, text_of, written
+from .common import gathered, map_batches, scratch_path, text_of, written
 from .tokens import encoder
 
 MAGIC = b"LKTOKEN1"
 #: Bytes of text in a range of ids, and the most ranges (their bounds are held on the driver).
 RANGE_BYTES, MOST_RANGES = 16_000_000, 20_000
+#: Bytes of text that are encoded together: the more, the fewer look-ups of words, and the more memory.
+TEXT_BYTES = 8_000_000
 #: Value lengths of each control byte, and their sum.
 LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], dtype=np.uint8)
 
@@ -40,16 +42,12 @@ def pack_values(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def unpack_values(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
-    """The n values again: a table gives each control byte's four lengths, their running sum the places of the bytes."""
-    size = LENGTHS[control].reshape(-1)[:n].astype(np.int64)
-    at = np.cumsum(size) - size
-    out = data[at].astype(np.uint32)
-    for k in range(1, 4):
-        more = np.flatnonzero(size > k)
-        if not len(more):
-            break
-        out[more] |= data[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
-    return out
+    """The n values again: a table gives each control byte's four lengths, by which the bytes are laid into rows of two or four."""
+    size = LENGTHS[control].reshape(-1)[:n]
+    width = 2 if n and size.max() <= 2 else 4
+    out = np.zeros((n, width), dtype=np.uint8)
+    out[np.arange(width, dtype=np.uint8) < size[:, None]] = data
+    return out.view(f"<u{width}").reshape(-1).astype("<u4", copy=False)
 
 
 def file_bytes(doc_ids: list, starts: np.ndarray, counts: np.ndarray, ranks: np.ndarray) -> bytes:
@@ -111,16 +109,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def draft(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = pafs.FileSystem.from_uri(path)
-        encode, end = encoder(tokenizer).encode, int(end_id).to_bytes(4, "little")
-        part, seq, held, ids, blobs, begun = TaskContext.get().partitionId(), 0, 0, [], [], 0
+        encode, end = encoder(tokenizer).encode_all, int(end_id).to_bytes(4, "little")
+        part, seq, held, ids, lengths, runs, begun = TaskContext.get().partitionId(), 0, 0, [], [], [], 0
         total = np.zeros(0, dtype=np.int64)
 
         def flush() -> list[tuple]:
-            nonlocal seq, held, ids, blobs, begun, total
+            nonlocal seq, held, ids, lengths, runs, begun, total
             if not ids:
                 return []
-            counts = np.array([len(b) // 4 for b in blobs], dtype=np.int64)
-            values = np.frombuffer(b"".join(blobs), dtype="<u4")
+            counts, values = np.concatenate(lengths), np.concatenate(runs)
             name = f"{part:08d}-{seq:06d}"
             _put(store, base, f"{name}.draft", draft_bytes(ids, begun + np.cumsum(counts) - counts, counts, values))
             got = np.bincount(values, minlength=len(total))
@@ -128,18 +125,21 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             total = got
             row = (part, name, len(ids), int(counts.sum()))
             begun += row[3]
-            seq, held, ids, blobs = seq + 1, 0, [], []
+            seq, held, ids, lengths, runs = seq + 1, 0, [], [], []
             return [row]
 
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+        for batch in gathered(batches, size=TEXT_BYTES):
+            values, counts = encode(batch.column(1), end)
+            own, ends, rows, at = batch.column(0).to_pylist(), np.cumsum(counts), [], 0
+            while at < len(own):
+                before = int(ends[at] - counts[at])
+                to = min(len(own), at + 1 + int(np.searchsorted(ends[at:], before + shard_tokens - held)))
+                ids += own[at:to]
+                lengths.append(counts[at:to])
+                runs.append(values[before : ends[to - 1]])
+                held, at = held + int(ends[to - 1]) - before, to
                 if held >= shard_tokens:
                     rows += flush()
-                blob = encode(text) + end
-                ids.append(doc_id)
-                blobs.append(blob)
-                held += len(blob) // 4
             yield _manifest(rows)
         yield _manifest(flush())
         yield _manifest([(-1 - int(i), None, 0, int(total[i])) for i in np.flatnonzero(total)])
@@ -166,7 +166,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                     store.delete_file(f"{base}/{name}.draft")
             yield batch
 
-    written(map_batches(manifest.select("file").repartition(4 * n), recode, "file string"), "recoded")
+    written(map_batches(manifest.select("file").repartition(n), recode, "file string"), "recoded")
     return manifest
 
 
