@@ -26,6 +26,10 @@ from .sums import added, packed
 UNIT = float(1 << 26)
 #: Rounds after which the predictions so far are written with the rows, so that a pass walks few trees.
 STORED = 10
+#: Combinations of bins up to which rows of equal bins are summed once, and rounds that are grown from those sums before one pass finds their errors.
+CELLS, AHEAD = 1 << 17, 50
+#: Cells in one row of their sums.
+CELL_BLOCK = 4096
 
 
 #: Steps of the summed errors.
@@ -39,6 +43,18 @@ def _errors(y: np.ndarray, p: np.ndarray, metric: str) -> np.ndarray:
     return 100 * np.abs(p - y) / ((np.abs(y) + np.abs(p)) / 2 + 1e-8)
 
 
+def _grid(width: int, n_features: int) -> np.ndarray:
+    """The bins of every cell, in order of their numbers."""
+    return np.indices((width,) * n_features).reshape(n_features, -1).T.astype(np.uint8 if width <= 256 else np.uint16)
+
+
+def _cells(bins: np.ndarray, width: int) -> np.ndarray:
+    at = np.zeros(len(bins), dtype=np.int64)
+    for own in bins.T:
+        at = at * width + own
+    return at
+
+
 class StoppedFit(RuntimeError):
     """A fit that its caller ended; its snapshots are there."""
 
@@ -162,6 +178,8 @@ class HistogramBooster:
         if snapshots:
             self._resume(spark, snapshots)
         table = self._binned(whole, y)
+        if s["objective"] == "squared" and self._has_cells():
+            return self._fit_by_cells(table, max(float(stats["most"] - stats["least"]), 1e-12), snapshots, every, keep, stop)
         stored = 0
         best = min(range(len(self.history)), key=self.history.__getitem__, default=-1)
         while True:
@@ -178,13 +196,113 @@ class HistogramBooster:
                     raise StoppedFit(n)
             if n >= s["rounds"] or best >= 0 and n - 1 - best >= s["patience"]:
                 break
-            self.trees.append(self._grow(table, stored, first))
+            self.trees.append(self._grow(first, lambda tree, nodes: self._histograms(table, stored, tree, nodes)[0]))
             if (n + 1) % STORED == 0:
                 table, stored = self._advanced(table, stored), n + 1
         self.best_round = best + 1
         self.trees = self.trees[: self.best_round]
         return self
 
+    def _has_cells(self) -> bool:
+        return self.binner.width ** len(self.binner.features) <= CELLS
+
+    def _fit_by_cells(self, table: DataFrame, scale: float, snapshots: str | None, every: int, keep: int, stop: Callable[[int], bool] | None) -> "HistogramBooster":
+        """Under the squared loss, a tree is a function of the rows and the sum of targets in each cell (rows of equal bins), so trees grow on
+        the driver from one pass's sums, AHEAD of them before a pass over the rows finds the error after each. Trees past the stop go."""
+        spark, s = table.sparkSession, self.settings
+        rows, targets, any_held = self._cell_sums(table, scale)
+        grid = _grid(self.binner.width, len(self.binner.features))
+        p = np.full(len(grid), self.start)
+        for tree in self.trees:
+            p += tree.predict(grid)
+        best = min(range(len(self.history)), key=self.history.__getitem__, default=-1)
+        done = lambda: len(self.trees) >= s["rounds"] or best >= 0 and len(self.trees) - 1 - best >= s["patience"]
+        while not done():
+            kept, base, grown = (self.gains, self.uses), p.copy(), []
+            for _ in range(min(AHEAD, s["rounds"] - len(self.trees))):
+                self.gains, self.uses = [*self.gains], [*self.uses]
+                slopes = np.rint((rows * (p - self.start) - targets / UNIT * scale) / self.bound * UNIT)
+                histograms = lambda tree, nodes, g=slopes: self._cell_histograms(grid, g, rows, tree, nodes)
+                tree = self._grow(histograms(Tree(), [0]), histograms)
+                p += tree.predict(grid)
+                grown.append((tree, self.gains, self.uses))
+            self.gains, self.uses = kept
+            errors = self._errors_ahead(table.where("held") if any_held else table, base, [x[0] for x in grown])
+            for (tree, self.gains, self.uses), error in zip(grown, errors, strict=True):
+                self.trees.append(tree)
+                self.history.append(error)
+                n = len(self.trees)
+                if best < 0 or error < self.history[best]:
+                    best = n - 1
+                if snapshots and n % every == 0:
+                    self._snapshot(spark, snapshots, keep)
+                if stop and stop(n):
+                    raise StoppedFit(n)
+                if done():
+                    break
+        self.best_round = best + 1
+        self.trees = self.trees[: self.best_round]
+        return self
+
+    def _cell_sums(self, table: DataFrame, scale: float) -> tuple[np.ndarray, np.ndarray, bool]:
+        """(fitted rows, sum of their targets less the start as whole steps of UNIT of scale) by cell; whether there are held rows."""
+        width, start, read = self.binner.width, self.start, self._bins
+        n_cells = width ** len(self.binner.features)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, held_rows = np.zeros((n_cells, 2), dtype=np.int64), 0
+            for batch in batches:
+                held = batch.column(2).to_numpy(zero_copy_only=False)
+                at, y = _cells(read(batch.column(0)), width)[~held], batch.column(1).to_numpy()[~held]
+                total[:, 0] += np.bincount(at, minlength=n_cells)
+                total[:, 1] += np.bincount(at, np.rint((y - start) / scale * UNIT), n_cells).astype(np.int64)
+                held_rows += int(held.sum())
+            yield packed(-1, np.array([held_rows]))
+            for first in range(0, n_cells, CELL_BLOCK):
+                if total[first : first + CELL_BLOCK, 0].any():
+                    yield packed(first, total[first : first + CELL_BLOCK])
+
+        found = {r["key"]: np.frombuffer(bytes(r["values"]), np.int64) for r in added(table.mapInArrow(run, "key int, values binary"), "<i8").collect()}  # two numbers for each cell
+        held_rows = found.pop(-1)[0]
+        total = np.zeros((n_cells, 2), dtype=np.int64)
+        for first, x in found.items():
+            total[first : first + CELL_BLOCK] = x.reshape(-1, 2)
+        return total[:, 0], total[:, 1], bool(held_rows)
+
+    def _cell_histograms(self, grid: np.ndarray, slopes: np.ndarray, rows: np.ndarray, tree: Tree, nodes: list[int]) -> dict[int, np.ndarray]:
+        width = self.binner.width
+        lookup = np.full(len(tree.feature), -1)
+        lookup[nodes] = range(len(nodes))
+        own = lookup[tree.nodes(grid)]
+        here = np.flatnonzero((own >= 0) & (rows > 0))
+        total = np.zeros((len(nodes), grid.shape[1], width, 3), dtype=np.int64)
+        for f in range(grid.shape[1]):
+            at = own[here] * width + grid[here, f]
+            for k, w in ((0, slopes[here]), (2, rows[here])):
+                total[:, f, :, k] = np.bincount(at, w, len(nodes) * width).reshape(len(nodes), width)
+        total[..., 1] = total[..., 2] * int(UNIT)
+        return {node: total[i] for i, node in enumerate(nodes) if total[i].any()}
+
+    def _errors_ahead(self, table: DataFrame, base: np.ndarray, trees: list[Tree]) -> list[float]:
+        """Mean error of the rows after each of the trees that follow on the cells' predictions so far."""
+        width, n_features, metric, read = self.binner.width, len(self.binner.features), self.settings["metric"], self._bins
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            grid = _grid(width, n_features)
+            steps = [t.predict(grid) for t in trees]
+            errors = np.zeros(len(trees) + 1)
+            for batch in batches:
+                at, y = _cells(read(batch.column(0)), width), batch.column(1).to_numpy()
+                p = base[at]
+                errors[-1] += len(y) * ERROR_UNIT
+                for i, step in enumerate(steps):
+                    p += step[at]
+                    errors[i] += np.rint(_errors(y, p, metric) * ERROR_UNIT).sum()
+            yield packed(0, errors.astype(np.int64))
+
+        total = np.frombuffer(bytes(added(table.mapInArrow(run, "key int, values binary"), "<i8", 1).collect()[0]["values"]), np.int64)  # a number for each tree
+        return [float(e / total[-1]) for e in total[:-1]]
+
     def _binned(self, whole: DataFrame, y: Column) -> DataFrame:
         binner, start = self.binner, self.start
 
@@ -204,9 +322,10 @@ class HistogramBooster:
             p += tree.predict(bins)
         return bins, batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False), p
 
-    def _bins(self, packed: pa.Array) -> np.ndarray:
-        kind = np.uint8 if self.binner.width <= 256 else np.uint16
-        return np.frombuffer(b"".join(packed.to_pylist()), kind).reshape(len(packed), len(self.binner.features))
+    @property
+    def _bins(self) -> Callable[[pa.Array], np.ndarray]:
+        kind, n_features = np.uint8 if self.binner.width <= 256 else np.uint16, len(self.binner.features)
+        return lambda packed: np.frombuffer(b"".join(packed.to_pylist()), kind).reshape(len(packed), n_features)
 
     def _slopes(self, y: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradient and curvature as whole steps of UNIT; gradients are scaled by their bound."""
@@ -218,13 +337,13 @@ class HistogramBooster:
             g, h = r, np.ones_like(r)
         return np.rint(np.clip(g / self.bound, -1, 1) * UNIT), np.rint(h * UNIT)
 
-    def _grow(self, table: DataFrame, stored: int, first: dict[int, np.ndarray]) -> Tree:
+    def _grow(self, first: dict[int, np.ndarray], histograms: Callable[[Tree, list[int]], dict[int, np.ndarray]]) -> Tree:
         s, tree = self.settings, Tree()
         bounds = {0: (-math.inf, math.inf)}
         for level in range(s["depth"]):
             if not bounds:
                 break
-            sums = first if level == 0 else self._histograms(table, stored, tree, sorted(bounds))[0]
+            sums = first if level == 0 else histograms(tree, sorted(bounds))
             after: dict[int, tuple[float, float]] = {}
             for node, hist in sums.items():
                 if level == 0:
@@ -312,12 +431,18 @@ class HistogramBooster:
     def column(self, floor: float | None = 0.0) -> Column:
         """Predictions from the feature columns, not under the floor."""
         binner, trees, start = self.binner, self.trees, self.start
+        by_cell, width = None, binner.width
+        if len(trees) > STORED and self._has_cells():  # the trees are walked once for each cell, not for each row
+            grid = _grid(width, len(binner.features))
+            by_cell, trees = np.full(len(grid), start), []
+            for tree in self.trees:
+                by_cell += tree.predict(grid)
 
         @F.pandas_udf("double")
         def run(*columns: pd.Series) -> pd.Series:
             arrays = [pa.Array.from_pandas(c, type=pa.string() if name in binner.categories else pa.float64()) for name, c in zip(binner.features, columns, strict=True)]
             bins = binner.bins(arrays)
-            p = np.full(len(bins), start)
+            p = np.full(len(bins), start) if by_cell is None else by_cell[_cells(bins, width)]
             for tree in trees:
                 p += tree.predict(bins)
             return pd.Series(p if floor is None else np.maximum(p, floor))

@@ -389,7 +389,7 @@ def b06(s, d):
 @query("e01_stack")
 def e01(s, d):
     """500 rounds at most, stopped after 50 without a lower error of the held fifth."""
-    rows = written(_pred(s, d), "stack").withColumn("held", splits.bucket(F.col("p_partkey"), 5) == 0)
+    rows = written(relate.dealt(_pred(s, d), "p_partkey", 100_000), "stack").withColumn("held", splits.bucket(F.col("p_partkey"), 5) == 0)
     model = models.fit_stack(rows.where("NOT held"), ["a", "b"], "y", rows.where("held"), rate=0.3, depth=2, bins=255)
     return model.transform(rows, "price", 0.01).select("p_partkey", "price")
 

@@ -540,3 +540,26 @@ def test_sample_files_are_listed_at_once(spark, sf):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert got == spark.read.parquet(f"{sf}/embeddings.parquet").count() > 32
     assert jobs <= 3, jobs
+
+
+def test_stacked_trees_grow_from_sums_of_cells(spark, monkeypatch):
+    """e01_stack: each tree took two passes over the rows, a thousand in all. Rows of equal bins are summed once; the trees are those of passes over
+    the rows, with and without held rows, and a stop ends at the same round."""
+    h = lambda k: F.pmod(F.hash("id", F.lit(k)), F.lit(1000)) / 1000.0
+    rows = spark.range(0, 3000, 1, 3).select("id", (h(1) * 50).alias("a"), F.when(h(2) > 0.05, h(2) * 20).alias("b"), h(3).alias("noise")).withColumn("y", F.col("a") + F.coalesce("b", F.lit(30.0)) + 8 * F.col("noise"))
+    train, held = rows.where("id % 4 > 0"), rows.where("id % 4 = 0")
+    tracker, made = spark.sparkContext.statusTracker(), {}
+    monkeypatch.setattr(boosting, "AHEAD", 4)
+    for cells in (boosting.CELLS, 0):
+        monkeypatch.setattr(boosting, "CELLS", cells)
+        spark.sparkContext.setJobGroup(f"stack-{cells}", "")
+        try:
+            own = [models.fit_stack(train, ["a", "b"], "y", h_, rounds=9, patience=1, rate=1.0, depth=2, bins=20) for h_ in (held, held.where("false"))]
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        made[bool(cells)] = own, [m.transform(rows, "p").orderBy("id").toPandas()["p"].to_numpy() for m in own], len(tracker.getJobIdsForGroup(f"stack-{cells}"))
+    (new, p_new, jobs), (old, p_old, many) = made[True], made[False]
+    assert jobs <= many - 20, (jobs, many)
+    for a, b, x, y in zip(new, old, p_new, p_old, strict=True):
+        assert len(a.history) == len(b.history) and a.best_round == b.best_round == len(a.trees) and np.allclose(a.history, b.history, rtol=1e-6) and a.uses == b.uses
+        assert np.allclose(x, y, rtol=1e-6) and [(t.feature, t.bin) for t in a.trees] == [(t.feature, t.bin) for t in b.trees]
