@@ -244,3 +244,23 @@ def test_resolve_k():
     assert (cluster.resolve_k(7, 9), cluster.resolve_k(None, 9), cluster.resolve_k(), cluster.resolve_k(None, None, 3)) == (7, 9, 500, 3)
     with pytest.raises(ValueError):
         cluster.resolve_k(0)
+
+
+def test_word_weights_stay_where_texts_are_counted(spark, tmp_path):
+    """t01_word_tfidf, t01_word_tfidf_all: every word and pair of every text was exploded, joined and moved. Weights equal those of the long way, also for
+    a key that comes twice or is null, texts without words, and a vocabulary that is joined instead of held."""
+    from larkmill.operators import tfidf
+
+    rows = [(1, "le soir le soir"), (1, "soir d'été au lac"), (None, "au lac le soir"), (2, "le lac"), (3, None), (4, ""), (5, "x y"), (None, "un soir"), (6, "Le LAC au soir soir soir")]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    tf = tfidf.counts(docs.repartition(2, "id"), "id", tfidf.word_terms(F.col("text")))
+    for size in (None, 4):
+        want = {(r["id"], r["term"]): r["weight"] for r in tfidf.transform(tf, tfidf.fit(tf, len(rows), 2, 0.98, size), "id").collect()}
+        for held in (tfidf.HELD, 0):
+            got = tfidf.word_weights(docs, "id", "text", len(rows), 2, 0.98, size, 4, held)
+            assert got.count() == len(want) > 8
+            assert all(abs(r["weight"] - want[r["id"], r["term"]]) < 1e-12 for r in got.collect())
+    assert tfidf.word_weights(docs.where("false"), "id", "text", 0, 2, 0.98).count() == 0
+    docs.select(F.col("id").alias("doc_id"), "text").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = workload.QUERIES["t01_word_tfidf_all"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Generate|Window|Join", plan), plan
