@@ -226,22 +226,30 @@ def _matching(store: pafs.FileSystem, pattern: str, seen: dict[tuple[str, int],
     return [f for f in seen[at].get(end, []) if fnmatch.fnmatchcase(f.base_name, name)]
 
 
-#: Tasks before archives share one.
-APART = 200
+#: Tasks before archives share one, and tasks in all: each costs the driver memory for what it reads and for its result.
+APART, TASKS = 200, 2000
 
 
-def bundled(stretches: list[Stretch], most: int, apart: int = APART) -> list[Bundle]:
-    """Neighbours together, `most` bytes at most if there are several, where there are more than `apart` of them; `apart` bundles at least stay."""
+def bundled(stretches: list[Stretch], most: int, apart: int = APART, tasks: int = TASKS) -> list[Bundle]:
+    """Neighbours together, `most` bytes at most if there are several, where there are more than `apart` of them; `apart` bundles at least stay. Of
+    very many stretches, more bytes go to a task, so that about `tasks` are left, twice as many at most; neighbours in an archive become one stretch."""
     if len(stretches) <= apart:
         return [Bundle([x]) for x in stretches]
-    most = min(most, sum(x.end - x.start for x in stretches) // apart)
+    whole = sum(x.end - x.start for x in stretches)
+    most = min(most, whole // apart)
+    if len(stretches) > tasks:
+        most = max(most, whole // tasks)
     out, size = [], 0
     for x in stretches:
         if not out or size + x.end - x.start > most:
             out.append(Bundle([]))
             size = 0
-        out[-1].stretches.append(x)
         size += x.end - x.start
+        own = out[-1].stretches
+        if own and own[-1].path == x.path and own[-1].end == x.start:
+            own[-1] = Stretch(x.path, own[-1].start, x.end)
+        else:
+            own.append(x)
     return out
 
 

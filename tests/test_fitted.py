@@ -563,3 +563,20 @@ def test_stacked_trees_grow_from_sums_of_cells(spark, monkeypatch):
     for a, b, x, y in zip(new, old, p_new, p_old, strict=True):
         assert len(a.history) == len(b.history) and a.best_round == b.best_round == len(a.trees) and np.allclose(a.history, b.history, rtol=1e-6) and a.uses == b.uses
         assert np.allclose(x, y, rtol=1e-6) and [(t.feature, t.bin) for t in a.trees] == [(t.feature, t.bin) for t in b.trees]
+
+
+def test_very_many_stretches_share_tasks(spark, tmp_path):
+    """s11_split_archive: at 6 GB, 190,000 stretches of 64 kB were a task each, whose results and descriptions the driver had to hold."""
+    many = [readers.Stretch(f"a-{i // 4000}", i % 4000 * 65_600, (i % 4000 + 1) * 65_600) for i in range(190_000)]
+    made = readers.bundled(many, 64 << 10)
+    assert 1500 <= len(made) <= 2200 and max(len(b.stretches) for b in made) <= 2
+    flat = [x for b in made for x in b.stretches]
+    ends = [(x.path, x.start, x.end) for x in flat]
+    assert ends[0][1] == 0 and all(a == b if p == q else b == 0 for (p, _, a), (q, b, _) in zip(ends, ends[1:], strict=False)) and sum(x.end - x.start for x in flat) == 190_000 * 65_600
+    rows = spark.range(400).select(F.col("id").cast("string").alias("key"), F.create_map(F.lit("txt"), F.repeat(F.lit("x"), F.col("id").cast("int")).cast("binary")).alias("parts"))
+    spark.dataSource.register(TarShards)
+    rows.coalesce(2).write.format("tarshards").option("path", str(tmp_path / "out")).option("per_shard", "1000").mode("append").save()
+    reader = readers.TarReader(f"{tmp_path}/out/*.tar", 512)
+    cut = [x for b in reader.partitions() for x in b.stretches]
+    got = [(k, len(p["txt"])) for b in readers.bundled(cut, 512, 3, 5) for _, k, p in reader.read(b)]
+    assert len(cut) > 20 and len(readers.bundled(cut, 512, 3, 5)) <= 7 and sorted(got) == sorted((str(i), i) for i in range(400))
