@@ -183,25 +183,35 @@ def c03(s, d):
     return s.createDataFrame(rows, "n_given int, k int")
 
 
-def _term_blocks(s, d, train):
-    """Word and character weights of the catalog, fitted on the training rows, with their vocabularies."""
-    docs = catalog(s, d).select("p_partkey", "text")
-    n = docs.where(train).count()
+def _equal_texts(s, d, train):
+    """(p_partkey, texts), and for each different value of texts: id (its least p_partkey), texts, and times, its training rows."""
+    docs = catalog(s, d).groupBy("p_partkey").agg(F.sort_array(F.collect_list("text")).alias("texts"))  # one text, unless a key is repeated
+    return docs, written(docs.groupBy("texts").agg(F.min("p_partkey").alias("id"), F.count(F.when(F.expr(train), 1)).alias("times")), "texts")
+
+
+def _term_blocks(s, d, train, own):
+    """Word and character weights of the catalog's different texts, fitted on the training rows, with their vocabularies."""
+    n = table(s, d, "part").where(train).count()
+    docs = own.select("id", "times", F.explode("texts").alias("text"))
     blocks = []
     for terms, share, size in ((tfidf.word_terms(F.col("text")), 0.98, 200_000), (tfidf.char_terms(F.col("text")), 1.0, 300_000)):
-        tf = written(tfidf.counts(docs, "p_partkey", terms), "counts")
-        vocabulary = written(tfidf.fit(tf.where(train), n, 3, share, size), "vocabulary")
-        blocks.append((tfidf.transform(tf, vocabulary, "p_partkey"), vocabulary))
+        tf = written(tfidf.counts(docs, "id", terms, also=("times",)), "counts")
+        vocabulary = written(tfidf.fit(tf.where("times > 0"), n, 3, share, size, "times"), "vocabulary")
+        blocks.append((tfidf.transform(tf, vocabulary, "id"), vocabulary))
     return blocks
 
 
 @query("t05_sparse_svd")
 def t05(s, d):
-    """Word and character terms side by side, fitted on four fifths of the rows; all rows in 32 dimensions."""
-    rows, n = svd.side_by_side(_term_blocks(s, d, "p_partkey % 5 > 0"), "p_partkey")
-    rows = written(rows, "sparse")
-    model = svd.TruncatedSvd(32, 7, 32).fit(rows.where("key % 5 > 0"), n)
-    return model.transform(rows, "tfidf_svd").withColumnRenamed("key", "p_partkey")
+    """Word and character terms side by side, fitted on four fifths of the rows; all rows in 32 dimensions. Equal texts are one sparse row, which
+    counts in the fit as often as it is a training row: n equal rows have the same normal matrix as one times the root of n."""
+    docs, own = _equal_texts(s, d, "p_partkey % 5 > 0")
+    rows, n = svd.side_by_side(_term_blocks(s, d, "p_partkey % 5 > 0", own), "id")
+    rows = written(rows.join(own.select(F.col("id").alias("key"), "times"), "key"), "sparse")
+    scaled = rows.where("times > 0").select("key", "cols", F.transform("weights", lambda w: w * F.sqrt("times")).alias("weights"))
+    model = svd.TruncatedSvd(32, 7, 32).fit(written(scaled, "scaled"), n)
+    made = model.transform(rows, "tfidf_svd").withColumnRenamed("key", "id")
+    return docs.join(own.select("id", "texts").join(made, "id"), "texts").select("p_partkey", "tfidf_svd")
 
 
 @query("t05_singular_values")

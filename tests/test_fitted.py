@@ -580,3 +580,23 @@ def test_very_many_stretches_share_tasks(spark, tmp_path):
     cut = [x for b in reader.partitions() for x in b.stretches]
     got = [(k, len(p["txt"])) for b in readers.bundled(cut, 512, 3, 5) for _, k, p in reader.read(b)]
     assert len(cut) > 20 and len(readers.bundled(cut, 512, 3, 5)) <= 7 and sorted(got) == sorted((str(i), i) for i in range(400))
+
+
+def test_equal_catalog_texts_are_one_sparse_row(spark, tmp_path, monkeypatch):
+    """t05_sparse_svd: each part was counted and multiplied, though many have the same text. Projections of all parts have the inner products of the rows that
+    every part on its own gives, as there are fewer different texts than dimensions."""
+    part = spark.range(60).select(F.col("id").alias("p_partkey"), F.concat(F.lit("new "), F.element_at(F.array(*map(F.lit, ("ring", "bolt", "plate"))), (F.col("id") % 3 + 1).cast("int"))).alias("p_name"), F.lit("SMALL").alias("p_type"), (F.col("id") % 12).cast("int").alias("p_size"))
+    part.select(F.expr("p_partkey % 12 + 60 * (p_partkey div 12)").alias("p_partkey"), "p_name", "p_type", "p_size").write.parquet(f"{tmp_path}/part.parquet")
+    docs, train, want = registry.catalog(spark, str(tmp_path)), F.col("p_partkey") % 5 > 0, {}
+    for b, terms in enumerate((tfidf.word_terms(F.col("text")), tfidf.char_terms(F.col("text")))):
+        tf = tfidf.counts(docs, "p_partkey", terms)
+        for r in tfidf.transform(tf, tfidf.fit(tf.where(train), docs.where(train).count(), 3, 1.0 if b else 0.98), "p_partkey").collect():
+            want.setdefault(r["p_partkey"], {})[b, r["term"]] = r["weight"]
+    fitted = []
+    monkeypatch.setattr(svd.TruncatedSvd, "fit", lambda self, rows, n, old=svd.TruncatedSvd.fit: (fitted.append(rows.count()), old(self, rows, n))[1])
+    got = {r["p_partkey"]: np.array(r["tfidf_svd"]) for r in workload.QUERIES["t05_sparse_svd"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and len(got) == 60 and fitted == [9]
+    own = [k for k in want if k % 5]
+    for a in own:
+        for b in own[:12]:
+            assert abs(got[a] @ got[b] - sum(w * want[b].get(t, 0) for t, w in want[a].items())) < 1e-6
